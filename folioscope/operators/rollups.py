@@ -1,0 +1,24 @@
+"""Groups cut into parts, records rolled up, scores and decisions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import rules
+from ..functions import text as T
+from ..functions import urls as U
+from ..session import numbered
+
+
+def fixed_parts(df: DataFrame, keys: list[str], order: list, size: int = 25) -> DataFrame:
+    """Part number and part count of fixed-size parts within each key; safe for
+    a key that holds most of the table."""
+    d = numbered(df, keys, order, "rn")
+    named = {k: f"_t{i}" for i, k in enumerate(keys)}
+    total = df.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(F.count("*").alias("_n"))
+    on = F.lit(True)
+    for k, n in named.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return d.join(total, on).select(*df.columns, "rn", (F.floor((F.col("rn") - 1) / size) + 1).alias("part"),
+                                    F.ceil(F.col("_n") / size).alias("parts"))
