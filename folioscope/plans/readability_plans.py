@@ -124,7 +124,7 @@ LOST = f"""pr AS (SELECT path, text AS before, {AFTER} AS after FROM notes WHERE
   lost AS ({' UNION ALL '.join(_fact_sql(k, r) for k, r in [*R.FACTS.items(), ('latin', R.LATIN_WORD)])} UNION ALL {_HEADS}
    UNION ALL SELECT path, 'byte', substr(blk, 1, 60) FROM (SELECT path, after, unnest(list_filter(list_concat(list_concat([regexp_extract(before, '(?s)^---\\n.*?\\n---\\n')],
        regexp_extract_all(before, '(?s)```.*?```')), list_concat(regexp_extract_all(regexp_replace(before, '(?s)```.*?```', ' ', 'g'), '`[^`\\n]+`'),
-       [regexp_extract(before || chr(10) || '## ', '(?s)(## Достоверность *(?:\\n.*?)?)\\n##\\s+', 1)])), lambda x: x <> '')) AS blk FROM pr) WHERE NOT contains(after, blk))"""
+       [regexp_extract(before || chr(10) || '## ', '(?s)(## Достоверность.*?)\\n##\\s+', 1)])), lambda x: x <> '')) AS blk FROM pr) WHERE NOT contains(after, blk))"""
 
 
 @plan("lost_facts", with_notes(f", {LOST} SELECT path, kind, sample FROM lost"))

@@ -50,7 +50,7 @@ def topic_search(spark, sf):
     return _cands(spark, sf).select("topic", "rank", "path", "score")
 
 
-NORM = r"' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' '"
+NORM = r"' ' || regexp_replace(lower(text), '[^\p{L}\p{N}]', ' ', 'g') || ' '"
 SNIP = rf"""sn0 AS (SELECT topic, path, rank, score, text, norm, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM (
     SELECT c.topic, c.path, c.rank, c.score, d.text, {NORM} AS norm, terms FROM cands c JOIN docs d USING (path) JOIN tt0 USING (topic))),
   sn1 AS (SELECT *, strpos(norm, ' ' || term || ' ') - 1 AS hit FROM sn0 WHERE strpos(norm, ' ' || term || ' ') > 0),
