@@ -187,9 +187,9 @@ def top_records(spark, sf):
     return R.top_records(R.records(_results(spark, sf))).select("key", "score", "files")
 
 
-@plan("topic_modules", f"""WITH {RECS}, at AS (SELECT topic, lower(substr(title, 1, 96)) AS low, first(substr(title, 1, 96) ORDER BY score DESC, key) AS atom, max(score) AS s, first(key ORDER BY score DESC, key) AS k FROM recs GROUP BY ALL),
-  tp AS (SELECT topic, string_agg(atom, ' | ' ORDER BY s DESC, k, atom) AS atoms FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY s DESC, k, atom) AS rn FROM at) WHERE rn <= 6 GROUP BY topic)
-  SELECT r.topic, count(*) AS n, CAST(sum(files) AS BIGINT) AS files, CAST(sum(score) AS BIGINT) AS score, first(title ORDER BY score DESC, key) AS lead, any_value(atoms) AS atoms FROM recs r JOIN tp ON tp.topic = r.topic GROUP BY r.topic""")
+@plan("topic_modules", f"""WITH {RECS}, atm AS (SELECT topic, lower(substr(title, 1, 96)) AS low, first(substr(title, 1, 96) ORDER BY score DESC, key) AS atom, max(score) AS s, first(key ORDER BY score DESC, key) AS k FROM recs GROUP BY ALL),
+  tp AS (SELECT topic, string_agg(atom, ' | ' ORDER BY s DESC, k, atom) AS atoms FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY s DESC, k, atom) AS rn FROM atm) WHERE rn <= 6 GROUP BY topic)
+  SELECT r.topic, count(*) AS n, CAST(sum(files) AS BIGINT) AS files, CAST(sum(score) AS BIGINT) AS score, first(title ORDER BY score DESC, key) AS lead, any_value(tp.atoms) AS atoms FROM recs r JOIN tp ON tp.topic = r.topic GROUP BY r.topic""")
 def topic_modules(spark, sf):
     return R.modules(R.records(_results(spark, sf)))
 
