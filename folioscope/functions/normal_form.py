@@ -9,11 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
-def _nfc(values: pd.Series) -> pd.Series:
+def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None else unicodedata.normalize("NFC", v))
 
 
 def nfc(text: Column) -> Column:
-    """Composed form.  Pure ASCII values - almost all keys - skip Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc(text))
+    """Composed form of a text column, in Arrow batches."""
+    return F.pandas_udf(_compose, "string")(text)
