@@ -83,6 +83,14 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def has_any(low: Column, strings: Sequence[str]) -> Column:
+    """Does lower-case text contain one of these strings (a plain byte search)?"""
+    hit = low.contains(strings[0])
+    for s in strings[1:]:
+        hit = hit | low.contains(s)
+    return hit
+
+
 # -- normal forms -----------------------------------------------------------
 
 def fold_yo(text: Column) -> Column:
@@ -253,14 +261,25 @@ def bullets(text: Column, boiler: str, min_len: int = 32, width: int = 190, keep
     return distinct_by_lower(F.filter(cut, lambda p: (F.length(p) >= min_len) & ~p.rlike(boiler)), keep)
 
 
-def snippet(text: Column, term: Column, before: int = 120, after: int = 200) -> Column:
+def word_line(text: Column) -> Column:
+    """Lower-case text with every separator turned into one space, character for
+    character, and a space on both ends: " word " finds whole words by plain
+    search, and positions are those of the text."""
+    low = F.lower(F.translate(text, "İ", "I"))  # the one letter whose lower case is longer
+    return F.concat(F.lit(" "), sub(low, r"[^\p{L}\p{N}]", " "), F.lit(" "))
+
+
+def snippet_at(text: Column, line: Column, term: Column, before: int = 120, after: int = 200) -> Column:
     """Text around the first whole-word hit of ``term``; null without a hit."""
-    rx = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), term, F.lit(r"\E(?![\p{L}\p{N}])"))
-    return let(F.regexp_instr(text, rx) - 1, lambda hit: F.when(hit >= 0, let(
+    return let(F.instr(line, F.concat(F.lit(" "), term, F.lit(" "))) - 1, lambda hit: F.when(hit >= 0, let(
         F.greatest(hit - before, F.lit(0)),
         lambda start: squeeze(F.substring(text, start + 1, hit + after - start)))))
 
 
+def snippet(text: Column, term: Column, before: int = 120, after: int = 200) -> Column:
+    return let(word_line(text), lambda line: snippet_at(text, line, term, before, after))
+
+
 # -- line repeats -----------------------------------------------------------
 
 def repeated_line_share(text: Column, min_lines: int = 8) -> Column:

@@ -123,8 +123,10 @@ def freshness_failures(notes: DataFrame) -> DataFrame:
 
 def marker_failures(text: Column, keep: int = 5) -> list[Column]:
     out = []
+    low = F.lower(text)
     for name, pattern in rules.LAYER_MARKERS:
-        hits = F.slice(T.find_all(text, T.ascii_edges(pattern)), 1, keep)
+        hits = F.when(T.has_any(low, rules.LAYER_ANCHORS[name]), F.slice(T.find_all(text, T.ascii_edges(pattern)), 1, keep)).otherwise(
+            F.array().cast("array<string>"))
         out.append(_hits(name, hits))
     return out
 

@@ -220,11 +220,13 @@ def _spell(pattern: str) -> str:
 
 def rewrite_stock_phrases(text: Column) -> Column:
     """Remove or replace stock phrases; the case of a replaced word is kept."""
-    for pattern, repl in rules.REWRITES:
-        text = T.sub(text, _spell(pattern), repl)
+    def guarded(anchors: Sequence[str], pattern: str, repl: str):
+        return lambda t: F.when(T.has_any(F.lower(t), anchors), T.sub(t, _spell(pattern), repl)).otherwise(t)
+    for anchors, (pattern, repl) in zip(rules.REWRITE_ANCHORS, rules.REWRITES):
+        text = T.let(text, guarded(anchors, pattern, repl))
     text = T.let(text, lambda t: F.when(t.rlike("(?iu)" + "|".join(rules.DEMONSTRATIVES)), _demonstratives(t)).otherwise(t))
     for pattern, repl in rules.COPULA:
-        text = T.sub(text, _spell(pattern), repl)
+        text = T.let(text, guarded(["явля"], pattern, repl))
     return text
 
 
@@ -351,10 +353,12 @@ def list_tags(entries: DataFrame, lead: Sequence[str]) -> DataFrame:
 # -- topics -----------------------------------------------------------------------------
 
 def topic_of(text: Column) -> Column:
-    out = F.lit(rules.TOPIC_DEFAULT)
-    for tid, _title, pattern in reversed(rules.TOPICS):
-        out = F.when(text.rlike(pattern), tid).otherwise(out)
-    return out
+    def pick(low: Column) -> Column:
+        out = F.lit(rules.TOPIC_DEFAULT)
+        for tid, _title, pattern in reversed(rules.TOPICS):
+            out = F.when(low.rlike(pattern.replace("(?iu)", "").replace("(?i)", "")), tid).otherwise(out)
+        return out
+    return T.let(F.lower(text), pick)
 
 
 def public_sources(text: Column, keep: int = 10) -> Column:

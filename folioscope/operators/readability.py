@@ -44,13 +44,16 @@ def with_rhythm(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _literal_count(low: Column, needle: str) -> Column:
-    return ((F.length(low) - F.length(F.replace(low, F.lit(needle)))) / len(needle)).cast("int")
+    n = ((F.length(low) - F.length(F.replace(low, F.lit(needle)))) / len(needle)).cast("int")
+    return F.when(low.contains(needle), n).otherwise(0)
 
 
 def ban_hits(low: Column) -> Column:
     """array of (name, n) for every banned phrase in lower-case text."""
-    hits = F.array(*[F.struct(F.lit(n).alias("name"), T.count_of(low, "(?U)" + p).alias("n")) for n, p in rules.HARD_BANS])
-    return F.filter(hits, lambda h: h["n"] > 0)
+    def hits(t: Column) -> Column:
+        return F.array(*[F.struct(F.lit(n).alias("name"), F.when(
+            T.has_any(t, rules.BAN_ANCHORS[n]), T.count_of(t, "(?U)" + p)).otherwise(0).alias("n")) for n, p in rules.HARD_BANS])
+    return F.filter(T.let(low, hits), lambda h: h["n"] > 0)
 
 
 def marker_hits(low: Column) -> Column:

@@ -62,11 +62,13 @@ def candidates(scores: DataFrame, keep: int = 60) -> DataFrame:
 
 def snippets(text: Column, terms: Column, keep: int = 3) -> Column:
     """Distinct snippets around the first hit of each term; stops when full."""
-    def add(acc: Column, term: Column) -> Column:
-        grown = T.let(T.snippet(text, term), lambda s: F.when(
-            s.isNotNull() & (s != "") & ~F.array_contains(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-        return F.when(F.size(acc) >= keep, acc).otherwise(grown)
-    return F.aggregate(terms, F.array().cast("array<string>"), add)
+    def walk(line: Column) -> Column:
+        def add(acc: Column, term: Column) -> Column:
+            grown = T.let(T.snippet_at(text, line, term), lambda s: F.when(
+                s.isNotNull() & (s != "") & ~F.array_contains(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+            return F.when(F.size(acc) >= keep, acc).otherwise(grown)
+        return F.aggregate(terms, F.array().cast("array<string>"), add)
+    return T.let(T.word_line(text), walk)
 
 
 def with_texts(cands: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
@@ -82,16 +84,19 @@ def findings(cands: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
         F.least(F.lit(5), 2 + F.floor(F.col("score") / 4)).alias("relevance"))
 
 
-def evidence(text: Column, terms: Column, limit: int = 2500) -> Column:
+def evidence(text: Column, terms: Column, limit: int = 2500, size: int = 1000, step: int = 800) -> Column:
     """The two windows of a text with most topic words, in text order."""
-    scored = F.transform(T.windows(text), lambda w: F.struct(
-        (-F.size(F.array_intersect(terms, T.tokens(w["body"], rules.SEARCH_STOP)))).alias("neg"),
-        w["start"].alias("start"), w["body"].alias("body")))
-    best = F.slice(F.array_sort(scored), 1, 2)
-    ordered = F.array_sort(F.transform(best, lambda w: F.struct(w["start"].alias("start"), w["body"].alias("body"))))
-    shown = F.transform(ordered, lambda w: F.concat(
-        F.lit("["), (w["start"] + 1).cast("string"), F.lit("–"), (w["start"] + F.length(w["body"])).cast("string"),
-        F.lit("]\n"), w["body"]))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def scored(line: Column) -> Column:
+        def hits(s: Column) -> Column:
+            part = F.concat(F.lit(" "), F.substring(line, s + 2, F.lit(size)), F.lit(" "))
+            return T.let(part, lambda p: F.size(F.filter(terms, lambda t: p.contains(F.concat(F.lit(" "), t, F.lit(" "))))))
+        return F.transform(starts, lambda s: F.struct((-hits(s)).alias("neg"), s.alias("start")))
+    best = F.slice(F.array_sort(T.let(T.word_line(text), scored)), 1, 2)
+    shown = F.transform(F.array_sort(F.transform(best, lambda w: w["start"])), lambda s: T.let(
+        F.substring(text, s + 1, F.lit(size)), lambda body: F.concat(
+            F.lit("["), (s + 1).cast("string"), F.lit("–"), (s + F.length(body)).cast("string"), F.lit("]\n"), body)))
     return F.substring(F.array_join(shown, "\n\n"), 1, limit)
 
 

@@ -13,25 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage
 
 GRAM = 3
 
 
-def grams(word: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    """Distinct substrings of the given lengths."""
-    def of(n: int) -> Column:
-        return F.when(F.length(word) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+def grams(word: Column, n: int) -> Column:
+    """Distinct substrings of one length."""
+    return F.when(F.length(word) >= n, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n))))).otherwise(
+        F.array().cast("array<string>"))
 
 
 def words_containing(vocab: DataFrame, parts: DataFrame) -> DataFrame:
-    """(word, part) for every vocabulary word that contains the part."""
+    """(word, part) for every vocabulary word that contains the part.
+
+    Parts of three characters and more join on their first gram of three; the
+    shorter lengths are only spread out when such parts exist.
+    """
     sized = parts.select("part", F.least(F.length("part"), F.lit(GRAM)).alias("n")).distinct()
-    sized = sized.select("part", F.expr("substring(part, 1, n)").alias("gram"))
-    spread = vocab.select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    return (spread.join(sized, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
+    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # at most three values
+    if not sizes:
+        return vocab.limit(0).select("word", F.col("word").alias("part"))
+    first = sized.select("part", F.expr("substring(part, 1, n)").alias("gram"))
+    spread = vocab.select("word", F.explode(F.concat(*[grams(F.col("word"), n) for n in sizes])).alias("gram"))
+    return (spread.join(first, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
 
 
 def containing(docs: DataFrame, needles: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -43,7 +49,8 @@ def containing(docs: DataFrame, needles: DataFrame, key: str = "path", text: str
     vocab = words.groupBy("word").agg(F.count("*").alias("df"))
     parts = needles.select("needle", F.explode(F.array_distinct(T.find_all(F.col("needle"), r"\S+"))).alias("part"))
     hits = words_containing(vocab, parts)
-    cost = hits.join(vocab, "word").groupBy("part").agg(F.sum("df").alias("cost"))
+    hits = cut_lineage(hits.join(vocab, "word"))  # words of the needles only
+    cost = hits.groupBy("part").agg(F.sum("df").alias("cost"))
     # a part found nowhere has cost 0: its needle occurs nowhere
     priced = parts.join(cost, "part", "left").fillna(0, ["cost"])
     chosen = priced.groupBy("needle").agg(F.min_by("part", F.struct("cost", "part")).alias("part"))

@@ -123,6 +123,17 @@ LAYER_MARKERS = [
     ("bad-russian-grammar", r"(?iu)реальным рабочий|конкретного сценария конкретный|Перед пробный|режим только чтение режим"
                             r"|доменов доменов|web-рабочий сценарий|черновик короткое видео"),
 ]
+#: lower-case strings one of which every match of a layer marker contains (fixed values)
+LAYER_ANCHORS = {
+    "english-section": ["what this is", "why it matters", "how to use it", "source", "verification", "related notes", "reuse"],
+    "github-metadata-en": ["github metadata:"], "repository-freshness-en": ["repository freshness:"],
+    "readme-signal-en": ["readme signal:"], "raw-html-attribute": ["="], "raw-meta-tag": ["<meta"], "raw-img-tag": ["<img"],
+    "raw-script-marker": ["window.gtag"], "raw-ocr-en": ["ocr"], "raw-ocr-ru": ["ocr"],
+    "video-ocr-marker": ["video keyframe ocr", "video transcript"], "empty-extract-marker": ["no extractable text"],
+    "draft-marker": ["draft"], "media-filename": ["img_"],
+    "agent-jargon": ["candidate capability", "workflow-fit", "capability review queue"],
+    "bad-russian-grammar": ["рабочий", "сценария конкретный", "пробный", "режим", "доменов", "короткое видео"],
+}
 DIGEST_SECTIONS = ["Что это", "Как использовать", "Проверка", "Связанные заметки"]
 KNOWLEDGE_SECTIONS = ["Что это", "Источники", "Проверка", "Следующее действие"]
 USE_SECTIONS = ["Как использовать", "Зачем это нужно"]
@@ -194,6 +205,19 @@ HARD_BANS = [
     ("Открывает новые горизонты/перспективы", r"\bоткрыва(?:ет|ют)\s+новые\s+(?:горизонт\w+|перспектив\w+)\b"),
 ]
 
+#: lower-case strings one of which every match of a ban contains (fixed values);
+#: a plain search for them spares most texts the pattern itself
+BAN_ANCHORS = {
+    "Не просто X, а Y": ["просто"], "Не только X, но и Y": ["только"], "В современном мире": ["современном"],
+    "Стоит отметить, что": ["отметить"], "Важно понимать, что": ["понимать"], "Данный/Данная/Данное": ["данн"],
+    "Является": ["явля"], "Играет важную/ключевую роль": ["игра"], "Можно с уверенностью сказать": ["уверенностью"],
+    "Подводя итог / Таким образом": ["подводя", "таким"], DASH_BAN: ["—"], "от X до Y (ложный диапазон)": ["до"],
+    "В условиях [прил.] [сущ.]": ["условиях"], "Погрузимся / посмотрим поближе": ["погрузимся", "посмотрим"],
+    "И вот здесь начинается самое интересное": ["начинается"], "Раскрыть потенциал": ["потенциал"],
+    "Вывести на новый уровень": ["уровень"], "Комплексный подход/решение": ["комплексн"], "В связи с этим": ["связи"],
+    "Открывает новые горизонты/перспективы": ["открыва"],
+}
+
 # -- marker categories: literals, or patterns after "re:" (fixed values) ------
 PASTE_CATEGORY = "Артефакты копипасты"
 MARKERS = {
@@ -235,6 +259,9 @@ MARKERS = {
 # -- stock-phrase rewrites: (pattern, replacement), N = a letter (fixed values)
 NOT_AFTER_LETTER = r"(?<![А-Яа-яЁёA-Za-z])"
 NOT_BEFORE_LETTER = r"(?![А-Яа-яЁёA-Za-z])"
+#: lower-case strings the rewrites below start from, in the same order
+REWRITE_ANCHORS = [["отметить"], ["понимать"], ["уверенностью"], ["современном"], ["подводя", "таким"], ["связи"],
+                   ["только"], ["но"]]
 REWRITES = [
     (r"<стоит\s+отметить,?\s+что\s+", ""),
     (r"<важно\s+понимать,?\s+что\s+", ""),
