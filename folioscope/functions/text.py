@@ -7,6 +7,7 @@ words and sections are arrays of that row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,9 +37,16 @@ WORD_EDGE = (r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
              r"|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))")
 
 
+_LEADING_EDGE = re.compile(r"(^|\||\(\?[imsuU]+\)|\(\?:|\()\\b(?=[A-Za-z0-9]|\(\?:[A-Za-z]|\[a-f0-9\]|\[0-9\])")
+
+
 def ascii_edges(pattern: str) -> str:
-    r"""Spell ``\b`` as an ASCII word edge, whatever the Java version thinks of it."""
-    return pattern.replace(r"\b", WORD_EDGE)
+    r"""Spell ``\b`` as an ASCII word edge, whatever the Java version thinks of it.
+
+    Before a word character the edge is just "no word character behind", which
+    the engine tests much faster than the two-sided form.
+    """
+    return _LEADING_EDGE.sub(r"\1(?<![A-Za-z0-9_])", pattern).replace(r"\b", WORD_EDGE)
 
 
 def sub(text: Column, pattern: str, replacement: str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
+from ..session import spread
 from .substring import words_containing
 
 
@@ -72,7 +73,8 @@ def snippets(text: Column, terms: Column, keep: int = 3) -> Column:
 
 
 def with_texts(cands: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
-    return cands.join(topic_terms(topics), "topic").join(docs.select("path", "text"), "path")
+    """Candidates with their topic words and texts, spread for per-row work."""
+    return spread(cands.join(topic_terms(topics), "topic").join(docs.select("path", "text"), "path"))
 
 
 def findings(cands: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 GRAM = 3
 
@@ -36,8 +36,8 @@ def words_containing(vocab: DataFrame, parts: DataFrame) -> DataFrame:
     if not sizes:
         return vocab.limit(0).select("word", F.col("word").alias("part"))
     first = sized.select("part", F.expr("substring(part, 1, n)").alias("gram"))
-    spread = vocab.select("word", F.explode(F.concat(*[grams(F.col("word"), n) for n in sizes])).alias("gram"))
-    return (spread.join(first, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
+    grammed = spread(vocab.select("word")).select("word", F.explode(F.concat(*[grams(F.col("word"), n) for n in sizes])).alias("gram"))
+    return (grammed.join(first, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
 
 
 def containing(docs: DataFrame, needles: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

@@ -56,6 +56,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores ahead of work that is long per row.
+
+    After a small shuffle AQE joins partitions by their bytes; rows that each
+    cost milliseconds would then run in a few tasks.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list, out: str = "rn") -> DataFrame:
     """``row_number`` per key that never puts a whole key into one task.
 

@@ -62,11 +62,11 @@ def inbox_census(spark: SparkSession, folder: str) -> DataFrame:
 
 def extract_records(spark: SparkSession, folder: str, refs: list[str] | None = None, min_chars: int = 40) -> tuple[DataFrame, DataFrame]:
     """Extract cache joined to its text files, and the number of corrupt rows."""
-    raw = (spark.read.schema(EXTRACT + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-           .option("multiLine", True).option("pathGlobFilter", "*.json").json(folder))
-    rows = raw.select("*", F.col("_metadata.file_name").alias("file"))
-    corrupt = rows.filter("_corrupt is not null").agg(F.count("*").alias("corrupt"))
-    good = rows.filter("_corrupt is null and status = 'extracted_for_note' and text_path is not null")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    rows = raw.select(F.decode("content", "UTF-8").alias("json"))
+    rows = rows.select(F.try_parse_json("json").isNull().alias("bad"), F.from_json("json", EXTRACT).alias("r"))
+    corrupt = rows.agg(F.count_if("bad").alias("corrupt"))
+    good = rows.filter(~F.col("bad")).select("r.*").filter("status = 'extracted_for_note' and text_path is not null")
     if refs:
         good = good.filter(F.col("source_ref").isin(refs))
     texts = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(folder)
