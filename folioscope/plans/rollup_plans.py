@@ -51,7 +51,7 @@ def source_reattribution(spark, sf):
 @plan("atom_sources", f"""WITH r AS (SELECT doc_id // 20 AS part, doc_id AS ref, lower(text) AS low FROM documents),
   a AS (SELECT item_id AS atom, item_id % 50 AS part, {odistinct(WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') || chr(10) || text || chr(10)"))} AS w FROM benchmark WHERE item_id % 4 > 0),
   s AS (SELECT atom, ref, len(list_filter(w, lambda x: contains(low, x))) AS score FROM a JOIN r USING (part)), b AS (SELECT *, max(score) OVER (PARTITION BY atom) AS best FROM s WHERE score > 0)
-  SELECT atom, ref, score FROM b WHERE score = best UNION ALL SELECT item_id, (item_id % 50) * 20 + 1, NULL FROM benchmark WHERE item_id % 4 = 0""")
+  SELECT atom, ref, score FROM b WHERE score = best UNION ALL SELECT item_id, (item_id % 50) * 20 + 1, NULL FROM benchmark WHERE item_id % 4 = 0 AND (item_id % 50) * 20 + 1 IN (SELECT doc_id FROM documents)""")
 def atom_sources(spark, sf):
     i = F.col("item_id")
     own = F.when(i % 4 == 0, F.array((i % 50) * 20 + 1, F.lit(-5).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))

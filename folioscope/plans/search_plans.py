@@ -215,7 +215,7 @@ def duplicate_clusters(spark, sf):
 
 
 @plan("vector_rerank", f"""WITH {VEC}, q AS (SELECT lpad(CAST(item_id AS STRING), 6, '0') AS id, text FROM benchmark), d AS (SELECT lpad(CAST(doc_id AS STRING), 6, '0') AS other, 'note ' || doc_id || chr(10) || substr(text, 1, 400) AS head FROM documents),
-  pool AS (SELECT * FROM (SELECT p.id, p.other, cos, row_number() OVER (PARTITION BY p.id ORDER BY cos DESC, p.other DESC) AS pos FROM p WHERE p.id IN (SELECT id FROM q)) WHERE pos <= 30),
+  pool AS (SELECT * FROM (SELECT p.id, p.other, cos, row_number() OVER (PARTITION BY p.id ORDER BY cos DESC, p.other DESC) AS pos FROM p WHERE p.id IN (SELECT id FROM q) AND p.other IN (SELECT other FROM d)) WHERE pos <= 30),
   st AS (SELECT pool.*, list_distinct(list_transform(list_filter(regexp_extract_all(lower(q.text), '[a-zа-я0-9]+'), lambda x: length(x) >= 2), lambda x: substr(x, 1, 5))) AS qs,
     list_distinct(list_transform(list_filter(regexp_extract_all(lower(d.head), '[a-zа-я0-9]+'), lambda x: length(x) >= 2), lambda x: substr(x, 1, 5))) AS ds FROM pool JOIN q USING (id) JOIN d USING (other)),
   sh AS (SELECT *, len(list_intersect(qs, ds)) / len(qs) AS share FROM st)
