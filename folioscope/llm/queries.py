@@ -7,13 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .batches import documents
 from .packing import pack
+from .quality_classifier import quality_scores
+from .quality_rules import quality_rules
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
 
 
 def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer())
 
@@ -22,5 +29,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer())
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts)}
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op5_quality_classifier, op6_quality_rules,
+                                op8_toxicity)}
 ORACLES: dict[str, str] = {}
