@@ -30,11 +30,12 @@ class Settings:
     orders: tuple[int, ...] = (3, 4, 5, 6)  # n-gram lengths in bytes
     bits: int = 20                          # buckets: 2 ** bits
     per_class: int = 6000                   # labelled training rows of each class that the fit reads at most
-    features: int = 1024                    # buckets kept
+    features: int = 4096                    # buckets kept
     least: int = 3                          # texts a kept bucket stands in
     smoothing: float = 1.0
-    penalty: float = 1e-3
+    penalty: float = 3e-4
     rounds: int = 400
+    rate: float = 0.05
 
 
 def buckets(text: str, s: Settings) -> Iterator[np.ndarray]:
@@ -125,30 +126,32 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, mod: int, s: Settings) ->
                 names=["toxic", "hits"])
 
     rows = sample.mapInArrow(hits, "toxic int, hits array<int>").toPandas()
-    x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, h in enumerate(rows["hits"]):
-        x[i, h] = ratio[h]
-    weight, bias = logistic(x, rows["toxic"].to_numpy(np.float64), s)
+    row = np.repeat(np.arange(len(rows)), rows["hits"].map(len))
+    col = np.concatenate(rows["hits"].to_numpy()).astype(np.int64)
+    weight, bias = logistic(row, col, ratio[col], rows["toxic"].to_numpy(np.float64), len(kept), s)
     # the sample holds the classes in shares of its own
     bias += np.log(sizes[1] / sizes[0]) - np.log(n[1] / n[0])
     return Model(slot, weight * ratio, float(bias), s)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression by accelerated gradient descent."""
-    scale = float(np.sqrt((x * x).sum(1).mean())) or 1.0
-    x = x / np.float32(scale)
-    step = 1 / (0.25 * float(max((x * x).sum(1).max(), 1.0)) + s.penalty + 0.25)
-    w, b = np.zeros(x.shape[1]), 0.0
-    vw, vb = w.copy(), b
-    for i in range(s.rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + vb, -50, 50))) - y
-        new_w = vw - step * ((g.astype(np.float32) @ x) / len(y) + s.penalty * vw)
-        new_b = vb - step * g.mean()
-        m = i / (i + 3)
-        vw, vb = new_w + m * (new_w - w), new_b + m * (new_b - b)
-        w, b = new_w, new_b
-    return w / scale, b
+def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, s: Settings) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression on a sparse matrix by full-batch Adam steps.
+
+    The last weight is the bias, which carries no penalty.
+    """
+    row = np.concatenate((row, np.arange(len(y))))
+    col = np.concatenate((col, np.full(len(y), width)))
+    value = np.concatenate((value, np.ones(len(y))))
+    w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+    for i in range(1, s.rounds + 1):
+        z = np.bincount(row, value * w[col], len(y))
+        miss = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
+        g = np.bincount(col, value * miss[row], width + 1) / len(y)
+        g[:-1] += s.penalty * w[:-1]
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        w -= s.rate * (first / (1 - 0.9 ** i)) / (np.sqrt(second / (1 - 0.999 ** i)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fold: int = 0, mod: int = 5, settings: Settings | None = None) -> DataFrame:
