@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .batches import documents
+from .mixing import mix
+from .neighbours import nearest_neighbours
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -21,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer())
 
@@ -37,10 +43,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_counts, op5_quality_classifier, op6_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op5_quality_classifier, op6_quality_rules,
+                                op7_nearest_neighbours,
                                 op8_toxicity)}
 ORACLES: dict[str, str] = {}
