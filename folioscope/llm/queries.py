@@ -11,6 +11,7 @@ from .neighbours import nearest_neighbours
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .secrets import secret_spans
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -35,6 +36,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer())
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(documents(spark, sf_dir))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -51,7 +56,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op5_quality_classifier, op6_quality_rules,
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op4_secrets, op5_quality_classifier, op6_quality_rules,
                                 op7_nearest_neighbours,
                                 op8_toxicity)}
 ORACLES: dict[str, str] = {}
