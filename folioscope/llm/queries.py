@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .batches import documents
+from .jaccard_join import near_duplicates
 from .mixing import mix
 from .neighbours import nearest_neighbours
 from .packing import pack
@@ -56,7 +57,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op4_secrets, op5_quality_classifier, op6_quality_rules,
                                 op7_nearest_neighbours,
-                                op8_toxicity)}
+                                op8_toxicity, op9_jaccard_join)}
 ORACLES: dict[str, str] = {}
