@@ -12,6 +12,7 @@ from .neighbours import nearest_neighbours
 from .packing import pack
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
+from .repeated_passages import repeated_passages
 from .secrets import secret_spans
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
@@ -61,7 +62,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op4_secrets, op5_quality_classifier, op6_quality_rules,
                                 op7_nearest_neighbours,
-                                op8_toxicity, op9_jaccard_join)}
+                                op8_toxicity, op9_jaccard_join, op10_repeated_passages)}
 ORACLES: dict[str, str] = {}
