@@ -122,7 +122,7 @@ def contexts_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 class RunIndex:
-    """Run-compressed BWT of texts in suffix order to a fixed depth.
+    """Run-compressed BWT of texts in suffix order to a fixed depth of 8 bytes or more.
 
     ``head`` and ``last`` are the sampled suffixes at the ends of each run, in
     positions of the joined text; ``prefix`` numbers the prefix of ``depth``
