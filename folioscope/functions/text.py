@@ -106,9 +106,10 @@ def fold_yo(text: Column) -> Column:
     return F.lower(F.translate(text, "ёЁ", "еЕ"))
 
 
-def compact(text: Column, limit: int) -> Column:
-    """Heading marks cut, white space squeezed, capped to ``limit`` characters."""
-    return F.substring(squeeze(sub(text, r"(?m)^#{1,6}\s+", "")), 1, limit)
+def compact(text: Column, limit: int | None = None) -> Column:
+    """Heading marks cut, white space squeezed, the whole text or its first ``limit`` characters."""
+    whole = squeeze(sub(text, r"(?m)^#{1,6}\s+", ""))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def slug(text: Column, limit: int = 72, default: str = "note", unicode: bool = False) -> Column:

@@ -11,7 +11,7 @@ from ..functions import text as T
 
 def snapshot_rows(files: DataFrame) -> DataFrame:
     """(path, basename, sha256, bytes, links, derived) of every note."""
-    derived = F.exists(F.split("path", "/"), lambda p: p.startswith("graphify-out"))
+    derived = F.exists(F.split("path", "/"), lambda p: p.startswith(rules.GRAPH_FOLDER))
     return files.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("basename"), F.sha2("text", 256).alias("sha256"),
                         F.octet_length("text").alias("bytes"), T.count_of(F.col("text"), r"\[\[[^\]\n]+\]\]").alias("links"),
                         derived.alias("derived"))

@@ -109,8 +109,9 @@ def legacy_failures(notes: DataFrame, require_dossier: bool = False, allow_empty
 
 
 def freshness_failures(notes: DataFrame) -> DataFrame:
-    """The trust block must carry a date, a version or a re-check word."""
-    d = T.staged(notes, trust=T.section_body(F.col("text"), rules.TRUST_HEADING))
+    """The trust block must carry a date, a version or a re-check word; service
+    paths are not judged."""
+    d = T.staged(notes.filter(~P.service_path(F.col("path"))), trust=T.section_body(F.col("text"), rules.TRUST_HEADING))
     fresh = F.lit(False)
     for p in rules.FRESHNESS:
         fresh = fresh | F.col("trust").rlike(T.ascii_edges(p))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import numbered
 
 # fixed values: labels that have to run locally first
-LOCAL_FIRST = ["ocr-pass", "transcribe-pass", "triage", "process", "store", "hash-record", "embed-add", "graphify", "briefing"]
+LOCAL_FIRST = ["ocr-pass", "transcribe-pass", "triage", "process", "store", "hash-record", "embed-add", "graph-build", "briefing"]
 
 
 def run_summary(obs: DataFrame, by: str = "run_id") -> DataFrame:

@@ -73,9 +73,9 @@ def first_paragraph(text: Column, limit: int = 420) -> Column:
     return F.when(F.length(p) > limit, F.concat(T.strip(F.substring(p, 1, limit - 1)), F.lit("..."))).otherwise(p)
 
 
-def inferred_title(text: Column, fallback: Column) -> Column:
-    """Address in the opening words, else the first line of title length."""
-    url = F.regexp_extract(T.compact(text, 500), T.ascii_edges(r"\bhttps?://[^\s)]+"), 0)
+def inferred_title(text: Column, fallback: Column, opening: int | None = 500) -> Column:
+    """Address in the first ``opening`` characters, else the first line of title length."""
+    url = F.regexp_extract(T.compact(text, opening), T.ascii_edges(r"\bhttps?://[^\s)]+"), 0)
     from_url = F.substring(T.sub(T.sub(url, r"^https?://", ""), r"[?#].*$", ""), 1, 90)
     cut = F.transform(F.split(text, r"\n|[.!?]\s+"), lambda x: T.compact(x, 120))
     line = F.get(F.filter(cut, lambda x: F.length(x).between(18, 120) & ~x.rlike(rules.TITLE_BOILER)), F.lit(0))
@@ -255,15 +255,19 @@ def page_records(pages: DataFrame) -> DataFrame:
 
 
 def page_verdict(text: Column, html: Column, url: Column, script: str = T.CYRILLIC, min_share: float = 0.15,
-                 domains: str = r"\.(ru|xn--p1ai|su)(/|$)", min_chars: int = 400) -> Column:
-    """Why a fetched page is not usable, or ``ok``; first failing test wins."""
+                 domains: str = r"\.(ru|xn--p1ai|su)(/|$)", min_chars: int = 400, challenge_chars: int | None = None) -> Column:
+    """Why a fetched page is not usable, or ``ok``; first failing test wins.
+
+    Challenge texts are looked for in the whole page, or in its first
+    ``challenge_chars`` characters.
+    """
     low = F.lower(url)
     media = F.lit(False)
     for m in rules.MEDIA_HOSTS:
         media = media | low.contains(m)
     blocked, garbled = F.lit(False), F.lit(False)
     for c in rules.CHALLENGE_TEXTS:
-        blocked = blocked | F.substring(html, 1, 5000).contains(c)
+        blocked = blocked | (html if challenge_chars is None else F.substring(html, 1, challenge_chars)).contains(c)
     for m in rules.MOJIBAKE:
         garbled = garbled | text.contains(m)
     letters = T.count_of(text, r"\p{L}")
@@ -402,14 +406,20 @@ def strictly_ready(text: Column) -> Column:
             & (F.size(real) >= 2) & sources.rlike(r"(?i)https?://"))
 
 
-def service_path(path: Column) -> Column:
+def service_path(path: Column, derived: str = rules.GRAPH_FOLDER) -> Column:
     """Paths the note gates do not judge."""
     base = F.regexp_extract(path, r"([^/]+)$", 1)
-    return (path.rlike(r"/graphify-out/|/_legacy-index |/_архив-дублей/|/Capabilities/_|^99 Система/|^00 System/")
+    return (path.contains(f"/{derived}/") | path.rlike(r"/_legacy-index |/_архив-дублей/|/Capabilities/_|^99 Система/|^00 System/")
             | base.isin("_Содержание.md", "_МАСТЕР-ИНДЕКС.md", "_ROUTING.md", "_ШАБЛОНЫ.md")
             | path.isin("AGENTS.md", "CLAUDE.md", "_ROUTING.md", "Лог обработки.md"))
 
 
+def hidden_path(path: Column, derived: str = rules.GRAPH_FOLDER) -> Column:
+    """Paths the readability gates do not judge: a segment that starts with a
+    dot or an underscore, or anything of the derived graph folder."""
+    return path.rlike(r"(^|/)[._]") | path.contains(derived)
+
+
 def lint_service_path(path: Column) -> Column:
     base = F.regexp_extract(path, r"([^/]+)$", 1)
     return (path.startswith("99 Система/") | path.startswith("00 Входящие/") | path.rlike(r"(^|/)_")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from .parsing import rewrite_stock_phrases, service_path
+from .parsing import hidden_path, rewrite_stock_phrases
 
 SENTENCE_END = r"(?<=[.!?…])\s+|\n+"
 WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
@@ -224,7 +224,7 @@ def rewrite_pass(notes: DataFrame, rounds: int = 2) -> DataFrame:
     def slop(t: Column) -> Column:
         return F.aggregate(F.filter(ban_hits(F.lower(scan_text(t))), lambda h: h["name"] != rules.DASH_BAN),
                            F.lit(0), lambda a, h: a + h["n"])
-    d = T.staged(notes.filter(~service_path(F.col("path"))), slop=slop(F.col("text"))).filter("slop > 0")
+    d = T.staged(notes.filter(~hidden_path(F.col("path"))), slop=slop(F.col("text"))).filter("slop > 0")
     new = F.col("text")
     for _ in range(rounds):
         new = rewrite_stock_phrases(new)
@@ -238,7 +238,7 @@ def rewrite_pass(notes: DataFrame, rounds: int = 2) -> DataFrame:
 
 def sweep(notes: DataFrame, floor: int = 85, strict: bool = False) -> DataFrame:
     """Phrases other than the dash fail a note; the dash and a low score advise."""
-    d = T.staged(notes.filter(~service_path(F.col("path"))), _t=scan_text(F.col("text")))
+    d = T.staged(notes.filter(~hidden_path(F.col("path"))), _t=scan_text(F.col("text")))
     d = scan(d, "_t")
     fatal = (F.col("hard") > 0) | (F.lit(strict) & (F.col("score") < floor))
     level = F.when(fatal, "failure").when((F.col("ban_count") > 0) | (F.col("score") < floor), "advice").otherwise("ok")

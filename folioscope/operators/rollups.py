@@ -50,7 +50,7 @@ def topic_parts(records: DataFrame, size: int = 25, min_chars: int = 80) -> Data
     list its fingerprint is made of is bounded.
     """
     from .parsing import topic_of
-    d = records.select("ref", topic_of(F.col("text")).alias("topic"), F.length(T.compact(F.col("text"), 100000)).alias("chars"))
+    d = records.select("ref", topic_of(F.col("text")).alias("topic"), F.length(T.compact(F.col("text"))).alias("chars"))
     d = fixed_parts(d, ["topic"], [F.col("ref")], size)
     g = d.groupBy("topic", "part").agg(F.max("parts").alias("parts"), F.count("*").alias("n"), F.sum("chars").alias("chars"),
                                        F.array_sort(F.collect_list("ref")).alias("refs"))
@@ -184,7 +184,7 @@ IMPORTANCE = [("agent", 16), ("codex", 15), ("claude", 15), ("legal", 14), ("ю
               ("skill", 8), ("graph", 7), ("dashboard", 7)]
 # fixed values: (terms, topic), first hit wins
 RECORD_TOPICS = [
-    (["legal", "lexora", "юрист", "marketplace"], "Legal"),
+    (["legal", "юрист", "marketplace"], "Legal"),
     (["investor", "cap table", "esop", "founder", "shareholder"], "Investor-ready startup"),
     (["agent", "codex", "claude", "graph"], "Agent OS"),
     (["quick wins", "support", "sales", "onboarding"], "AI business offers"),

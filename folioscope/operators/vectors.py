@@ -73,8 +73,8 @@ def _title_overlap(left: pd.Series, right: pd.Series) -> np.ndarray:
 _PAIRS = "id string, other string, cos double, title_sim double, combined double"
 
 
-def _block_top(k: int, floor: float | None, cos_floor: float | None):
-    """Top-k of each probe of one block against the members of that block."""
+def _block_top(k: int | None, floor: float | None):
+    """Top-k (all without k) of each probe of one block against the members of that block."""
     def run(block: pd.DataFrame) -> pd.DataFrame:
         probes, members = block[block.probe], block[~block.probe]
         if probes.empty or members.empty:
@@ -85,17 +85,19 @@ def _block_top(k: int, floor: float | None, cos_floor: float | None):
         ok = np.ones_like(score, dtype=bool)
         if floor is not None:
             ok &= score >= floor
-        if cos_floor is not None:
-            ok &= cos >= cos_floor
         names, other = probes.id.to_numpy(), members.id.to_numpy()
-        order = np.argsort(other)[::-1]  # ties go to the later name
-        out = []
-        for i in range(len(names)):
-            hit = order[ok[i, order]]
-            hit = hit[np.lexsort((-sim[i, hit], -cos[i, hit], -score[i, hit]))][:k]
-            out.append(pd.DataFrame({"id": names[i], "other": other[hit], "cos": cos[i, hit],
-                                     "title_sim": sim[i, hit], "combined": score[i, hit]}))
-        return pd.concat(out)
+        row, col = np.nonzero(ok)
+        # best first in each row; ties go to the later name
+        later = np.empty(len(other), np.int64)
+        later[np.argsort(other)[::-1]] = np.arange(len(other))
+        best = np.lexsort((later[col], -sim[row, col], -cos[row, col], -score[row, col], row))
+        row, col = row[best], col[best]
+        first = np.searchsorted(row, row)  # where the row begins
+        if k is not None:
+            keep = np.arange(len(row)) - first < k
+            row, col = row[keep], col[keep]
+        return pd.DataFrame({"id": names[row], "other": other[col], "cos": cos[row, col],
+                             "title_sim": sim[row, col], "combined": score[row, col]})
     return run
 
 
@@ -128,7 +130,16 @@ def _pivots(members: DataFrame, rows: int) -> np.ndarray:
 
 def nearest(probes: DataFrame, members: DataFrame, k: int, floor: float | None = None,
             cos_floor: float | None = None, titles: bool = True) -> DataFrame:
-    """Exact top-k of each probe, (id, other, cos, title_sim, combined).
+    """Exact top-k of each probe by combined score, (id, other, cos, title_sim,
+    combined, pos); of those k, the ones below ``cos_floor`` are left out."""
+    found = _scored(probes, members, k, floor, titles)
+    w = Window.partitionBy("id").orderBy(F.desc("combined"), F.desc("cos"), F.desc("title_sim"), F.desc("other"))
+    top = found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return top if cos_floor is None else top.filter(F.col("cos") >= cos_floor)
+
+
+def _scored(probes: DataFrame, members: DataFrame, k: int | None, floor: float | None, titles: bool) -> DataFrame:
+    """What every block finds: the k best of each probe in it, or all pairs from the floor on.
 
     Vectors are split into cells around pivots.  With a floor on the combined
     score an angle follows, and a probe visits only the cells that can hold a
@@ -159,9 +170,7 @@ def nearest(probes: DataFrame, members: DataFrame, k: int, floor: float | None =
                                         "id", "vec", "words", F.lit(False).alias("probe"))
     right = pc.join(grid, "cell").select("cell", spread("mb").alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("pb")).alias("j"),
                                          "id", "vec", "words", F.lit(True).alias("probe"))
-    found = left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_block_top(k, floor, cos_floor), _PAIRS)
-    w = Window.partitionBy("id").orderBy(F.desc("combined"), F.desc("cos"), F.desc("title_sim"), F.desc("other"))
-    return found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    return left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_block_top(k, floor), _PAIRS)
 
 
 def neighbours(notes: DataFrame, k: int = TOP_K, merge: float = ZONE_MERGE, flag: float = ZONE_FLAG) -> DataFrame:
@@ -190,7 +199,7 @@ def pairs(notes: DataFrame, floor: float = ZONE_FLAG) -> DataFrame:
     Exact over the whole batch; the block join emits only qualifying pairs.
     """
     ids = notes.withColumn("id", F.col("id").cast("string"))
-    found = nearest(ids, ids, 1 << 30, floor, titles="title" in notes.columns)
+    found = _scored(ids, ids, None, floor, "title" in notes.columns)
     return found.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "cos", "title_sim",
                                              "combined", zone(F.col("combined")).alias("zone"))
 

@@ -10,15 +10,15 @@ from .fixtures import notes, with_notes
 from .registry import plan, table
 from .text_plans import FM_ROWS
 
-CENSUS = "census AS (SELECT 'inbox/' || CASE doc_id % 3 WHEN 0 THEN 'file-' || doc_id || '.pdf' WHEN 1 THEN 'scan ' || doc_id || '.png' ELSE 'notes-' || doc_id % 60 || '.docx' END AS name, sha256(text) AS sha256, doc_id FROM documents WHERE doc_id % 3 < 2 OR doc_id < 60)"
+CENSUS = "census AS (SELECT 'inbox/' || CASE doc_id % 3 WHEN 0 THEN 'file-' || doc_id || '.pdf' WHEN 1 THEN 'scan ' || doc_id || '.png' ELSE CASE WHEN doc_id < 60 THEN 'notes-' || doc_id % 60 ELSE 'memo-' || doc_id END || '.docx' END AS name, sha256(text) AS sha256, doc_id FROM documents)"
 
 
 def census(spark, sf):
     i = F.col("doc_id")
     s = i.cast("string")
     name = F.when(i % 3 == 0, F.concat(F.lit("file-"), s, F.lit(".pdf"))).when(i % 3 == 1, F.concat(F.lit("scan "), s, F.lit(".png"))).otherwise(
-        F.concat(F.lit("notes-"), (i % 60).cast("string"), F.lit(".docx")))
-    return table(spark, sf, "documents").filter((i % 3 < 2) | (i < 60)).select(F.concat(F.lit("inbox/"), name).alias("name"), F.sha2("text", 256).alias("sha256"), "doc_id")
+        F.concat(F.when(i < 60, F.lit("notes-")).otherwise(F.lit("memo-")), s, F.lit(".docx")))
+    return table(spark, sf, "documents").select(F.concat(F.lit("inbox/"), name).alias("name"), F.sha2("text", 256).alias("sha256"), "doc_id")
 
 
 READY = "ready AS (SELECT path, base, text, k FROM notes WHERE k % 6 = 0 AND (k % 5 IN (0, 2)) AND regexp_matches(text, '(?s)status: \"final\".*Публичные источники:'))"

@@ -69,7 +69,7 @@ def _notes(d: dict[str, str]) -> str:
       CASE WHEN k % 12 = 0 THEN concat('project: alpha', {nl}, 'repo: acme/tool', {nl}, 'stars: 12', {nl},
                                        'license: MIT', {nl}, 'risk: low', {nl}) ELSE '' END,
       'project_categories: [', CASE k % 6 WHEN 0 THEN 'данные, "unknown-kind"' WHEN 1 THEN '' ELSE 'Прочие сигналы знаний' END, ']', {nl},
-      'projects: [', CASE WHEN k % 12 = 0 THEN 'themis, "atlas"' ELSE 'atlas' END, ']', {nl},
+      'projects: [', CASE WHEN k % 12 = 0 THEN 'client-law, "atlas"' ELSE 'atlas' END, ']', {nl},
       'sources:', {nl}, '  - "inbox/file-', {k}, '.pdf"', {nl}, '  - notes-', CAST(k % 50 AS STRING), '.docx', {nl},
       CASE WHEN k % 5 = 0 THEN concat('updated: 2024-06-', {day}, {nl}) ELSE '' END,
       CASE WHEN k % 2 = 0 THEN concat('created: 2024-03-', {day}, {nl}) ELSE '' END,

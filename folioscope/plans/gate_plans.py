@@ -58,9 +58,14 @@ def legacy_failures(spark, sf):
     return G.legacy_failures(notes(spark, sf), require_dossier=True)
 
 
-@plan("freshness_failures", with_notes("""SELECT path, CASE WHEN k % 11 = 0 THEN 'no-trust-block' WHEN k % 13 = 0 AND k % 6 <> 0 THEN 'empty-trust-block' ELSE 'no-freshness-mark' END AS rule FROM notes WHERE k % 11 = 0 OR k % 13 = 0 OR k % 3 <> 0"""))
+def _mixed(spark, sf):
+    """The notes, every tenth of them below a service folder."""
+    return notes(spark, sf).withColumn("path", F.when(F.col("k") % 10 == 0, F.concat(F.lit("99 Система/"), "base")).otherwise(F.col("path")))
+
+
+@plan("freshness_failures", with_notes("""SELECT path, CASE WHEN k % 11 = 0 THEN 'no-trust-block' WHEN k % 13 = 0 AND k % 6 <> 0 THEN 'empty-trust-block' ELSE 'no-freshness-mark' END AS rule FROM notes WHERE k % 10 <> 0 AND (k % 11 = 0 OR k % 13 = 0 OR k % 3 <> 0)"""))
 def freshness_failures(spark, sf):
-    return G.freshness_failures(notes(spark, sf))
+    return G.freshness_failures(_mixed(spark, sf))
 
 
 @plan("layer_failures")

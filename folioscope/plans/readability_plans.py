@@ -139,11 +139,23 @@ def four_way_verdicts(spark, sf):
     return d.groupBy("v.accuracy", "v.terminology").agg(F.count("*").alias("n"))
 
 
-@plan("rewrite_outcomes", with_notes(r"""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN k % 89 = 0 AND k % 97 <> 0 THEN 'input-error' WHEN k % 7 IN (0, 2) THEN 'fixed' ELSE 'failed' END AS outcome FROM notes WHERE k % 7 IN (0, 1, 2, 4)) GROUP BY ALL"""))
+@plan("rewrite_outcomes", with_notes(r"""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN k % 89 = 0 AND k % 97 <> 0 THEN 'input-error' WHEN k % 7 IN (0, 2) THEN 'fixed' ELSE 'failed' END AS outcome FROM notes WHERE k % 7 IN (0, 1, 2, 4) AND NOT regexp_matches(path, '(^|/)[._]')) GROUP BY ALL"""))
 def rewrite_outcomes(spark, sf):
     return R.rewrite_pass(notes(spark, sf).select("path", "text")).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@plan("readability_sweep")
+def scan_text_sql(t: str) -> str:
+    """The judged text: no head, code or untouchable section."""
+    t = rf"regexp_replace({t}, '^(?s:---\r?\n.*?\r?\n---(?:\r?\n|$))', '')"
+    t = rf"regexp_replace(regexp_replace({t}, '(?s)```.*?```', ' ', 'g'), '`[^`\n]+`', ' ', 'g')"
+    for title in rules.UNTOUCHABLE:
+        t = rf"regexp_replace({t}, '(?s)(?m:{rules.body_heading(title)}).*?(\n##\s+|\z)', ' \1', 'g')"
+    return t
+
+
+@plan("readability_sweep", with_notes(f""", src AS (SELECT path, {scan_text_sql("text")} AS text FROM (SELECT CASE WHEN k % 5 = 0 THEN '_old/' || base ELSE path END AS path, text FROM notes)
+    WHERE NOT regexp_matches(path, '(^|/)[._]')), {SCORE}
+  SELECT CASE WHEN hard > 0 THEN 'failure' WHEN ban_count > 0 OR score < 85 THEN 'advice' ELSE 'ok' END AS level, count(*) AS n, min(score) AS low FROM scored GROUP BY ALL"""))
 def readability_sweep(spark, sf):
-    return R.sweep(notes(spark, sf).select("path", "text")).groupBy("level").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    n = notes(spark, sf).select(F.when(F.col("k") % 5 == 0, F.concat(F.lit("_old/"), "base")).otherwise(F.col("path")).alias("path"), "text")
+    return R.sweep(n).groupBy("level").agg(F.count("*").alias("n"), F.min("score").alias("low"))

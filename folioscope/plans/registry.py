@@ -24,11 +24,11 @@ def plan(name: str, oracle: str | None = None) -> Callable[[Plan], Plan]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.  A text table in fewer files than there are cores could
-    not feed them, so its rows are spread; a large one is read as it lies."""
+    """A given table, read as it lies.
+
+    A session that reads single-file samples may set ``spark.folioscope.spread``
+    to deal the rows of text tables out to so many partitions.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name in ("documents", "pages"):
-        cores = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < cores:
-            return df.repartition(cores)
-    return df
+    parts = int(spark.conf.get("spark.folioscope.spread", "0"))
+    return df.repartition(parts) if parts and name in ("documents", "pages") else df

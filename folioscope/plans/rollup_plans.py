@@ -161,7 +161,7 @@ def _results(spark, sf):
         F.when(i % 4 == 0, "note").when(i % 4 == 1, "atoms").otherwise("dup").alias("outcome"),
         F.array(F.concat(F.lit("a/"), (i % 3).cast("string")), F.concat(F.lit("b/"), (i % 3).cast("string")), F.concat(F.lit("c/x"), (i % 5).cast("string"))).alias("files"),
         F.concat_ws(" ", F.when(i % 97 % 6 == 0, "Agent").when(i % 97 % 6 == 1, "Legal portal").when(i % 97 % 6 == 2, "Startup investor").otherwise("Plain"), F.get(F.split("text", " "), F.lit(0))).alias("title"),
-        F.substring("text", 1, 200).alias("summary"))
+        F.col("text").alias("summary"))
 
 
 def _w(terms, e):
@@ -169,7 +169,7 @@ def _w(terms, e):
 
 
 RECS = f"""res AS (SELECT 'n' || doc_id % 97 AS key, lpad(CAST(doc_id AS STRING), 7, '0') AS group_id, CASE doc_id % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'atoms' ELSE 'dup' END AS outcome, 2 AS nf,
-    CASE doc_id % 97 % 6 WHEN 0 THEN 'Agent' WHEN 1 THEN 'Legal portal' WHEN 2 THEN 'Startup investor' ELSE 'Plain' END || ' ' || string_split(text, ' ')[1] AS title, substr(text, 1, 200) AS summary FROM documents),
+    CASE doc_id % 97 % 6 WHEN 0 THEN 'Agent' WHEN 1 THEN 'Legal portal' WHEN 2 THEN 'Startup investor' ELSE 'Plain' END || ' ' || string_split(text, ' ')[1] AS title, text AS summary FROM documents),
   rg AS (SELECT key, count(*) AS groups, CAST(sum(nf) AS BIGINT) AS files, count(*) FILTER (outcome = 'note') AS note, count(*) FILTER (outcome = 'atoms') AS atoms, count(*) FILTER (outcome = 'dup') AS dup,
     arg_min(title, group_id) AS title, arg_min(summary, group_id) AS summary FROM res GROUP BY key),
   rl AS (SELECT *, lower(title || ' ' || summary) AS low FROM rg),
@@ -342,10 +342,10 @@ def new_feed_items(spark, sf):
 _SEED = "regexp_extract(url, '^https?://[^/?#]+'{})"
 
 
-@plan("site_addresses", f"""SELECT url AS seed, u FROM (SELECT url, list_slice({odistinct("l")}, 1, 4) AS us FROM (SELECT url, list_concat([url], [{_SEED.format('')} || '/a' || page_id, {_SEED.format('')} || '/b', url]) AS l FROM pages WHERE page_id % 2 = 0)), (SELECT unnest(range(1, 5)) AS i), LATERAL (SELECT us[i] AS u) WHERE u IS NOT NULL""")
+@plan("site_addresses", f"""SELECT url AS seed, u FROM (SELECT url, list_slice({odistinct("l")}, 1, 4) AS us FROM (SELECT url, list_concat([url], [{_SEED.format('')} || '/a' || page_id, {_SEED.format('')} || '/b', url]) AS l FROM pages)), (SELECT unnest(range(1, 5)) AS i), LATERAL (SELECT us[i] AS u) WHERE u IS NOT NULL""")
 def site_addresses(spark, sf):
     from ..functions import html as H
-    p = table(spark, sf, "pages").filter("page_id % 2 = 0")
+    p = table(spark, sf, "pages")
     o = H.origin(F.col("url"))
     xml = F.concat(F.lit("<loc>"), o, F.lit("/a"), F.col("page_id").cast("string"), F.lit("</loc><loc>https://other.org/x</loc><loc>"), o, F.lit("/b</loc>"))
     seeds = p.select(F.col("url").alias("seed"), F.lit("Sitemap: x").alias("robots"), F.array(xml).alias("sitemaps"), "html")

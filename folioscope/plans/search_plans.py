@@ -171,12 +171,18 @@ LISTS = f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id OR
   mut AS (SELECT be.* FROM be WHERE (SELECT count(*) FROM ends x WHERE x.a = be.a AND x.b = be.b AND rn <= 4) = 2)"""
 
 
-@plan("vector_top_k", f"WITH {VEC} SELECT id, other, pos, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other DESC) AS pos FROM p WHERE cos >= 0.1) WHERE pos <= 3")
+@plan("vector_top_k", f"WITH {VEC} SELECT id, other, pos, round(cos, 6) AS cos FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, other DESC) AS pos FROM p) WHERE pos <= 3 AND cos >= 0.1")
 def vector_top_k(spark, sf):
     n = vec_notes(spark, sf).drop("title")
     return V.nearest(n, n, 3, cos_floor=0.1, titles=False).select("id", "other", "pos", F.round("cos", 6).alias("cos"))
 
 
+@plan("vector_titled_top_k", f"WITH {VEC} SELECT id, other, pos, round(cos, 6) AS cos, round(combined, 6) AS combined FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY combined DESC, cos DESC, sim DESC, other DESC) AS pos FROM s) WHERE pos <= 3 AND cos >= 0.3")
+def vector_titled_top_k(spark, sf):
+    n = vec_notes(spark, sf)
+    return V.nearest(n, n, 3, cos_floor=0.3).select("id", "other", "pos", F.round("cos", 6).alias("cos"), F.round("combined", 6).alias("combined"))
+
+
 @plan("vector_pairs", f"WITH {VEC} SELECT id AS a, other AS b, round(cos, 6) AS cos, round(sim, 6) AS title_sim, round(combined, 6) AS combined, CASE WHEN combined >= 0.9 THEN 'merge' WHEN combined >= 0.72 THEN 'flag' ELSE 'new' END AS zone FROM s WHERE id < other AND combined >= 0.45")
 def vector_pairs(spark, sf):
     d = V.pairs(vec_notes(spark, sf), 0.45)

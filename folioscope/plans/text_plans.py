@@ -280,10 +280,9 @@ def stock_phrase_rewrites(spark, sf):
     return notes(spark, sf).select("path", F.md5(P.rewrite_stock_phrases(F.col("text"))).alias("digest"))
 
 
-@plan("display_redaction", with_notes(rf"""SELECT path, replace({sq("substr(regexp_extract(text, '## Короткий ответ[^#]*'), 1, 90)")}, 'raw ocr IMG_1234.PNG', 'локальное извлечение локальный визуальный источник') AS shown FROM notes"""))
+@plan("display_redaction", with_notes(rf"""SELECT path, replace({sq("regexp_extract(text, '## Короткий ответ[^#]*')")}, 'raw ocr IMG_1234.PNG', 'локальное извлечение локальный визуальный источник') AS shown FROM notes"""))
 def display_redaction(spark, sf):
-    head = F.substring(F.regexp_extract("text", r"## Короткий ответ[^#]*", 0), 1, 90)
-    return notes(spark, sf).select("path", P.redact(head).alias("shown"))
+    return notes(spark, sf).select("path", P.redact(F.regexp_extract("text", r"## Короткий ответ[^#]*", 0)).alias("shown"))
 
 
 # -- note heads ------------------------------------------------------------------
@@ -323,7 +322,7 @@ def head_properties(spark, sf):
   CASE WHEN ok THEN CASE k % 10 WHEN 3 THEN 'public' WHEN 7 THEN 'secret' END END AS data_class,
   CASE WHEN ok AND k % 23 = 0 THEN '77 Unknown' END AS section,
   CASE WHEN ok AND k % 9 <> 0 THEN 'https://www.site' || k % 13 || '.example.com/p/' || k END AS source,
-  CASE WHEN NOT ok THEN NULL WHEN k % 12 = 0 THEN 'themis,atlas' ELSE 'atlas' END AS projects,
+  CASE WHEN NOT ok THEN NULL WHEN k % 12 = 0 THEN 'client-law,atlas' ELSE 'atlas' END AS projects,
   CASE WHEN ok THEN 'inbox/file-' || k || '.pdf,notes-' || k % 50 || '.docx' END AS sources FROM notes"""))
 def lenient_heads(spark, sf):
     d = notes(spark, sf).select("path", fm.lenient_fields(F.col("text")).alias("f"))
@@ -437,7 +436,7 @@ def section_choice(spark, sf):
 @plan("project_members", with_notes(r"SELECT path FROM notes WHERE k % 12 = 0 AND regexp_matches(text, '(?s)^---\n.*?\n---\n')"))
 def project_members(spark, sf):
     f = fm.lenient_fields(F.col("text"))
-    return notes(spark, sf).filter(f["ok"] & F.array_contains(f["projects"], "themis")).select("path")
+    return notes(spark, sf).filter(f["ok"] & F.array_contains(f["projects"], "client-law")).select("path")
 
 
 @plan("strictly_ready_notes", with_notes(r"""SELECT path FROM notes WHERE k % 6 = 0 AND (k % 5 IN (0, 2)) AND contains(text, 'https://')
@@ -507,9 +506,9 @@ def public_source_union(spark, sf):
 @plan("local_verification", with_rich(rf"""SELECT page_id, CASE WHEN n > 0 THEN 'assumed' ELSE 'unknown' END AS status,
   CASE WHEN n > 0 THEN 'непроверяемо-методом' ELSE 'не-проверялось' END AS verified FROM (SELECT page_id, len(list_filter(
     list_transform(regexp_extract_all(t, '\bhttps?://[^\s)]+'), lambda x: regexp_replace(x, '[.,;]+$', '')), lambda u: {public_sql('u')})) AS n
-  FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN '' ELSE {html_text_sql('html')} END AS t FROM pages_rich))"""))
+  FROM (SELECT page_id, {html_text_sql('html')} AS t FROM pages_rich))"""))
 def local_verification(spark, sf):
-    t = F.when(F.col("page_id") % 4 == 0, "").otherwise(H.to_text(F.col("html")))
+    t = H.to_text(F.col("html"))
     has = F.size(U.extract_urls(t)) > 0
     return pages_rich(spark, sf).select("page_id", F.when(has, "assumed").otherwise("unknown").alias("status"),
                                         F.when(has, rules.VERIFIED[2]).otherwise(rules.VERIFIED[5]).alias("verified"))

@@ -23,7 +23,7 @@ def local_session(cores: int | str = 8, app: str = "folioscope", **extra: str) -
     """Session for tests and benchmarks on one machine."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = {**SETTINGS, "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-            "spark.driver.memory": "12g", **extra}
+            "spark.driver.memory": "12g", "spark.folioscope.spread": str(cores) if str(cores).isdigit() else "0", **extra}
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -56,6 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other trouble with it raises."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out to all cores ahead of work that is long per row.
 

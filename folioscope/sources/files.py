@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import rules
 from ..functions.normal_form import nfc
 from ..functions.text import compact
 
@@ -29,7 +30,7 @@ def _relative(root: str):
 
 
 def scan_notes(spark: SparkSession, root: str, skip: tuple[str, ...] = (".git", ".obsidian"),
-               skip_prefixes: tuple[str, ...] = ("graphify-out",), skip_paths: tuple[str, ...] = ()) -> DataFrame:
+               skip_prefixes: tuple[str, ...] = (rules.GRAPH_FOLDER,), skip_paths: tuple[str, ...] = ()) -> DataFrame:
     """notes(path, base, section, text, mtime, sha256) of all Markdown files.
 
     Names are brought to NFC here, once, so later joins are plain equi-joins.

@@ -30,12 +30,9 @@ def write_snapshot(snap: DataFrame, path: str, snapshot_id: str) -> None:
 def append_new(df: DataFrame, path: str, key: str = "fingerprint") -> DataFrame:
     """Append rows whose key the table does not hold yet; returns the counts."""
     from ..operators.changes import write_once
-    from ..session import cut_lineage
+    from ..session import cut_lineage, path_exists
     spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        existing = df.limit(0)
+    existing = spark.read.parquet(path) if path_exists(spark, path) else df.limit(0)
     fresh, counts = write_once(df, existing, key)
     counts = cut_lineage(counts)
     cut_lineage(fresh).write.mode("append").parquet(path)

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import path_exists
 from ..sources.files import FILE_SCHEMA
 
 
@@ -33,10 +35,8 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    """The batches written so far, none before the first."""
+    return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -103,30 +103,40 @@ def floors(stream: DataFrame) -> DataFrame:
     return stream.groupBy("gate").agg(F.max("floor").alias("floor"))
 
 
-def red_since(stream: DataFrame) -> DataFrame:
-    """(check, last_green, first_red_at) kept as state per check.
+def red_since(stream: DataFrame, late_days: float = 7) -> DataFrame:
+    """(check, last_green, first_red_at) kept as state per check, in update mode.
 
-    ``stream(check string, ts timestamp, red boolean)``.  Order inside a trigger
-    does not matter: the newest green is found first, then the oldest red after
-    it.
+    ``stream(check string, ts timestamp, red boolean)``.  Neither the order
+    inside a trigger nor that of triggers matters: a check's state is its newest
+    green and the reds after it, so a green that arrives late uncovers the red
+    that follows it.  Reds older than ``late_days`` before the newest event fold
+    into their first, which bounds the state of a check that stays red; a green
+    later than that is taken as at the end of the folded stretch.
     """
+    late = int(late_days * 86_400_000_000)
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        green, red = state.get if state.exists else (None, None)
-        green, red = pd.Timestamp(green) if green else None, pd.Timestamp(red) if red else None
-        reds = [] if red is None else [red]
+        green, reds = (state.get[0], np.frombuffer(bytes(state.get[1]), np.int64)) if state.exists else (None, np.empty(0, np.int64))
         for b in batches:
-            g = b.loc[~b.red, "ts"].max()
-            if pd.notna(g) and (green is None or g > green):
-                green = g
-            reds.extend(b.loc[b.red, "ts"])
-            reds = [r for r in reds if green is None or r > green]
-            reds = [min(reds)] if green is None and reds else reds
-        left = [r for r in reds if green is None or r > green]
-        red = min(left) if left else None
-        state.update((None if green is None else green.isoformat(), None if red is None else red.isoformat()))
-        yield pd.DataFrame({"check": [key[0]], "last_green": [green], "first_red_at": [red]})
+            ts, red = b.ts.to_numpy().astype("datetime64[us]").astype(np.int64), b.red.to_numpy(dtype=bool)
+            if (~red).any():
+                green = int(max(ts[~red].max(), ts.min() if green is None else green))
+            reds = np.union1d(reds, ts[red])
+        reds = reds if green is None else reds[reds > green]
+        if len(reds):
+            reds = np.union1d(reds[:1], reds[reds >= reds[-1] - late])
+        state.update((green, reds.tobytes()))
+        yield pd.DataFrame({"check": [key[0]], "last_green": [pd.NaT if green is None else pd.Timestamp(green, unit="us")],
+                            "first_red_at": [pd.Timestamp(reds[0], unit="us") if len(reds) else pd.NaT]})
     out = "check string, last_green timestamp, first_red_at timestamp"
-    return stream.groupBy("check").applyInPandasWithState(step, out, "green string, red string", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("check").applyInPandasWithState(step, out, "green long, reds binary", "update", GroupStateTimeout.NoTimeout)
+
+
+def overdue(states: DataFrame, now: str, days: float = 1) -> DataFrame:
+    """Checks that have been red for more than ``days``, silent ones included:
+    a check keeps its last state until it reports again."""
+    since = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("first_red_at")
+    return states.filter(since > int(days * 86_400_000_000)).select("check", "first_red_at")
 
 
 def item_states(stream: DataFrame) -> DataFrame:

@@ -191,9 +191,9 @@ def room(spark):
 
 def test_files_and_caches(spark):
     root = room(spark)
-    os.makedirs(f"{root}/02 A+b/graphify-out-x")
+    os.makedirs(f"{root}/02 A+b/graph-out-x")
     os.makedirs(f"{root}/.git")
-    for name, text in (("02 A+b/" + unicodedata.normalize("NFD", "йод.md"), "# x"), ("top.md", "y"), (".git/z.md", "no"), ("02 A+b/graphify-out-x/q.md", "no"), ("pic.png", "p")):
+    for name, text in (("02 A+b/" + unicodedata.normalize("NFD", "йод.md"), "# x"), ("top.md", "y"), (".git/z.md", "no"), ("02 A+b/graph-out-x/q.md", "no"), ("pic.png", "p")):
         with open(f"{root}/{name}", "w") as f:
             f.write(text)
     got = {r["path"]: (r["base"], r["section"], r["text"]) for r in files.scan_notes(spark, root).collect()}

@@ -106,8 +106,8 @@ def test_freshness(spark):
 
 @pytest.mark.parametrize("path,head,want", [
     ("05 Кино/n.md", "title: x", "text"), ("02 Здоровье/n.md", "title: x", "personal"), ("01 Право и Юриспруденция/n.md", "data_class: public", "pd"),
-    ("05 Кино/n.md", "data_class: personal", "personal"), ("05 Кино/n.md", "sources:\n  - agent-research--themis--1", "pd"),
-    ("05 Кино/n.md", "projects: [themis]", "pd"), ("05 Кино/n.md", "section: 77 Нет", None), ("05 Кино/n.md", None, "personal")])
+    ("05 Кино/n.md", "data_class: personal", "personal"), ("05 Кино/n.md", "sources:\n  - agent-research--client-law--1", "pd"),
+    ("05 Кино/n.md", "projects: [client-law]", "pd"), ("05 Кино/n.md", "section: 77 Нет", None), ("05 Кино/n.md", None, "personal")])
 def test_sensitivity(spark, path, head, want):
     text = "plain" if head is None else f"---\n{head}\n---\nbody"
     row = G.sensitivity(spark.createDataFrame([(path, text)], "path string, text string")).first()
