@@ -255,48 +255,73 @@ def batch_gate(classes: DataFrame, target: str) -> DataFrame:
 
 # -- canon audit ------------------------------------------------------------------------
 
-def routed_section(title: Column, section: Column) -> Column:
-    """Section a note belongs to by its title; the first rule wins."""
-    low = F.lower(title)
-    out = F.coalesce(T.blank_to_null(section), F.lit(rules.ROUTE_DEFAULT))
+def routed_section(note: dict[str, Column]) -> Column:
+    """Section a note belongs to; the first rule wins.
+
+    ``note`` has the columns base, section, path, title, type and tags.
+    """
+    low = {k: F.lower(F.coalesce(c, F.lit(""))) for k, c in note.items()}
+    low["either"] = F.concat(low["title"], F.lit(" "), low["path"])
+
+    def holds(test: dict[str, str]) -> Column:
+        out = F.lit(True)
+        for field, value in test.items():
+            out = out & (note["section"] == value if field == "section" else note["base"].rlike(value) if field == "base"
+                         else low[field].rlike("(?u)" + value))
+        return F.coalesce(out, F.lit(False))
+    out = F.coalesce(T.blank_to_null(note["section"]), F.lit(rules.ROUTE_DEFAULT))
     for pattern, target in reversed(rules.TITLE_ROUTES):
-        out = F.when(low.rlike("(?u)" + pattern), target).otherwise(out)
+        hit = low["title"].rlike("(?u)" + pattern)
+        if target in rules.TAG_ROUTES:
+            hit = hit | low["tags"].contains(rules.TAG_ROUTES[target])
+        out = F.when(hit, target).otherwise(out)
+    for test, target in reversed(rules.EARLY_ROUTES):
+        out = F.when(holds(test), target).otherwise(out)
     return out
 
 
+def head_value(text: Column, key: str) -> Column:
+    """Value of one line of the head, quotes off; empty where there is none."""
+    return T.sub(T.strip(F.regexp_extract(text, rf"(?m)\A---\n(?s:.*?)^{key}:\s*(?-s:(.*))$", 1)), r"^['\"]|['\"]$", "")
+
+
 def canon_audit(notes: DataFrame) -> DataFrame:
-    """(path, flags, soft, score, inferred) of each note."""
+    """(path, section, inferred, flags, soft, score) of each note."""
     text = F.col("text")
-    quote = r"^['\"]|['\"]$"
-    head_title = T.sub(T.strip(F.regexp_extract(text, r"(?m)\A---\n(?s:.*?)^title:\s*(?-s:(.*))$", 1)), quote, "")
     h1 = T.strip(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1))
-    title = F.coalesce(T.blank_to_null(head_title), T.blank_to_null(h1), T.sub(F.col("base"), r"\.md$", ""))
-    d = T.staged(notes, title=title, atomised=text.rlike(rules.ATOMISED_HEADING), system=P.service_path(F.col("path")))
-    d = T.staged(d, inferred=routed_section(F.col("title"), F.col("section")))
-    judged = ~F.col("system") & ~F.col("atomised")
+    title = F.coalesce(T.blank_to_null(head_value(text, "title")), T.blank_to_null(h1), T.sub(F.col("base"), r"\.md$", ""))
 
     def any_of(patterns: Sequence[str]) -> Column:
         hit = F.lit(False)
         for p in patterns:
             hit = hit | text.rlike(p)
         return hit
-    flags = [F.when(judged & ~any_of(p), F.lit(f"missing:{k}")) for k, p in rules.AUDIT_KINDS.items()]
+    d = T.staged(notes, title=title, atomised=text.rlike(rules.ATOMISED_HEADING), type=head_value(text, "type"),
+                 tags=head_value(text, "tags"), status=head_value(text, "status"), present=F.array(*[any_of(p) for p in rules.AUDIT_KINDS.values()]),
+                 system=F.col("path").isin(rules.AUDIT_SYSTEM_FILES) | F.col("path").rlike(rules.AUDIT_SYSTEM_PATHS))
+    d = T.staged(d, inferred=routed_section({k: F.col(k) for k in ("base", "section", "path", "title", "type", "tags")}))
+    judged = ~F.col("system") & ~F.col("atomised")
+    processed = ((F.lower("status") == "processed") & F.forall("present", lambda x: x)
+                 & F.lower("type").isin(rules.PROCESSED_TYPES))
+    flags = [F.when(judged & ~F.get("present", F.lit(i)), F.lit(f"missing:{k}")) for i, k in enumerate(rules.AUDIT_KINDS)]
     mentions = text.rlike("(?iu)source|источник")
-    soft = [F.when(~F.col("system") & F.col("atomised"), F.lit("atomized-source"))]
+    soft = [F.when(F.col("atomised"), F.lit("atomized-source"))]
     for label, p in rules.AUDIT_RAW:
         hit = text.rlike(p)
         flags.append(F.when(hit & ~(F.col("system") | mentions), F.lit(f"raw:{label}")))
         soft.append(F.when(hit & (F.col("system") | mentions), F.lit(f"raw-reference:{label}")))
+    soft.append(F.when(F.col("base").rlike(r"^_COMMUNITY_|Community \d+"), F.lit("graph-community-note")))
     alias = F.lit(None).cast("string")
     for a, target in rules.SECTION_ALIASES.items():
         alias = F.when(F.col("section") == a, target).otherwise(alias)
     flags += [F.when(judged & (F.size(T.lines_of(text)) > 220), F.lit("long-note")),
-              F.when(judged & (T.count_of(text, r"(?m)^#{1,6}\s") >= 12), F.lit("many-headings")),
-              F.when(judged & F.col("title").rlike(rules.COLLECTION_WORDS), F.lit("collection-candidate")),
+              F.when(judged & (T.count_of(text, r"(?m)^##+\s+") >= 12), F.lit("many-headings")),
+              F.when(judged & ~processed & F.col("title").rlike(rules.COLLECTION_WORDS), F.lit("collection-candidate")),
               F.when(alias.isNotNull(), F.concat(F.lit("section-alias:"), alias)),
-              F.when(~F.col("section").isin(rules.CANON_SECTIONS) & alias.isNull(), F.lit("noncanonical-section")),
-              F.when(~F.col("system") & (F.col("inferred") != F.col("section")) & ~alias.eqNullSafe(F.col("inferred")),
-                     F.concat(F.lit("route:"), F.col("inferred")))]
+              F.when(~F.col("section").isin(rules.CANON_SECTIONS) & alias.isNull()
+                     & ~F.col("section").startswith("08 AI и Инструменты/"), F.lit("noncanonical-section")),
+              F.when(~F.col("system") & (F.col("inferred") != F.col("section")) & ~alias.eqNullSafe(F.col("inferred"))
+                     & ~F.col("path").startswith(F.concat("inferred", F.lit("/"))), F.concat(F.lit("route:"), F.col("inferred")))]
     d = T.staged(d, flags=F.filter(F.array(*flags), lambda x: x.isNotNull()), soft=F.filter(F.array(*soft), lambda x: x.isNotNull()))
     hard = F.size(F.filter("flags", lambda x: ~x.startswith("route:")))
     return d.select("path", "section", "inferred", "flags", "soft",

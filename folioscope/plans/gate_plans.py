@@ -116,12 +116,64 @@ def sensitivity_batch_gate(spark, sf):
     return G.batch_gate(G.sensitivity(notes(spark, sf)), "vps")
 
 
-@plan("canon_audit", with_notes(r"""SELECT path, 100 - 12 * (CASE WHEN contains(text, 'Как использовать') THEN 0 ELSE 1 END + CASE WHEN section IN ('09 Технологии', '_drafts') THEN 1 ELSE 0 END
-     + CASE WHEN len(string_split(text, chr(10))) > 220 THEN 1 ELSE 0 END + CASE WHEN k % 11 = 0 AND k % 97 = 0 THEN 1 ELSE 0 END
-     + CASE WHEN k % 97 = 0 AND k % 6 <> 0 AND NOT regexp_matches(text, '(?i)\bsource(_url)?:') THEN 1 ELSE 0 END) - 3 * CASE WHEN k % 7 = 5 THEN 4 ELSE 0 END AS score,
-   CASE WHEN k % 97 = 0 THEN section WHEN k % 4 = 0 THEN '08 AI и Инструменты' WHEN k % 4 = 1 THEN '07 Бизнес и Финансы' WHEN k % 4 = 2 THEN '09 Технологии и Разработка' ELSE section END AS inferred FROM notes WHERE k % 97 <> 0"""))
+# notes moved to the places the audit treats apart, and given types, tags, states and titles
+CANON_MOVES = """CASE k % 13 WHEN 0 THEN '06 Промты/' || base WHEN 1 THEN '08 AI и Инструменты/Claude Code/' || base WHEN 2 THEN '99 Система/_ROUTING/' || base
+   WHEN 3 THEN '03 Проекты/_COMMUNITY_' || base WHEN 4 THEN '09 Технологии и Разработка/' || base WHEN 5 THEN '02 Знания/Capabilities/' || base WHEN 6 THEN '09 Личная продуктивность/' || base ELSE path END"""
+CANON_TEXT = """replace(replace(replace(text, 'type: concept', CASE WHEN k % 3 = 0 THEN 'type: prompt' ELSE 'type: method' END), 'type: decision', 'tags: "#AI"'),
+   'weekly log"', CASE WHEN k % 5 = 0 THEN 'подборка инструментов"' ELSE 'weekly log"' END)"""
+
+
+def _canon(spark, sf):
+    d = notes(spark, sf).selectExpr("k", f"{CANON_MOVES} AS path", f"{CANON_TEXT} AS text")
+    done = F.when(F.col("k") % 10 == 3, F.replace("text", F.lit("# a comment\n"), F.lit("status: processed\n"))).otherwise(F.col("text"))
+    return d.select("k", "path", F.regexp_extract("path", "([^/]*)$", 1).alias("base"), F.split("path", "/")[0].alias("section"), done.alias("text"))
+
+
+def _route_sql() -> str:
+    hay = {"path": "lower(path)", "title": "lower(title)", "type": "lower(type)", "either": "lower(title) || ' ' || lower(path)", "base": "base"}
+    arms = []
+    for test, target in rules.EARLY_ROUTES:
+        on = " AND ".join(f"section = '{v}'" if f == "section" else f"regexp_matches({hay[f]}, '{v}')" for f, v in test.items())
+        arms.append(f"WHEN {on} THEN '{target}'")
+    for pattern, target in rules.TITLE_ROUTES:
+        tag = f" OR contains(lower(tags), '{rules.TAG_ROUTES[target]}')" if target in rules.TAG_ROUTES else ""
+        arms.append(f"WHEN regexp_matches(lower(title), '{pattern}'){tag} THEN '{target}'")
+    return "CASE " + " ".join(arms) + " ELSE section END"
+
+
+def _duck(p: str) -> str:
+    return p.replace("(?imu)", "(?im)").replace("(?iu)", "(?i)").replace("'", "''")
+
+
+def _head_sql(key: str) -> str:
+    return rf"""regexp_replace(trim(regexp_extract(text, '(?m)\A---\n(?s:.*?)^{key}:\s*(.*)$', 1)), '^[''"]|[''"]$', '', 'g')"""
+
+
+_KINDS = ", ".join("(" + " OR ".join(f"regexp_matches(text, '{_duck(p)}')" for p in ps) + f") AS has_{k}" for k, ps in rules.AUDIT_KINDS.items())
+_ALIAS = "CASE section " + " ".join(f"WHEN '{a}' THEN '{t}'" for a, t in rules.SECTION_ALIASES.items()) + " END"
+_FLAGS = ", ".join([f"CASE WHEN judged AND NOT has_{k} THEN 'missing:{k}' END" for k in rules.AUDIT_KINDS]
+                   + [f"CASE WHEN regexp_matches(text, '{_duck(p)}') AND NOT (system OR mentions) THEN 'raw:{n}' END" for n, p in rules.AUDIT_RAW]
+                   + ["CASE WHEN judged AND len(string_split(text, chr(10))) > 220 THEN 'long-note' END", r"CASE WHEN judged AND len(regexp_extract_all(text, '(?m)^##+\s+')) >= 12 THEN 'many-headings' END",
+                      f"CASE WHEN judged AND NOT processed AND regexp_matches(title, '{_duck(rules.COLLECTION_WORDS)}') THEN 'collection-candidate' END", "CASE WHEN alias IS NOT NULL THEN 'section-alias:' || alias END",
+                      f"CASE WHEN section NOT IN ({', '.join(repr(x) for x in rules.CANON_SECTIONS)}) AND alias IS NULL THEN 'noncanonical-section' END",
+                      "CASE WHEN NOT system AND inferred <> section AND alias IS DISTINCT FROM inferred AND NOT starts_with(path, inferred || '/') THEN 'route:' || inferred END"])
+_SOFT = ", ".join(["CASE WHEN atomised THEN 'atomized-source' END"] + [f"CASE WHEN regexp_matches(text, '{_duck(p)}') AND (system OR mentions) THEN 'raw-reference:{n}' END" for n, p in rules.AUDIT_RAW]
+                  + [r"CASE WHEN regexp_matches(base, '^_COMMUNITY_|Community \d+') THEN 'graph-community-note' END"])
+CANON = rf""", c0 AS (SELECT k, {CANON_MOVES} AS path, CASE WHEN k % 10 = 3 THEN replace({CANON_TEXT}, '# a comment' || chr(10), 'status: processed' || chr(10)) ELSE {CANON_TEXT} END AS text FROM notes),
+  c1 AS (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base, string_split(path, '/')[1] AS section, {_head_sql('type')} AS type, {_head_sql('tags')} AS tags, {_head_sql('status')} AS status,
+    regexp_matches(text, '(?m)^##\s+Атомизировано(?:\s|$)') AS atomised, regexp_matches(text, '(?i)source|источник') AS mentions, {_KINDS},
+    path IN ({', '.join(repr(x) for x in rules.AUDIT_SYSTEM_FILES)}) OR regexp_matches(path, '{rules.AUDIT_SYSTEM_PATHS}') AS system FROM c0),
+  c2 AS (SELECT *, coalesce(nullif({_head_sql('title')}, ''), nullif(trim(regexp_extract(text, '(?m)^#\s+(.+)$', 1)), ''), regexp_replace(base, '\.md$', '')) AS title, {_ALIAS} AS alias, NOT system AND NOT atomised AS judged,
+    lower(status) = 'processed' AND {' AND '.join(f'has_{k}' for k in rules.AUDIT_KINDS)} AND lower(type) IN ({', '.join(repr(x) for x in rules.PROCESSED_TYPES)}) AS processed FROM c1),
+  c3 AS (SELECT *, {_route_sql()} AS inferred FROM c2),
+  c4 AS (SELECT *, list_filter([{_FLAGS}], lambda x: x IS NOT NULL) AS flags, list_filter([{_SOFT}], lambda x: x IS NOT NULL) AS soft FROM c3)"""
+
+
+@plan("canon_audit", with_notes(f"""{CANON} SELECT path, section, inferred, array_to_string(flags, ';') AS flags, array_to_string(soft, ';') AS soft,
+   greatest(0, 100 - 12 * len(list_filter(flags, lambda x: NOT starts_with(x, 'route:'))) - 3 * len(soft)) AS score FROM c4"""))
 def canon_audit(spark, sf):
-    return G.canon_audit(notes(spark, sf).filter("k % 97 <> 0")).select("path", "score", "inferred")
+    return G.canon_audit(_canon(spark, sf)).select("path", "section", "inferred", F.array_join("flags", ";").alias("flags"),
+                                                   F.array_join("soft", ";").alias("soft"), F.col("score").cast("long").alias("score"))
 
 
 @plan("final_audit", with_notes(f""", {LINKS}, wkeys AS (SELECT DISTINCT key FROM (SELECT unnest([regexp_replace(path, '\\.md$', ''), regexp_replace(base, '\\.md$', ''), substr(base, 14, length(base) - 16), section]) AS key FROM notes))
