@@ -389,26 +389,39 @@ CHECKS = {"broken_wikilinks": "critical", "index_divergence": "critical", "spec_
           "orphans": "medium", "low_script": "medium", "missing_blocks": "medium", "stale_notes": "info", "root_junk": "info"}
 
 
-def lint_summary(notes: DataFrame, now: str, index_issues: DataFrame | None = None, **kw) -> DataFrame:
-    """(check, severity, n, worst): the nine checks, zero counts included.
+def lint_summary(notes: DataFrame, now: str, index_issues: DataFrame | None = None, worst: int = 20, **kw) -> DataFrame:
+    """(check, severity, n, unique_targets, worst, run_ok): the nine checks, zero counts included.
 
-    ``worst`` is the first path, as a sample; critical checks with rows decide
-    the verdict of the run.
+    ``worst`` lists the ``worst`` items of a check by weight: broken targets by
+    how often they are linked, low shares from the lowest, else paths in order.
+    Any row of a critical check fails the run.  Broken links count per link,
+    ``unique_targets`` per target; only sums per check and the cut lists meet.
     """
     ls = P.wikilinks(notes)
-    parts = [lint_findings(notes, now, **kw).select("check", "path"),
-             L.broken_links(ls, notes).select(F.lit("broken_wikilinks").alias("check"), "path"),
-             L.orphans(ls, notes).select(F.lit("orphans").alias("check"), "path"),
+    zero = F.lit(0.0)
+    found = lint_findings(notes, now, **kw)
+    broken = L.broken_links(ls, notes).groupBy("target").agg(F.count("*").alias("n"))
+    parts = [found.select("check", F.col("path").alias("item"), F.when(F.col("check") == "low_script", F.col("detail").cast("double"))
+                          .otherwise(zero).alias("weight"), F.lit(1).cast("long").alias("n")),
+             broken.select(F.lit("broken_wikilinks").alias("check"), F.col("target").alias("item"), (-F.col("n")).cast("double").alias("weight"), "n"),
+             L.orphans(ls, notes).select(F.lit("orphans").alias("check"), F.col("path").alias("item"), zero.alias("weight"), F.lit(1).cast("long").alias("n")),
              notes.filter(~F.col("path").contains("/") & (F.col("path").startswith("Без названия") | (F.col("path") == ".DS_Store")))
-             .select(F.lit("root_junk").alias("check"), "path")]
+             .select(F.lit("root_junk").alias("check"), F.col("path").alias("item"), zero.alias("weight"), F.lit(1).cast("long").alias("n"))]
     if index_issues is not None:
-        parts.append(index_issues.select(F.lit("index_divergence").alias("check"), "path"))
-    allrows = parts[0]
+        parts.append(index_issues.select(F.lit("index_divergence").alias("check"), F.col("path").alias("item"), zero.alias("weight"),
+                                         F.lit(1).cast("long").alias("n")))
+    rows = parts[0]
     for p in parts[1:]:
-        allrows = allrows.unionByName(p)
-    counts = allrows.groupBy("check").agg(F.count("*").alias("n"), F.min("path").alias("worst"))
+        rows = rows.unionByName(p)
+    counts = rows.groupBy("check").agg(F.sum("n").alias("n"), F.count("*").alias("items"))
+    w = Window.partitionBy("check").orderBy("weight", "item")
+    top = rows.withColumn("at", F.row_number().over(w)).filter(F.col("at") <= worst).groupBy("check").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("worst"))
     names = notes.sparkSession.createDataFrame(list(CHECKS.items()), "check string, severity string")
-    return names.join(counts, "check", "left").fillna(0, ["n"])
+    d = names.join(counts, "check", "left").join(top, "check", "left").fillna(0, ["n"])
+    bad = F.sum(F.when(F.col("severity") == "critical", F.col("n")).otherwise(0)).over(Window.partitionBy())  # nine rows
+    return d.select("check", "severity", "n", F.when(F.col("check") == "broken_wikilinks", F.coalesce("items", F.lit(0))).alias("unique_targets"),
+                    F.coalesce("worst", F.array().cast("array<string>")).alias("worst"), (bad == 0).alias("run_ok"))
 
 
 # -- indexes, composite gate, weekly cards ------------------------------------------------------

@@ -90,7 +90,15 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rewrite_ends(edges: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Edge ends (and members of hyper-edges) through ``id_map(old, new)``."""
+    """Edge ends, and the members of hyper-edges (an array column ``nodes``), through ``id_map(old, new)``."""
+    if "nodes" in edges.columns:
+        row = edges.withColumn("_row", F.monotonically_increasing_id()).select("*", F.posexplode_outer("nodes").alias("_at", "_old"))
+        m = id_map.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+        part = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_new", "_old").alias("id")))
+        keep = [c for c in edges.columns if c != "nodes"]
+        edges = row.join(m, "_old", "left").groupBy("_row").agg(
+            *[F.first(c).alias(c) for c in keep], F.first("nodes").alias("_was"), F.array_sort(F.collect_list(part)).alias("_now")).select(
+            *[F.when(F.col("_was").isNotNull(), F.transform("_now", lambda x: x["id"])).alias(c) if c == "nodes" else c for c in edges.columns])
     s = id_map.select(F.col("old").alias("source"), F.col("new").alias("_s"))
     t = id_map.select(F.col("old").alias("target"), F.col("new").alias("_t"))
     out = (edges.join(s, "source", "left").join(t, "target", "left")

@@ -186,22 +186,31 @@ def final_audit(spark, sf):
 NOW = "2024-09-01 00:00:00"
 LINT = rf"""hd AS (SELECT path, k, mtime, text, regexp_extract(text, '^(?s:---\n(.*?)\n---\n)', 1) AS h, section FROM notes WHERE section <> '_drafts'),
   pr AS (SELECT path, {prose_sql('text')} AS p FROM notes), lt AS (SELECT path, length(regexp_replace(p, '[^А-Яа-яЁё]', '', 'g')) AS cyr, length(regexp_replace(p, '[^A-Za-z]', '', 'g')) AS lat FROM pr),
-  lf AS (SELECT path, CASE WHEN coalesce(nullif(regexp_extract(h, '(?m)^created:\s*(\S+)', 1), ''), nullif(regexp_extract(h, '(?m)^updated:\s*(\S+)', 1), ''), strftime(mtime, '%Y-%m-%d')) >= '2024-03-10' THEN 'spec_new' ELSE 'spec_old' END AS "check" FROM hd
-      WHERE h = '' OR NOT regexp_matches(h, '(?m)^source:\s*\S') OR k % 8 > 5
-    UNION ALL SELECT path, 'low_script' FROM hd JOIN lt USING (path) WHERE cyr + lat >= 100 AND cyr / (cyr + lat) < 0.3
-    UNION ALL SELECT path, 'missing_blocks' FROM hd WHERE k % 11 = 0
-    UNION ALL SELECT path, 'stale_notes' FROM hd WHERE TIMESTAMP '{NOW}' - coalesce(try_cast(nullif(regexp_extract(h, '(?m)^updated:\s*(\S+)', 1), '') AS TIMESTAMP), mtime) > INTERVAL 90 DAYS)"""
+  ps AS (SELECT path, array_to_string(list_filter([CASE WHEN h = '' THEN 'no head' END, CASE WHEN h <> '' AND NOT regexp_matches(h, '(?m)^source:\s*\S') THEN 'no source' END,
+      CASE WHEN h <> '' AND k % 8 > 5 THEN 'type' END], lambda x: x IS NOT NULL), '; ') AS problems FROM hd),
+  lf AS (SELECT path, CASE WHEN coalesce(nullif(regexp_extract(h, '(?m)^created:\s*(\S+)', 1), ''), nullif(regexp_extract(h, '(?m)^updated:\s*(\S+)', 1), ''), strftime(mtime, '%Y-%m-%d')) >= '2024-03-10' THEN 'spec_new' ELSE 'spec_old' END AS "check", problems AS detail FROM hd JOIN ps USING (path)
+      WHERE problems <> ''
+    UNION ALL SELECT path, 'low_script', CAST(CAST(round(cyr / (cyr + lat) * 100) AS INT) AS STRING) FROM hd JOIN lt USING (path) WHERE cyr + lat >= 100 AND cyr / (cyr + lat) < 0.3
+    UNION ALL SELECT path, 'missing_blocks', 'Достоверность' FROM hd WHERE k % 11 = 0
+    UNION ALL SELECT path, 'stale_notes', '' FROM hd WHERE TIMESTAMP '{NOW}' - coalesce(try_cast(nullif(regexp_extract(h, '(?m)^updated:\s*(\S+)', 1), '') AS TIMESTAMP), mtime) > INTERVAL 90 DAYS)"""
 
 
-@plan("lint_findings", with_notes(f', {LINT} SELECT path, "check" FROM lf'))
+_SEVERITY = " ".join(f"WHEN '{c}' THEN '{s}'" for c, s in G.CHECKS.items())
+
+
+@plan("lint_findings", with_notes(f', {LINT} SELECT path, "check", CASE "check" {_SEVERITY} END AS severity, detail FROM lf'))
 def lint_findings(spark, sf):
-    return G.lint_findings(notes(spark, sf), NOW, spec_date="2024-03-10", stale_days=90).select("path", "check")
+    return G.lint_findings(notes(spark, sf), NOW, spec_date="2024-03-10", stale_days=90)
 
 
-@plan("lint_summary", with_notes(f""", {LINKS}, {KEYS}, {LINT}, a AS (SELECT "check", path FROM lf UNION ALL SELECT 'broken_wikilinks', path FROM broken
-    UNION ALL SELECT 'orphans', path FROM notes WHERE section <> '_drafts' AND path NOT IN (SELECT path FROM resolved)),
-  c AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}')" for c, s in G.CHECKS.items())}) v(c, severity))
-  SELECT c.c AS "check", severity, count(a.path) AS n, min(a.path) AS worst FROM c LEFT JOIN a ON a."check" = c.c GROUP BY ALL"""))
+@plan("lint_summary", with_notes(f""", {LINKS}, {KEYS}, {LINT}, a AS (SELECT "check", path AS item, CASE WHEN "check" = 'low_script' THEN CAST(detail AS DOUBLE) ELSE 0 END AS weight, 1 AS n FROM lf
+    UNION ALL SELECT 'broken_wikilinks', target, -count(*), count(*) FROM broken GROUP BY target
+    UNION ALL SELECT 'orphans', path, 0, 1 FROM notes WHERE section <> '_drafts' AND path NOT IN (SELECT path FROM resolved)),
+  c AS (SELECT * FROM (VALUES {", ".join(f"('{c}', '{s}')" for c, s in G.CHECKS.items())}) v(c, severity)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY weight, item) AS pos FROM a)
+  SELECT c.c AS "check", severity, CAST(coalesce(sum(r.n), 0) AS BIGINT) AS n, CASE WHEN c.c = 'broken_wikilinks' THEN count(r.item) END AS unique_targets,
+    coalesce(list(r.item ORDER BY pos) FILTER (pos <= 20), []) AS worst, (SELECT count(*) FROM a WHERE "check" IN ('broken_wikilinks', 'index_divergence')) = 0 AS run_ok
+  FROM c LEFT JOIN r ON r."check" = c.c GROUP BY c.c, severity"""))
 def lint_summary(spark, sf):
     return G.lint_summary(notes(spark, sf), NOW, spec_date="2024-03-10", stale_days=90)
 

@@ -153,6 +153,15 @@ def graph_merged_edges(spark, sf):
     return G.merge_duplicates(kept, edges)[1]
 
 
+@plan("graph_hyper_edges", with_graph(""" SELECT source, list_transform(ms, lambda m: 'topic::' || regexp_extract(m, '-(.*)$', 1)) AS members FROM (SELECT id AS source, 'none' AS target,
+    list(e.target ORDER BY e.target) AS ms FROM graph_nodes n JOIN graph_edges e ON e.source = n.id WHERE e.relation = 'mentions' GROUP BY ALL)"""))
+def graph_hyper_edges(spark, sf):
+    _, e = graph(spark, sf)
+    wide = e.filter("relation = 'mentions'").groupBy("source").agg(F.array_sort(F.collect_list("target")).alias("nodes")).withColumn("target", F.lit("none"))
+    ids = e.filter("relation = 'mentions'").select(F.col("target").alias("old"), F.concat(F.lit("topic::"), F.regexp_extract("target", "-(.*)$", 1)).alias("new")).distinct()
+    return G.rewrite_ends(wide, ids).select("source", F.col("nodes").alias("members"))
+
+
 @plan("graph_merge_map", with_graph(f", {NRM}, {CLEAN} SELECT old, new FROM idmap"))
 def graph_merge_map(spark, sf):
     kept, edges, _ = G.drop_templates(*G.normalise(*graph(spark, sf)))

@@ -132,11 +132,13 @@ def lost_facts(spark, sf):
     return R.preservation(_pairs(spark, sf)).filter("lost is not null").select("path", F.inline("lost"))
 
 
-@plan("four_way_verdicts", with_notes(f""", {LOST}, s AS (SELECT path, coalesce(bool_or(kind IN ('number', 'url', 'path', 'wikilink', 'version', 'isoDate', 'byte')), false) AS acc,
-   coalesce(bool_or(kind IN ('latin', 'heading')), false) AS term FROM pr LEFT JOIN lost USING (path) GROUP BY path) SELECT NOT acc AS accuracy, NOT term AS terminology, count(*) AS n FROM s GROUP BY ALL"""))
+@plan("four_way_verdicts", with_notes(f""", {LOST}, src AS (SELECT path, after AS text FROM pr), {SCORE}, s AS (SELECT path, coalesce(bool_or(kind IN ('number', 'url', 'path', 'wikilink', 'version', 'isoDate', 'byte')), false) AS acc,
+   coalesce(bool_or(kind IN ('latin', 'heading')), false) AS term FROM pr LEFT JOIN lost USING (path) GROUP BY path)
+  SELECT NOT acc AS accuracy, ban_count = 0 AS language, score >= 85 AS style, NOT term AS terminology, count(*) AS n FROM s JOIN scored USING (path) GROUP BY ALL"""))
 def four_way_verdicts(spark, sf):
-    d = R.preservation(_pairs(spark, sf)).filter("lost is not null").withColumn("v", R.four_way(F.col("lost")))
-    return d.groupBy("v.accuracy", "v.terminology").agg(F.count("*").alias("n"))
+    d = R.preservation(_pairs(spark, sf)).filter("lost is not null")
+    d = R.scan(d, "after").withColumn("v", R.four_way(F.col("lost"), F.col("ban_count"), F.col("score")))
+    return d.groupBy("v.accuracy", "v.language", "v.style", "v.terminology").agg(F.count("*").alias("n"))
 
 
 @plan("rewrite_outcomes", with_notes(r"""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN k % 89 = 0 AND k % 97 <> 0 THEN 'input-error' WHEN k % 7 IN (0, 2) THEN 'fixed' ELSE 'failed' END AS outcome FROM notes WHERE k % 7 IN (0, 1, 2, 4) AND NOT regexp_matches(path, '(^|/)[._]')) GROUP BY ALL"""))
