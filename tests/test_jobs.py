@@ -266,3 +266,57 @@ def test_no_plan_collects_or_crosses(spark):
     plan = entry.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def red_stream(spark, tmp_path, batches):
+    """Feed each list of (check, minute, red) as one trigger; the state after the last."""
+    folder, room = f"{tmp_path}/in", f"{tmp_path}/room"
+    for rows in batches:
+        df = spark.createDataFrame(rows, "check string, m long, red boolean").select(
+            "check", F.timestamp_seconds(F.col("m") * 60).alias("ts"), "red")
+        df.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).parquet(folder)
+        jobs.run_available(jobs.red_since(stream), jobs.batch_writer(f"{room}/out"), f"{room}/cp", "update")
+    return jobs.latest_per_key(spark, f"{room}/out", ["check"])
+
+
+def test_red_since_keeps_every_red_after_the_green(spark, tmp_path):
+    rnd = random.Random(3)
+    many = [("busy", rnd.randint(0, 9000), rnd.random() < 0.9) for _ in range(5000)]
+    late = [("late", 1, True), ("late", 5, True)]
+    got = {r["check"]: r for r in red_stream(spark, tmp_path, [many[:2500] + late, many[2500:] + [("late", 3, False)]]).collect()}
+    green = max(m for _, m, red in many if not red)
+    reds = [m for _, m, red in many if red and m > green]
+    minute = lambda t: None if t is None else int(t.timestamp() // 60)
+    assert minute(got["busy"]["last_green"]) == green
+    assert minute(got["busy"]["first_red_at"]) == (min(reds) if reds else None)
+    assert minute(got["late"]["last_green"]) == 3 and minute(got["late"]["first_red_at"]) == 5
+
+
+def test_overdue_checks_need_no_new_event(spark):
+    states = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP'2024-01-01 00:00:00'), ('b', TIMESTAMP'2024-01-02 12:00:00'), ('c', NULL) t(check, first_red_at)")
+    assert [r["check"] for r in jobs.overdue(states, "2024-01-02 13:00:00", 1).collect()] == ["a"]
+
+
+def test_communities_end_where_labels_repeat(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("c", "x")], "u string, v string")
+    nodes = spark.createDataFrame([(i,) for i in "abcxyz"], "id string")
+    got = {r["id"]: r["community"] for r in graph.communities(nodes, pairs).collect()}
+    assert got["a"] == got["b"] == got["c"] and got["z"] == "z" and set(got) == set("abcxyz")
+
+
+def test_cosine_floor_comes_after_the_top_k(spark):
+    members = spark.createDataFrame([("m1", [0.0, 1.0], "alpha beta"), ("m2", [1.0, 0.1], "other"), ("m3", [1.0, 0.2], "more")],
+                                    "id string, vec array<double>, title string")
+    probe = spark.createDataFrame([("p", [0.97, 0.24], "alpha beta")], "id string, vec array<double>, title string")
+    got = [r["other"] for r in vectors.nearest(probe, members, 2, cos_floor=0.5).orderBy("pos").collect()]
+    assert got == [r["other"] for r in vectors.nearest(probe, members, 2).filter("cos >= 0.5").orderBy("pos").collect()]
+
+
+def test_other_errors_than_absence_are_raised(spark, tmp_path):
+    bad = tmp_path / "table"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("not parquet")
+    df = spark.createDataFrame([("k", "f")], "key string, fingerprint string")
+    with pytest.raises(Exception):  # noqa: B017 - whatever the reader says
+        sinks.append_new(df, str(bad))
