@@ -98,13 +98,18 @@ def new_submissions(files: DataFrame, live: DataFrame) -> DataFrame:
     return first.join(live.select("sha256").distinct(), "sha256", "left_anti")
 
 
-def job_fingerprints(files: DataFrame, job: str = "job") -> DataFrame:
-    """(job, fingerprint) over the sorted distinct digests of a job's files.
+def job_fingerprints(files: DataFrame, job: str = "job", digits: int = 3) -> DataFrame:
+    """(job, fingerprint) over the distinct digests of a job's files, in two levels.
 
-    The digests of one job are combined, sixteen hex digits each; a job is one
-    submission, whose file list the submitter already holds in memory.
+    The sorted digests that share their first ``digits`` hex digits give one
+    hash, and those hashes in order give the job's, so no list holds a job: a
+    job of any size meets in at most 16 ** digits short lists.
     """
-    return files.groupBy(job).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("sha256")), ","), 256).alias("fingerprint"))
+    def joined(values: Column) -> Column:
+        return F.sha2(F.array_join(values, ","), 256)
+    part = files.select(job, "sha256").distinct().groupBy(job, F.substring("sha256", 1, digits).alias("_p")).agg(
+        joined(F.array_sort(F.collect_list("sha256"))).alias("_h"))
+    return part.groupBy(job).agg(joined(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_h"))), lambda x: x["_h"])).alias("fingerprint"))
 
 
 def write_once(new: DataFrame, existing: DataFrame, key: str = "fingerprint") -> tuple[DataFrame, DataFrame]:

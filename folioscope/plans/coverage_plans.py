@@ -159,7 +159,7 @@ def new_submissions(spark, sf):
     return C.new_submissions(d, d.filter("doc_id % 9 = 0"))
 
 
-@plan("job_fingerprints", "SELECT source AS job, sha256(string_agg(DISTINCT h, ',' ORDER BY h)) AS fingerprint FROM (SELECT source || doc_id % 50 AS source, sha256(text) AS h FROM documents) GROUP BY source")
+@plan("job_fingerprints", "SELECT job, sha256(string_agg(f, ',' ORDER BY p)) AS fingerprint FROM (SELECT source || doc_id % 50 AS job, substr(sha256(text), 1, 3) AS p, sha256(string_agg(DISTINCT sha256(text), ',' ORDER BY sha256(text))) AS f FROM documents GROUP BY ALL) GROUP BY job")
 def job_fingerprints(spark, sf):
     d = table(spark, sf, "documents").select(F.concat("source", (F.col("doc_id") % 50).cast("string")).alias("job"), F.sha2("text", 256).alias("sha256"))
     return C.job_fingerprints(d)

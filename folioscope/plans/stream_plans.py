@@ -36,7 +36,7 @@ def new_file_stream(spark, sf):
     docs = _source(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), F.col("text").alias("content"))
     room = _room(spark, "files")
     extract = S.accept_new(lambda d: d.withColumn("text", F.when(F.length("content") >= 40, F.col("content"))), room)
-    S.run_available(docs, extract, f"{room}/cp")
+    S.run_available(S.unseen(docs, ["sha256"]), extract, f"{room}/cp")
     return spark.read.parquet(f"{room}/accepted").select("sha256", F.length("text").alias("n_chars"))
 
 
@@ -56,6 +56,14 @@ def ratchet_stream(spark, sf):
     return S.latest_per_key(spark, f"{room}/out", ["gate"])
 
 
+@plan("floor_stream", "SELECT event_type AS gate, max(event_id % 1000 + 7) AS floor FROM events GROUP BY event_type")
+def floor_stream(spark, sf):
+    e = _source(spark, sf, "events").select(F.col("event_type").alias("gate"), (F.col("event_id") % 1000 + 7).alias("floor"))
+    room = _room(spark, "floors")
+    S.run_available(S.floors(e), S.batch_writer(f"{room}/out"), f"{room}/cp", "update")
+    return S.latest_per_key(spark, f"{room}/out", ["gate"])
+
+
 @plan("red_check_stream", """WITH c AS (SELECT CAST(user_id AS STRING) AS "check", ts, event_type <> 'view' AS red FROM events), g AS (SELECT "check", max(ts) AS green FROM c WHERE NOT red GROUP BY ALL)
    SELECT c."check", epoch_us(min(ts)) AS first_red_us FROM c LEFT JOIN g ON g."check" = c."check" WHERE red AND (green IS NULL OR ts > green) GROUP BY c."check" """)
 def red_check_stream(spark, sf):
@@ -78,8 +86,8 @@ def life_cycle_stream(spark, sf):
 def refresh_stream(spark, sf):
     d = _source(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text")
     room = _room(spark, "refresh")
-    sink = S.refresh_changed(lambda x: x.select("cache_key", F.col("path").alias("doc_id"), F.length("text").alias("n")), {"version": "1"}, f"{room}/out")
-    S.run_available(d, sink, f"{room}/cp")
+    sink = S.refresh_changed(lambda x: x.select("cache_key", F.col("path").alias("doc_id"), F.length("text").alias("n")), f"{room}/out")
+    S.run_available(S.changed(d, {"version": "1"}), sink, f"{room}/cp")
     return spark.read.parquet(f"{room}/out").select("doc_id", "n")
 
 

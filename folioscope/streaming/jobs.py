@@ -54,23 +54,25 @@ def file_stream(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def accept_new(extract: Callable[[DataFrame], DataFrame], out: str, key: str = "sha256") -> Callable[[DataFrame, int], None]:
-    """Sink: rows with unseen content are extracted once; a row whose extraction
-    gives null text goes to the retry table and is tried again next time.
+def unseen(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """First sight of each key.  The keys live in the state store, partitioned
+    and checkpointed with the query, so no batch reads what earlier ones wrote."""
+    return stream.dropDuplicates(keys)
 
-    ``out/accepted`` and ``out/retry`` hold one folder per batch.
+
+def accept_new(extract: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """Sink for :func:`unseen` content: each row is extracted once; a row whose
+    extraction gives null text goes to the retry table and is tried again with
+    the next batch.
+
+    ``out/accepted`` and ``out/retry`` hold one folder per batch; a batch reads
+    the retry folder of the one before it and nothing else.
     """
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        done, again = read_epochs(spark, f"{out}/accepted"), read_epochs(spark, f"{out}/retry")
-        rows = batch
-        if again is not None:
-            rows = rows.unionByName(again.filter(F.col("epoch") < epoch).select(*batch.columns))
-        rows = rows.dropDuplicates([key])
-        if done is not None:
-            rows = rows.join(done.filter(F.col("epoch") < epoch).select(key).distinct(), key, "left_anti").select(*batch.columns)
-        result = extract(rows)
-        result.write.mode("overwrite").parquet(f"{out}/_work/epoch={epoch}")
+        again = read_epochs(spark, f"{out}/retry/epoch={epoch - 1}")
+        rows = batch if again is None else batch.unionByName(again.select(*batch.columns))
+        extract(rows).write.mode("overwrite").parquet(f"{out}/_work/epoch={epoch}")
         result = spark.read.parquet(f"{out}/_work/epoch={epoch}")
         result.filter("text is not null").drop("content").write.mode("overwrite").parquet(f"{out}/accepted/epoch={epoch}")
         result.filter("text is null").select(*batch.columns).write.mode("overwrite").parquet(f"{out}/retry/epoch={epoch}")
@@ -144,15 +146,14 @@ def item_states(stream: DataFrame) -> DataFrame:
     return stream.groupBy("item").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.count("*").alias("events"))
 
 
-def refresh_changed(compute: Callable[[DataFrame], DataFrame], settings: dict[str, str], out: str) -> Callable[[DataFrame, int], None]:
-    """Sink: derived rows are recomputed only for content not seen before."""
+def changed(stream: DataFrame, settings: dict[str, str]) -> DataFrame:
+    """Rows with their settings key, once per content and settings."""
     from ..operators.changes import settings_key
+    return unseen(settings_key(stream, settings), ["cache_key"])
 
+
+def refresh_changed(compute: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
+    """Sink for :func:`changed` rows: what is derived from them, a folder per batch."""
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        keyed = settings_key(batch, settings).dropDuplicates(["cache_key"])
-        done = read_epochs(spark, out)
-        if done is not None:
-            keyed = keyed.join(done.filter(F.col("epoch") < epoch).select("cache_key").distinct(), "cache_key", "left_anti")
-        compute(keyed).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        compute(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     return sink

@@ -244,7 +244,7 @@ def test_file_stream_retries_and_skips(spark):
         return d.withColumn("text", F.when(good, F.decode("content", "UTF-8")))
 
     def poll():
-        jobs.run_available(jobs.file_stream(spark, f"{root}/in"), jobs.accept_new(extract, f"{root}/out"), f"{root}/cp")
+        jobs.run_available(jobs.unseen(jobs.file_stream(spark, f"{root}/in"), ["sha256"]), jobs.accept_new(extract, f"{root}/out"), f"{root}/cp")
         return sorted(r["text"] for r in spark.read.parquet(f"{root}/out/accepted").collect())
     put("a", "one")
     put("b", "late two")
