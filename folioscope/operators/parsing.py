@@ -238,8 +238,10 @@ def _demonstratives(text: Column) -> Column:
     return text
 
 
-def redact(text: Column) -> Column:
-    for pattern, repl in rules.REDACTIONS:
+def redact(text: Column, wording: Sequence[tuple[str, str]] = rules.REDACTIONS) -> Column:
+    """Display form of a text: a rule list applied in order, ends stripped
+    (``rules.REDACTIONS`` for briefs, ``rules.REPORT_WORDING`` for run reports)."""
+    for pattern, repl in wording:
         text = T.sub(text, T.ascii_edges(pattern), repl)
     return T.strip(text)
 

@@ -297,6 +297,41 @@ REDACTIONS = [
     (r"\s+", " "),
 ]
 
+# -- wording of the report after a run: (pattern, replacement), all applied in order (fixed values) --
+REPORT_WORDING = [
+    (r"(?i)\bcandidate capability\b", "кандидат в рабочие возможности"),
+    (r"(?i)\bcapability review queue\b", "очередь разбора возможностей"),
+    (r"(?i)\bworkflow-fit\b", "пригодность для конкретного сценария"),
+    (r"(?i)\bworkflow\b", "рабочий сценарий"),
+    (r"(?iu)с одним реальным рабочий сценарий", "с одним реальным рабочим сценарием"),
+    (r"(?iu)если пригодность для конкретного сценария конкретный", "если есть понятная пригодность для конкретного сценария"),
+    (r"(?iu)с одним критерием принять/отклонить", "с одним критерием: принять или отклонить"),
+    (r"(?iu)Перед пробный запуск проверить", "Перед пробным запуском проверить"),
+    (r"(?iu)режим только чтение режим", "режим только чтения"),
+    (r"(?iu)список разрешенных доменов доменов", "список разрешенных доменов"),
+    (r"(?iu)web-рабочий сценарий", "браузерный сценарий"),
+    (r"(?iu)черновик короткое видео", "черновик короткого видео"),
+    (r"(?iu)\bfit под конкретный рабочий сценарий", "пригодность к конкретному рабочему сценарию"),
+    (r"(?i)\blocal trial\b", "локальный пробный запуск"),
+    (r"(?i)\btrial\b", "пробный запуск"),
+    (r"(?i)\breview diff\b", "проверку изменений кода"),
+    (r"(?i)\bweb-workflow\b", "браузерный сценарий"),
+    (r"(?i)\bshort-form video\b", "короткое видео"),
+    (r"(?i)\bhook/CTA\b", "крючок и призыв к действию"),
+    (r"(?i)\bread-only\b", "режим только чтение"),
+    (r"(?i)\ballowlist\b", "список разрешенных доменов"),
+    (r"(?i)\bregistry/ledger\b", "реестр и журнал"),
+    (r"(?i)\s+(?:src|href|alt|title)=[\"'][^\"']*[\"']", ""),
+    (r"(?i)\b(?:src|href|alt|title)=[\"'][^\"']*[\"']", ""),
+    (r"<[^>]+>", " "),
+    (r"(?i)\bIMG_\d+(?:\.(?:WEBP|PNG|JPE?G|HEIC|TIFF|MOV|MP4))?\b", "локальный визуальный источник"),
+    (r"(?i)\btemp_image[_-][\w.-]+", "локальный визуальный источник"),
+    (r"(?i)\b[\w.-]+\.(?:WEBP|PNG|JPE?G|HEIC|TIFF|MOV|MP4)\b", "локальный медиафайл"),
+    (r"(?i)\bDESIGN\.md\b", "дизайн-контракт"),
+    (r"(?i)\b[\w.-]+\.md\b", "локальная заметка"),
+    (r"\s+", " "),
+]
+
 # -- type and verification mapping (fixed values) -----------------------------
 REFERENCE_SUFFIX = r"(^|-)(reference|catalog|index|map|list|queue)$"
 SYNTHESIS_PART = r"(synthesis|canonical-summary|digest|overview|comparison|stack|triage)"
