@@ -32,9 +32,7 @@ from pyspark.sql import types as T
 
 from folioscope.operators.graph import components
 
-from .batches import long_field, map_texts, slices, stored, texts_of
-
-BINS = 64
+from .batches import discard, long_field, map_texts, slices, stored, texts_of
 
 _words: dict[bytes, int] = {}
 
@@ -63,8 +61,26 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """How many shingles fall in each of BINS classes of hash values, a byte each, cut at 255."""
-    return np.minimum(np.bincount(s & (BINS - 1), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many shingles fall in each class of hash values, a byte each, cut at 255.
+
+    The number of classes is the power of two that gives each 4 to 8 shingles
+    (64 at least), so unrelated sets of any size differ clearly.
+    """
+    bins = 64
+    while bins * 8 < len(s):
+        bins *= 2
+    return np.minimum(np.bincount(s & (bins - 1), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Least number of shingles in which two sets with these histograms differ.
+
+    The finer histogram is folded to the other's classes; cut once more at 255,
+    neither side can look farther from the other than it is.
+    """
+    a, b = (np.frombuffer(h, np.uint8).astype(np.int32) for h in (x, y))
+    size = min(len(a), len(b))
+    return int(np.abs(np.minimum(a.reshape(-1, size).sum(0), 255) - np.minimum(b.reshape(-1, size).sum(0), 255)).sum())
 
 
 def frequent_shingles(docs: DataFrame, width: int, share: int, least: int, most: int) -> np.ndarray:
@@ -134,26 +150,31 @@ def described(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
         "bins", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, s) for the documents named in ``ids``."""
-    some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    out = map_texts(some, ["doc_id"], lambda texts, _: [
-        pa.array([shingles(t, width).tolist() for t in texts], pa.list_(pa.int64()))],
-        [T.StructField("s", T.ArrayType(T.LongType()))])
-    return out.select(F.col("doc_id").alias("id"), "s")
+def texts_for(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents named in the stored table ``ids``.
+
+    A stored table has a known size, so Spark sends a small one to the scan of
+    the texts and shuffles the texts only for a large one.
+    """
+    some = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return stored(some.join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
 def bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """(a, b, least) of the pairs that sizes and histograms cannot rule out, with
-    a lower bound of the distance; each pair once.
+    a lower bound of the distance.
 
-    Sets whose histograms differ by L differ in at least L shingles (bytes cut
-    at 255 only lower L), so their similarity is at most (na + nb - L) / (na + nb + L).
+    Sets that differ in at least L shingles have a similarity of at most
+    (na + nb - L) / (na + nb + L).
     """
     def side(x: str) -> DataFrame:
         return facts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}"))
 
-    both = pairs.distinct().join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter(
+    both = pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter(
         f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("least", T.DoubleType())])
 
@@ -162,27 +183,62 @@ def bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for i in (3, 5))
-            apart = np.abs(x - y).sum(1, dtype=np.int64)
-            top = np.maximum(na + nb - apart, 0)
-            keep = 100 * top >= percent * (na + nb + apart)
-            least = 1 - top / (na + nb + apart)
+            off = np.fromiter(map(apart, b.column(3).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            top = np.maximum(na + nb - off, 0)
+            keep = 100 * top >= percent * (na + nb + off)
+            least = 1 - top / (na + nb + off)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep)),
                                               pa.array(least[keep])], names=["a", "b", "least"])
 
     return both.select("a", "b", "na", "binsa", "nb", "binsb").mapInArrow(run, schema)
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, both, either): sizes of intersection and union of each pair."""
-    x = sets.select(F.col("id").alias("a"), F.col("s").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"),
-                                                 F.size(F.array_intersect("x", "y")).alias("both"))
-    return met.select("a", "b", "both", (F.col("nx") + F.col("ny") - F.col("both")).alias("either"))
+def measured(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, b, both, either): sizes of intersection and union of each pair's sets.
 
+    Texts travel, as they are smaller than their sets; the rows of one pivot
+    come together and its set is made once.
+    """
+    x = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+    met = pairs.select("a", "b").join(y, "b").join(x, "a").select("a", "b", "x", "y")
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], long_field("both"), long_field("either")])
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: int = 64, rounds: int = 3,
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, np.empty(0, np.int64)
+        for b in slices(batches, 128):
+            both, either = [], []
+            for a, x, y in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if a != last:
+                    last, first = a, shingles(x, width)
+                second = shingles(y, width)
+                n = len(np.intersect1d(first, second, assume_unique=True))
+                both.append(n)
+                either.append(len(first) + len(second) - n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())],
+                                             names=schema.names)
+
+    return met.mapInArrow(run, schema)
+
+
+def connected(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after more links: only links between components met so
+    far are followed, so a later call works on what the earlier ones left open."""
+    ends = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct()
+    if label is None:
+        return stored(components(ends, links), "labels")
+    lu, lv = (label.select(F.col("id").alias(x), F.col("component").alias(f"l{x}")) for x in ("u", "v"))
+    between = stored(links.join(lu, "u", "left").join(lv, "v", "left").select(
+        F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")).filter("u <> v").distinct(), "between")
+    if between.isEmpty():
+        return label
+    heads = between.select(F.col("u").alias("id")).union(between.select(F.col("v").alias("id"))).distinct()
+    top = stored(components(heads, between), "heads").select(F.col("id").alias("component"), F.col("component").alias("top"))
+    every = label.unionByName(ends.join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
+    return stored(every.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: int = 64, rounds: int = 2,
                     share: int = 16, least: int = 6, most: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -201,67 +257,77 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: i
     far = 1 - percent / 100
     frequent = frequent_shingles(docs, width, share, least, most)
     seen = stored(described(docs, width, percent, frequent), "sets")
-    classes = seen.filter("n > 0").groupBy("mark").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bins", ignorenulls=True).alias("bins"),
-        F.first("prefix", ignorenulls=True).alias("prefix"))
-    classes = stored(classes, "classes")
+    groups = seen.filter("n > 0").groupBy("mark")
+    classes = stored(groups.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"),
+                                F.first("bins", ignorenulls=True).alias("bins")), "classes")
     nodes = classes.filter("id is not null").dropDuplicates(["id"])
     facts = nodes.select("id", "n", "bins")
-    # root regions; a row number in the order of ids makes the first member the pivot without holding the region
-    posted = nodes.select(F.explode("prefix").alias("region"), "id", "n")
+    # root regions; in the order of ids the first member is the pivot, and no region is held in memory
+    posted = groups.agg(F.min("doc_id").alias("id"), F.first("prefix", ignorenulls=True).alias("prefix")).filter(
+        "id is not null").select(F.explode("prefix").alias("region"), "id")
     w = Window.partitionBy("region").orderBy("id")
     ranked = posted.withColumn("pivot", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "next", F.lead("id").over(w))
     members = stored(ranked.filter("pivot <> id or next is not null").select("region", "id", "pivot"), "regions")
-    stars = stored(bounded(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")),
-                           facts, percent), "stars")
-    ids = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
-    sets = stored(sets_of(docs, ids, width).dropDuplicates(["id"]), "shingles")
-    known = stored(measured(stars, sets), "measured")
+    sizes = stored(seen.select("doc_id", "n", "mark"), "sizes")
+    discard(seen)
     link = F.expr(f"100 * both >= {percent} * either")
-    links = known.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    tried = known = texts = label = None
+
+    def follow(pairs: DataFrame) -> None:
+        """Measure what bounds leave of new pairs and connect what they link."""
+        nonlocal tried, known, texts, label
+        asked = stored(pairs, "asked")
+        tried = asked if tried is None else tried.unionByName(asked)
+        left = stored(bounded(asked, facts, percent), "pairs")
+        if texts is None:
+            texts = texts_for(docs, stored(ends_of(left), "ids"))
+        else:
+            more = stored(ends_of(left).join(texts.select("id"), "id", "left_anti"), "ids")
+            if not more.isEmpty():
+                texts = texts.unionByName(texts_for(docs, more))
+        found = stored(measured(left, texts, width), "measured")
+        known = found if known is None else known.unionByName(found)
+        label = connected(label, found.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    # a document first meets the pivot that leads most of its regions, then those other pivots that nothing connects it with
+    led = stored(members.filter("id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(
+        F.count("*").alias("n")), "led")
+    best = led.groupBy("b").agg(F.min(F.struct(-F.col("n"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    follow(best)
+    la, lb = (label.select(F.col("id").alias(x), F.col("component").alias(f"l{x}")) for x in ("a", "b"))
+    follow(led.select("a", "b").join(tried, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").filter(
+        "coalesce(la, a) <> coalesce(lb, b)").select("a", "b"))
     for turn in range(rounds + 1):
-        label = stored(components(nodes.select("id").join(
-            links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))), "id", "left_semi"), links), "labels")
-        label = label.select("id", "component")
         named = members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         spread = named.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"),
-                                             F.max("label").alias("high")).filter("low <> high")
+                                             F.max("label").alias("high"), F.max(F.when(
+                                                 F.col("id") == F.col("pivot"), F.col("label"))).alias("main")).filter("low <> high")
         # distance to the region's pivot, or the bound that ruled the pair out: the window's place
         place = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"),
                              F.expr("1 - both / either").alias("d"))
-        open_ = named.join(spread.select("region", "size"), "region").join(place, ["pivot", "id"], "left").withColumn(
+        open_ = named.join(spread.select("region", "size", "main"), "region").join(place, ["pivot", "id"], "left").withColumn(
             "d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        open_ = stored(open_.select("region", "id", "pivot", "label", "size", "d"), "open")
+        open_ = stored(open_.select("region", "id", "pivot", "label", "main", "size", "d"), "open")
         whole = F.lit(True) if turn == rounds else F.col("size") <= small
-        x = open_.filter(whole & (F.col("id") != F.col("pivot")))
-        y = x.select("region", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("d").alias("d2"))
+        y = open_.filter(whole & (F.col("id") != F.col("pivot")))
+        # one side of an open pair is outside the component of the pivot; those are few where the region is large
+        x = y.filter("label <> main").select("region", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("d").alias("d2"))
         window = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= far + 1e-9, F.lit(True))
-        pairs = x.join(y, "region").filter((F.col("id") < F.col("id2")) & (F.col("label") != F.col("label2")) & window).select(
-            F.col("id").alias("a"), F.col("id2").alias("b"))
+        pairs = x.join(y, "region").filter((F.col("label") != F.col("label2")) & window).select(
+            F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         # large regions: a new pivot among those that the old one does not reach
         big = open_.filter(~whole)
-        old = big.filter("id = pivot").select("region", F.col("label").alias("old"))
-        fresh = big.join(old, "region").filter("label <> old").groupBy("region").agg(F.min("id").alias("fresh"))
-        fresh = big.join(fresh, "region")
-        pairs = pairs.unionByName(fresh.filter("id <> fresh").select(
+        fresh = big.join(big.filter("label <> main").groupBy("region").agg(F.min("id").alias("fresh")), "region")
+        led_by = fresh.filter("id = fresh").select("region", F.col("label").alias("own"))
+        pairs = pairs.unionByName(fresh.join(led_by, "region").filter("label <> own").select(
             F.least("id", "fresh").alias("a"), F.greatest("id", "fresh").alias("b")))
-        pairs = pairs.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = stored(bounded(pairs, facts, percent), "pairs")
-        more = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(
-            sets.select("id"), "id", "left_anti")
-        if not more.isEmpty():
-            sets = sets.unionByName(stored(sets_of(docs, more, width).dropDuplicates(["id"]), "shingles"))
-        fresh_known = stored(measured(pairs, sets), "measured")
-        new = fresh_known.filter(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        known, links = known.unionByName(fresh_known), links.unionByName(new)
+        follow(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         members = fresh.select("region", "id", F.col("fresh").alias("pivot"))
         if members.isEmpty():
             break
         members = stored(members, "regions")
-    label = components(nodes.select("id").join(links.select(F.col("u").alias("id")).union(
-        links.select(F.col("v").alias("id"))), "id", "left_semi"), links)
     label = classes.join(label, "id", "left").select("mark", F.coalesce("component", "id").alias("component_id"))
-    return seen.join(label, "mark", "left").select(
+    return sizes.join(label, "mark", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
