@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import long_field, slices, stored, texts_of
+from .batches import discard, long_field, slices, stored, texts_of
 
 
 def seeds(raw: bytes, size: int) -> np.ndarray:
@@ -102,7 +102,7 @@ def contexts_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            rows: list[tuple] = []
+            ids, keys, starts, parts = [], [], [], []
             for doc_id, text, shared in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist()):
                 raw = text.encode()
                 if len(raw) < length:
@@ -110,13 +110,16 @@ def contexts_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 h = seeds(raw, seed)
                 at = minimizers(h, length - seed + 1)
                 at = at[np.isin(h[at].view(np.int64), np.array(shared, np.int64))]
-                for p, key in zip(at.tolist(), h[at].view(np.int64).tolist()):
-                    start = max(0, p - (length - seed))
-                    part = raw[start:p + length]
-                    rows.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), doc_id, start, part))
-            cols = list(zip(*rows)) or [()] * 5
-            types = [pa.int64(), pa.int64(), b.schema.field(0).type, pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
+                start = np.maximum(at - (length - seed), 0)
+                ids += [doc_id] * len(at)
+                keys.append(h[at].view(np.int64))
+                starts.append(start)
+                parts += [raw[i:j + length] for i, j in zip(start.tolist(), at.tolist())]
+            c = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
+            none = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate([*keys, none])), pa.array(c), pa.array(ids, b.schema.field(0).type),
+                pa.array(np.concatenate([*starts, none])), pa.array(parts, pa.binary())], names=schema.names)
 
     return texts.select("doc_id", "text", "shared").mapInArrow(run, schema)
 
@@ -142,10 +145,14 @@ class RunIndex:
         for i in range(8):
             packed = packed << np.uint64(8) | text[i:i + n + depth].astype(np.uint64)
         rank, k = np.unique(packed, return_inverse=True)[1].astype(np.uint64), 8
+        bits = np.uint64(int(rank.max(initial=0)).bit_length() or 1)
+        while 3 * k < depth and 3 * bits <= 64:  # three ranks fit one word: triple the depth
+            wide = (rank[:-2 * k] << bits | rank[k:-k]) << bits | rank[2 * k:]
+            rank = np.append(np.unique(wide, return_inverse=True)[1].astype(np.uint64), np.zeros(2 * k, np.uint64))
+            k, bits = 3 * k, np.uint64(int(rank.max(initial=0)).bit_length() or 1)
         while 2 * k < depth:
-            pair = rank[:-k] << np.uint64(32) | rank[k:]
-            rank = np.concatenate((np.unique(pair, return_inverse=True)[1].astype(np.uint64), np.zeros(k, np.uint64)))
-            k *= 2
+            wide = rank[:-k] << np.uint64(32) | rank[k:]
+            rank, k = np.append(np.unique(wide, return_inverse=True)[1].astype(np.uint64), np.zeros(k, np.uint64)), 2 * k
         order = rank[self.start] << np.uint64(32) | rank[self.start + depth - k]
         sa = np.argsort(order, kind="stable")
         before = np.where(self.place > 0, text[np.maximum(self.start - 1, 0)], 0)[sa]
@@ -172,7 +179,7 @@ class RunIndex:
 
 def matched(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     """Stretches of each context that texts of earlier documents hold."""
-    rows = rows.sort_values(["doc_id", "h", "c"], kind="stable").reset_index(drop=True)
+    rows = rows.drop_duplicates(["h", "c"]).sort_values(["doc_id", "h", "c"], kind="stable").reset_index(drop=True)
     owner = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)[1]
     index = RunIndex(rows["bytes"].tolist(), depth)
     hit = np.flatnonzero(index.earliest(owner) < owner[index.part])
@@ -190,12 +197,16 @@ def matched(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
 def shared_contexts(contexts: DataFrame, depth: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(h, c, first) of every distinct context, and (h, c, spans) of those that
     smaller documents hold in part."""
-    classes = stored(contexts.groupBy("h", "c").agg(F.min("doc_id").alias("doc_id"), F.first("bytes").alias("bytes")), "classes")
-    sizes = classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    per = contexts.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
+    classes = stored(per, "classes")
+    sizes = stored(classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     total = sizes.agg(F.sum("n").alias("n")).head()["n"] or 0
     buckets = max(1, -(-total // rows))
+    # the bytes of one occurrence of each context that has others beside it
+    open_ = classes.join(sizes.select("h", F.ceil(F.col("n") / rows).cast("int").alias("cuts")), "h").select(
+        "h", "c", F.col("first").alias("doc_id"), "cuts")
+    asked = contexts.select("h", "c", "doc_id", "bytes").join(open_, ["h", "c", "doc_id"])
     # an anchor with very many contexts is cut by the windows it is part of: a context goes where any of its windows goes
-    asked = classes.join(sizes.select("h", F.ceil(F.col("n") / rows).cast("int").alias("cuts")), "h")
     windows = F.transform(F.sequence(F.lit(1), F.length("bytes") - depth + 1), lambda i: F.pmod(
         F.xxhash64(F.substring("bytes", i, depth)), F.col("cuts")).cast("int"))
     cut = F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(windows))
@@ -204,7 +215,7 @@ def shared_contexts(contexts: DataFrame, depth: int, rows: int) -> tuple[DataFra
     schema = "h long, c long, spans array<struct<a:long,b:long>>"
     found = asked.groupBy("bucket", "cut").applyInPandas(lambda g: matched(g, depth)[["h", "c", "spans"]], schema)
     found = found.select("h", "c", F.explode("spans").alias("s")).groupBy("h", "c").agg(F.collect_list("s").alias("spans"))
-    return classes.select("h", "c", F.col("doc_id").alias("first")), found
+    return classes, found
 
 
 def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -232,7 +243,7 @@ def cut_out(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text").join(spans, "doc_id").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 20, rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 20, rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(rows, cut): one narrow row per row of ``docs`` (doc_id, n_bytes, sha, first), where
     ``first`` is the smallest id with an equal text, and (doc_id, n_removed, n_spans, kept) of the
     texts that lose bytes to other texts."""
@@ -250,17 +261,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, seed: int = 20, rows: int
     owned = stored(met.join(home, "doc_id").select("h", F.col("first").alias("doc_id")).distinct(), "anchors")
     both = owned.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     shared = owned.join(both.select("h"), "h", "left_semi").groupBy("doc_id").agg(F.collect_list("h").alias("shared"))
-    texts = docs.select("doc_id", text.alias("text")).join(shared, "doc_id")
-    texts = stored(texts, "shared-texts")
-    contexts = stored(contexts_of(texts, length, seed), "contexts")
+    texts = docs.select("doc_id", text.alias("text"))
+    contexts = stored(contexts_of(texts.join(shared, "doc_id"), length, seed), "contexts")
+    discard(owned)
     classes, found = shared_contexts(contexts, length, rows)
+    found = stored(found, "found")
     placed = contexts.select("h", "c", "doc_id", "start", F.length("bytes").cast("long").alias("size")).filter(
-        F.col("size") >= length).join(classes, ["h", "c"]).join(stored(found, "found"), ["h", "c"], "left")
+        F.col("size") >= length).join(classes, ["h", "c"]).join(found, ["h", "c"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")))
     spans = placed.select("doc_id", "start", F.explode(F.when(F.col("doc_id") > F.col("first"), whole).otherwise(
         F.col("spans"))).alias("s")).select("doc_id", F.struct((F.col("start") + F.col("s.a")).alias("a"), (
             F.col("start") + F.col("s.b")).alias("b")).alias("s"))
-    spans = spans.groupBy("doc_id").agg(F.collect_set("s").alias("spans"))
+    spans = stored(spans.groupBy("doc_id").agg(F.collect_set("s").alias("spans")), "spans")
+    discard(contexts, classes)
     return narrow, cut_out(texts, spans)
 
 
@@ -277,7 +290,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, seed: int = 20) -> Data
     empty table gives no rows; columns besides doc_id and text are not read.
     """
     narrow, cut = remove_repeats(docs, length, seed)
-    cut = cut.select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.sha2("kept", 256).alias("left")).dropDuplicates(["id"])
+    cut = stored(cut.select(F.col("doc_id").alias("id"), "n_removed", "n_spans", F.sha2("kept", 256).alias("left")), "cut").dropDuplicates(["id"])
     copy = F.expr(f"n_bytes >= {length} and first is not null and (doc_id is null or doc_id > first)")
     part = narrow.join(cut, F.col("doc_id") == F.col("id"), "left")
     empty = hashlib.sha256(b"").hexdigest()
