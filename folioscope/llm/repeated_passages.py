@@ -39,16 +39,24 @@ from pyspark.sql import types as T
 from .batches import discard, long_field, slices, stored, texts_of
 
 
+def eights(raw: bytes, kind: str = "<u8") -> np.ndarray:
+    """The 8 bytes from every position as one word, first byte lowest (``>u8``: highest)."""
+    out = np.empty(max(len(raw) - 7, 0), np.uint64)
+    for k in range(min(8, len(out))):
+        out[k::8] = np.frombuffer(raw, kind, (len(raw) - k) // 8, k)
+    return out
+
+
 def seeds(raw: bytes, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes (20 at least, 32 at most) from every position."""
-    h = {1: np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)}
-    for k in (1, 2, 4, 8):
-        h[2 * k] = h[k][:-k] * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + h[k][k:]
-    n = len(raw) - size + 1
-    out = h[16][:n] * np.uint64(0xC2B2AE3D27D4EB4F) + h[16][size - 16:][:n]
+    """Hash of the ``size`` bytes (16 at least, 24 at most) from every position."""
+    words, n = eights(raw), len(raw) - size + 1
+    out = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    out += words[8:8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+    out += words[size - 8:size - 8 + n] * np.uint64(0x165667B19E3779F9)
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+    out ^= out >> np.uint64(32)
+    return out
 
 
 def _sliding(a: np.ndarray, w: int, pick) -> np.ndarray:
@@ -133,17 +141,15 @@ class RunIndex:
     """
 
     def __init__(self, parts: list[bytes], depth: int):
-        text = np.frombuffer(b"".join(parts) + bytes(depth + 8), np.uint8)
+        joined = b"".join(parts) + bytes(depth + 7)
+        text = np.frombuffer(joined, np.uint8)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         offset = np.cumsum(sizes) - sizes
         self.part = np.repeat(np.arange(len(parts)), np.maximum(sizes - depth + 1, 0))
         first = np.cumsum(np.maximum(sizes - depth + 1, 0)) - np.maximum(sizes - depth + 1, 0)
         self.place = np.arange(len(self.part)) - first[self.part]
         self.start = offset[self.part] + self.place  # suffixes that hold ``depth`` bytes of their text
-        n = int(sizes.sum())
-        packed = np.zeros(n + depth, np.uint64)
-        for i in range(8):
-            packed = packed << np.uint64(8) | text[i:i + n + depth].astype(np.uint64)
+        packed = eights(joined, ">u8")  # numbers in the order of their bytes
         rank, k = np.unique(packed, return_inverse=True)[1].astype(np.uint64), 8
         bits = np.uint64(int(rank.max(initial=0)).bit_length() or 1)
         while 3 * k < depth and 3 * bits <= 64:  # three ranks fit one word: triple the depth
