@@ -122,31 +122,40 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, mod: int, s: Settings) ->
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([
                 pa.array(b.column(0).to_pylist(), pa.int32()),
-                pa.array([plain.hits(t).astype(np.int32).tolist() for t in texts_of(b.column(1))], pa.list_(pa.int32()))],
+                pa.array([plain.hits(t).astype(np.int16).tobytes() for t in texts_of(b.column(1))], pa.binary())],
                 names=["toxic", "hits"])
 
-    rows = sample.mapInArrow(hits, "toxic int, hits array<int>").toPandas()
-    row = np.repeat(np.arange(len(rows)), rows["hits"].map(len))
-    col = np.concatenate(rows["hits"].to_numpy()).astype(np.int64)
-    weight, bias = logistic(row, col, ratio[col], rows["toxic"].to_numpy(np.float64), len(kept), s)
+    rows = [(r["toxic"], bytes(r["hits"])) for r in sample.mapInArrow(hits, "toxic int, hits binary").toLocalIterator()]
+    weight, bias = logistic(rows, ratio, s)
     # the sample holds the classes in shares of its own
     bias += np.log(sizes[1] / sizes[0]) - np.log(n[1] / n[0])
     return Model(slot, weight * ratio, float(bias), s)
 
 
-def logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, s: Settings) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression on a sparse matrix by full-batch Adam steps.
+def logistic(rows: list[tuple[int, bytes]], value: np.ndarray, s: Settings, block: int = 500) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression by full-batch Adam steps.
 
-    The last weight is the bias, which carries no penalty.
+    ``rows`` holds (class, features present as 16-bit numbers) and ``value``
+    what each feature counts.  Gradients add up over blocks of rows, so the
+    driver holds the feature numbers and one block's floats.  The last weight is
+    the bias, which carries no penalty.
     """
-    row = np.concatenate((row, np.arange(len(y))))
-    col = np.concatenate((col, np.full(len(y), width)))
-    value = np.concatenate((value, np.ones(len(y))))
+    width = len(value)
+    blocks = []
+    for at in range(0, len(rows), block):
+        part = [np.frombuffer(h, np.int16) for _, h in rows[at:at + block]]
+        blocks.append((np.repeat(np.arange(len(part), dtype=np.int16), [len(h) for h in part]), np.concatenate(part),
+                       np.array([c for c, _ in rows[at:at + block]], np.float64)))
     w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for i in range(1, s.rounds + 1):
-        z = np.bincount(row, value * w[col], len(y))
-        miss = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
-        g = np.bincount(col, value * miss[row], width + 1) / len(y)
+        g = np.zeros(width + 1)
+        for row, col, y in blocks:
+            v = value[col]
+            z = np.bincount(row, v * w[col], len(y)) + w[-1]
+            miss = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
+            g[:-1] += np.bincount(col, v * miss[row], width)
+            g[-1] += miss.sum()
+        g /= len(rows)
         g[:-1] += s.penalty * w[:-1]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
