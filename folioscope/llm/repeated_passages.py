@@ -19,6 +19,9 @@ other:
    earliest document with that match.  Streaming a context's positions through
    the runs tells where its matching statistic against earlier documents
    reaches ``length``.
+4. Crowded anchors.  Contexts of an anchor that has more of them than a bucket
+   holds are not indexed: their windows (128-bit hashes) are aggregated to the
+   smallest document on Spark and joined back, so no task holds a group.
 
 Exact copies are settled beforehand by a hash of the text.
 """
@@ -104,13 +107,14 @@ def anchors_of(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def contexts_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(h, c, doc_id, start, bytes): the context of every shared anchor; c is its hash."""
+    """(h, c, doc_id, start, bytes, lead): the context of every shared anchor; c is its hash, and lead
+    marks the first of a text's equal ones."""
     schema = T.StructType([long_field("h"), long_field("c"), texts.schema["doc_id"], long_field("start"),
-                           T.StructField("bytes", T.BinaryType())])
+                           T.StructField("bytes", T.BinaryType()), T.StructField("lead", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
-            ids, keys, starts, parts = [], [], [], []
+            ids, keys, starts, parts, leads = [], [], [], [], []
             for doc_id, text, shared in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist()):
                 raw = text.encode()
                 if len(raw) < length:
@@ -122,12 +126,18 @@ def contexts_of(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 ids += [doc_id] * len(at)
                 keys.append(h[at].view(np.int64))
                 starts.append(start)
-                parts += [raw[i:j + length] for i, j in zip(start.tolist(), at.tolist())]
+                cut = [raw[i:j + length] for i, j in zip(start.tolist(), at.tolist())]
+                met: set[tuple[int, bytes]] = set()
+                for mark in zip(keys[-1].tolist(), cut):
+                    leads.append(mark not in met)
+                    met.add(mark)
+                parts += cut
             c = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)).view(np.int64)
             none = np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([*keys, none])), pa.array(c), pa.array(ids, b.schema.field(0).type),
-                pa.array(np.concatenate([*starts, none])), pa.array(parts, pa.binary())], names=schema.names)
+                pa.array(np.concatenate([*starts, none])), pa.array(parts, pa.binary()),
+                pa.array(leads, pa.bool_())], names=schema.names)
 
     return texts.select("doc_id", "text", "shared").mapInArrow(run, schema)
 
@@ -200,27 +210,45 @@ def matched(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     return out.assign(spans=[[{"a": a, "b": b} for a, b in x] for x in lists])
 
 
+def crowded_windows(asked: DataFrame, depth: int) -> DataFrame:
+    """(h, c, spans) of contexts that smaller documents hold in part, by the windows of ``depth`` bytes they are made of.
+
+    A window that very many contexts hold is one row per task after the map-side
+    minimum; the join back streams, and AQE splits it where it is skewed."""
+    place = F.explode(F.sequence(F.lit(0), F.length("bytes") - depth))
+    window = F.substring("bytes", F.col("place") + 1, F.lit(depth))
+    held = asked.select("h", "c", "doc_id", "bytes", place.alias("place")).select(
+        F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"), "h", "c", "doc_id", "place")
+    low = held.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    hits = held.join(low.drop("high"), ["w1", "w2"]).filter("doc_id > low")
+    places = hits.groupBy("h", "c").agg(F.array_sort(F.collect_set("place")).alias("p"))
+    begins = F.filter("p", lambda i: ~F.array_contains("p", i - 1))
+    stops = F.filter("p", lambda i: ~F.array_contains("p", i + 1))
+    return places.select("h", "c", F.zip_with(begins, stops, lambda a, b: F.struct(
+        a.cast("long").alias("a"), (b + depth).cast("long").alias("b"))).alias("spans"))
+
+
 def shared_contexts(contexts: DataFrame, depth: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """(h, c, first) of every distinct context, and (h, c, spans) of those that
     smaller documents hold in part."""
     per = contexts.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
     classes = stored(per, "classes")
     sizes = stored(classes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    total = sizes.agg(F.sum("n").alias("n")).head()["n"] or 0
-    buckets = max(1, -(-total // rows))
-    # the bytes of one occurrence of each context that has others beside it
-    open_ = classes.join(sizes.select("h", F.ceil(F.col("n") / rows).cast("int").alias("cuts")), "h").select(
-        "h", "c", F.col("first").alias("doc_id"), "cuts")
-    asked = contexts.select("h", "c", "doc_id", "bytes").join(open_, ["h", "c", "doc_id"])
-    # an anchor with very many contexts is cut by the windows it is part of: a context goes where any of its windows goes
-    windows = F.transform(F.sequence(F.lit(1), F.length("bytes") - depth + 1), lambda i: F.pmod(
-        F.xxhash64(F.substring("bytes", i, depth)), F.col("cuts")).cast("int"))
-    cut = F.when(F.col("cuts") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(windows))
-    asked = asked.filter(F.length("bytes") >= depth).select(
-        F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int").alias("bucket"), F.explode(cut).alias("cut"), "h", "c", "doc_id", "bytes")
+    fits = F.col("n") <= rows
+    total, crowded = sizes.agg(F.sum(F.when(fits, F.col("n"))), F.count(F.when(~fits, 1))).head()
+    buckets = max(1, -(-(total or 0) // rows))
+
+    def asked(some: DataFrame) -> DataFrame:
+        """The bytes of one occurrence of each context that has others beside it."""
+        open_ = classes.join(some.select("h"), "h").select("h", "c", F.col("first").alias("doc_id"))
+        lead = contexts.filter("lead").select("h", "c", "doc_id", "bytes")
+        return lead.join(open_, ["h", "c", "doc_id"]).filter(F.length("bytes") >= depth)
+
     schema = "h long, c long, spans array<struct<a:long,b:long>>"
-    found = asked.groupBy("bucket", "cut").applyInPandas(lambda g: matched(g, depth)[["h", "c", "spans"]], schema)
-    found = found.select("h", "c", F.explode("spans").alias("s")).groupBy("h", "c").agg(F.collect_list("s").alias("spans"))
+    found = asked(sizes.filter(fits)).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int")).groupBy(
+        "bucket").applyInPandas(lambda g: matched(g, depth)[["h", "c", "spans"]], schema)
+    if crowded:
+        found = found.unionByName(crowded_windows(stored(asked(sizes.filter(~fits)), "crowded"), depth))
     return classes, found
 
 

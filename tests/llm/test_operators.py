@@ -400,6 +400,24 @@ def test_hot_anchors_are_cut(spark):
     assert {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in cut.collect()} == want
 
 
+def test_no_task_gets_a_crowded_anchor(spark, monkeypatch):
+    from folioscope.llm import repeated_passages as module
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    rows = [(i, prose(rng, 12) + passage + prose(rng, 12), "en", "a", 0) for i in range(120)]
+    rows += [(200 + i, f"{i} " + "repeat me at once " * 40, "en", "a", 0) for i in range(3)]  # equal contexts of one text
+    whole = module.matched
+
+    def bounded(group, depth):
+        assert len(group) <= 40, len(group)
+        return whole(group, depth)
+
+    monkeypatch.setattr(module, "matched", bounded)
+    _, cut = module.remove_repeats(spark.createDataFrame(rows, SCHEMA), 50, 20, rows=7)
+    want = {(w[0], w[2], w[3]) for w in brute_repeats(rows) if w[2]}
+    assert {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in cut.collect()} == want
+
+
 def test_run_index():
     index = RunIndex([b"abracadabra12", b"cadabra12x", b"abra"], 8)
     got = index.earliest(np.array([1, 2, 3]))
