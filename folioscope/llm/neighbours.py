@@ -121,7 +121,8 @@ def search(rows: DataFrame, queries: DataFrame, codec: Codec, radius: int, k: in
     def placed(df: DataFrame) -> DataFrame:
         df = df.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
         sub = F.expr(f"shiftrightunsigned(code, t * {width}) & {(1 << width) - 1 if width < 64 else -1}L")
-        return df.withColumn("lead", F.shiftrightunsigned(sub, width - lead).cast("int"))
+        # the JVM takes shifts modulo 64: a shift by the whole width of 64 would leave the code as it is
+        return df.withColumn("lead", F.shiftrightunsigned(sub, width - lead).cast("int") if lead else F.lit(0))
 
     index = placed(rows)
     # a partition that many equal leading bits overfill is cut further; every query of it visits all cuts

@@ -314,6 +314,23 @@ def test_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2, 3]
 
 
+def test_neighbours_of_outliers_in_64_dimensions(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    rows = [(i, (centre + 0.01 * rng.normal(size=64)).tolist()) for i in range(300)]
+    rows.append((999, (-40 * centre).tolist()))  # finds nothing within the radius: asked again without one
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: np.array(v) for i, v in rows}
+
+    def brute(q, ids, k):
+        return [i for _, i in sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in ids if i != q)[:k]]
+
+    got = neighbours.nearest_neighbours(df, "vec_id = 999", k=10).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == brute(999, x, 10)
+    four = neighbours.nearest_neighbours(df.filter("vec_id < 4"), "true", k=10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in four] == [(q, i) for q in range(4) for i in brute(q, range(4), 10)]
+
+
 def test_pigeonhole():
     for radius in range(0, 40):
         for m in (1, 2, 4, 5):
