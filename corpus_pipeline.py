@@ -30,10 +30,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _without(docs, stored(scores.filter("predicted = 1").select("doc_id"), "toxic"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a text ``_key`` for each document: the same for rows of one id and text, in the
+    order of ids; rows without an id come last, one document for each text."""
+    mark = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2 ** 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return docs.withColumn("_key", F.concat(F.coalesce(place, F.lit("~")), mark))
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates the document with the smallest id stays."""
-    groups = near_duplicates(docs)
-    return _without(docs, stored(groups.filter("doc_id <> component_id").select("doc_id"), "near-duplicates"))
+    """Of every group of near duplicates one row stays, of the document with the smallest id.
+
+    A repeated row (same id and text) is one document, different texts under
+    one id are several, and a text without an id is one that comes after all
+    ids.  Rows without an id and without words are linked with nothing and stay."""
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if counts.filter("doc_id is null or n > 1").isEmpty():
+        groups = near_duplicates(docs)
+        return _without(docs, stored(groups.filter("doc_id <> component_id").select("doc_id"), "near-duplicates"))
+    keyed = _keyed(docs)
+    groups = stored(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")), "groups").withColumnRenamed("doc_id", "_key")
+    left = keyed.join(groups.filter("_key <> component_id").select("_key").distinct(), "_key", "left_anti")
+    bare = groups.filter("n_shingles = 0 and startswith(_key, '~')").select("_key").distinct()
+    once = left.join(bare, "_key", "left_anti").dropDuplicates(["_key"])
+    return once.unionByName(left.join(bare, "_key", "left_semi")).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

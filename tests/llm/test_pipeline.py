@@ -38,3 +38,14 @@ def test_stages(spark, tmp_path):
     packed = pipeline.packing(spark, mixed, str(tmp_path))
     assert packed.filter("start = 0").count() == mixed.count()
     assert pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 80) + f" {x}" for x in "abcd")
+    rows = [(3, a), (3, a), (7, a + " x"), (7, b), (-2, c), (None, c), (None, d), (None, d), (9, b), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    single = pipeline.near_duplicate(spark, docs, str(tmp_path))
+    assert single.columns == docs.columns
+    want = [(3, a), (7, b), (-2, c), (None, d), (None, None), (None, None), (8, "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in single.collect()))) == sorted(map(repr, want))
