@@ -21,8 +21,8 @@ def documents(spark, sf_dir: str) -> DataFrame:
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back.
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once, one folder for each value of ``by``, and read it back.
 
     A costly pass over the texts then runs once however often its (narrow)
     result is used, and a lost executor only costs a re-read.  Nothing reads
@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fill_in_middle as fim
+from . import main_text, prefix_trie
 from .batches import documents
 from .jaccard_join import near_duplicates
 from .mixing import mix
@@ -66,7 +69,23 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(documents(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fim.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return d.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                    digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_token_counts, op4_secrets, op5_quality_classifier, op6_quality_rules,
                                 op7_nearest_neighbours,
-                                op8_toxicity, op9_jaccard_join, op10_repeated_passages)}
-ORACLES: dict[str, str] = {}
+                                op8_toxicity, op9_jaccard_join, op10_repeated_passages,
+                                op11_fill_in_middle, op12_conversation_trie, op13_html_extraction)}
+ORACLES: dict[str, str] = {"op11_fill_in_middle": fim.ORACLE, "op12_conversation_trie": prefix_trie.ORACLE}

@@ -10,7 +10,7 @@ from .test_operators import SCHEMA, brute_components, prose
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert "pipeline" in entry.queries() and [n for n, _ in pipeline.STAGES][-1] == "packing"
 
 
