@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut_lineage, spread
+from . import vector_blocks as B
 from .graph import components
 
 # fixed values
@@ -19,10 +20,10 @@ TITLE_WEIGHT, TITLE_MIN = 0.3, 0.5
 RERANK_POOL, RERANK_CHARS = 30, 400
 MUTUAL_TOP, TOP_K = 4, 8
 
-#: rows of one side of a block; a block pair is the unit of work of one group
-BLOCK = 2048
-#: at most this many pivots are held by the driver (1024 x width doubles)
-MAX_PIVOTS = 1024
+#: rows of a block of 64 coordinates; a pair of blocks is the unit of work
+BLOCK = B.BLOCK
+#: titles meet at a shared word of at most so many members; a word of more loosens the bounds of blocks
+RARE = 256
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -49,128 +50,211 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def _matrix(vecs: pd.Series) -> np.ndarray:
-    m = np.array(vecs.tolist(), dtype=np.float64).reshape(len(vecs), -1)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _title_overlap(left: pd.Series, right: pd.Series) -> np.ndarray:
-    words = {w: i for i, w in enumerate(sorted({w for s in (*left, *right) for w in s}))}
-    if not words:
-        return np.zeros((len(left), len(right)))
-
-    def hot(side: pd.Series) -> np.ndarray:
-        m = np.zeros((len(side), len(words)), dtype=np.float32)
-        for i, s in enumerate(side):
-            m[i, [words[w] for w in s]] = 1
-        return m
-    a, b = hot(left), hot(right)
-    small = np.minimum(a.sum(1)[:, None], b.sum(1)[None, :])
-    return np.divide((a @ b.T).astype(np.float64), small, out=np.zeros((len(left), len(right))), where=small > 0)
-
-
-_PAIRS = "id string, other string, cos double, title_sim double, combined double"
-
-
-def _block_top(k: int | None, floor: float | None):
-    """Top-k (all without k) of each probe of one block against the members of that block."""
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        probes, members = block[block.probe], block[~block.probe]
-        if probes.empty or members.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in _PAIRS.split(", ")})
-        cos = _matrix(probes.vec) @ _matrix(members.vec).T
-        sim = _title_overlap(probes.words, members.words)
-        score = np.minimum(1.0, cos + np.where(sim >= TITLE_MIN, TITLE_WEIGHT * sim, 0.0))
-        ok = np.ones_like(score, dtype=bool)
-        if floor is not None:
-            ok &= score >= floor
-        names, other = probes.id.to_numpy(), members.id.to_numpy()
-        row, col = np.nonzero(ok)
-        # best first in each row; ties go to the later name
-        later = np.empty(len(other), np.int64)
-        later[np.argsort(other)[::-1]] = np.arange(len(other))
-        best = np.lexsort((later[col], -sim[row, col], -cos[row, col], -score[row, col], row))
-        row, col = row[best], col[best]
-        first = np.searchsorted(row, row)  # where the row begins
-        if k is not None:
-            keep = np.arange(len(row)) - first < k
-            row, col = row[keep], col[keep]
-        return pd.DataFrame({"id": names[row], "other": other[col], "cos": cos[row, col],
-                             "title_sim": sim[row, col], "combined": score[row, col]})
-    return run
-
-
-def _cells(df: DataFrame, pivots: np.ndarray, reach: float | None) -> DataFrame:
-    """(id, vec, words, cell, home): the own cell of a vector and, given a
-    reach, every other cell that may hold something within that angle."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ang = np.arccos(np.clip(_matrix(b.vec) @ pivots.T, -1, 1))
-            own = ang.argmin(1)
-            if reach is None:
-                yield b.assign(cell=own.astype(np.int64))
-            else:
-                row, cell = np.nonzero(ang <= ang[np.arange(len(b)), own][:, None] + 2 * reach + 1e-9)
-                yield b.iloc[row].assign(cell=cell.astype(np.int64))
-    return df.mapInPandas(run, "id string, vec array<double>, words array<string>, cell long")
-
-
-def _prepare(df: DataFrame) -> DataFrame:
-    words = T.token_set(F.col("title")) if "title" in df.columns else F.array().cast("array<string>")
-    return df.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"),
-                     words.alias("words"))
-
-
-def _pivots(members: DataFrame, rows: int) -> np.ndarray:
-    n = max(1, min(MAX_PIVOTS, rows // BLOCK))
-    picked = members.orderBy(F.xxhash64("id"), "id").limit(n).select("vec").toPandas()  # n is bounded
-    return _matrix(picked.vec)
+_PAIRS = "id string, other string, cos double, title_sim double, combined double, same boolean"
+
+
+def _prepare(df: DataFrame, titles: bool) -> DataFrame:
+    words = F.array_sort(T.token_set(F.coalesce("title", F.lit("")))) if titles and "title" in df.columns else F.array().cast("array<string>")
+    return df.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<double>").alias("vec"), words.alias("words"))
+
+
+def _ranked(df: DataFrame, counts: DataFrame | None, rare: int) -> DataFrame:
+    """``df`` with the frequent words of each title and the rest, rarest first.
+
+    Titles are looked up by their word set, so a title any share of the table has
+    meets the counts once.
+    """
+    none = F.array().cast("array<string>")
+    if counts is None:
+        return df.withColumns({"hot": none, "rare": none})
+    sets = df.select("words").distinct()
+    ranked = sets.select("words", F.explode("words").alias("word")).join(counts, "word").groupBy("words").agg(
+        F.sort_array(F.collect_list(F.struct("rows", "word"))).alias("ranked"))
+    pick = lambda test: F.transform(F.filter("ranked", test), lambda r: r["word"])
+    ranked = ranked.select("words", pick(lambda r: r["rows"] > rare).alias("hot"), pick(lambda r: r["rows"] <= rare).alias("rare"))
+    return df.join(ranked, "words", "left").select(*df.columns, F.coalesce("hot", none).alias("hot"), F.coalesce("rare", none).alias("rare"))
+
+
+def _scores(u: np.ndarray, pw: list, v: np.ndarray, mw: list, titles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cosine, title similarity and combined score of all rows of two blocks."""
+    cos = u @ v.T
+    sim = B.overlap(pw, mw) if titles else np.zeros_like(cos)
+    return cos, sim, np.minimum(1.0, cos + np.where(sim >= TITLE_MIN, TITLE_WEIGHT * sim, 0.0))
+
+
+def _vectors(met) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(x).reshape(n, -1) for x, n in ((met.p_vecs, len(met.p_ids)), (met.vecs, len(met.ids))))
+
+
+def _listed(names: np.ndarray, other: np.ndarray, ok: np.ndarray, scores: tuple, k: int | None, same: bool) -> pd.DataFrame:
+    """The pairs ``ok`` of two blocks, of each probe the k best."""
+    cos, sim, score = scores
+    row, col = np.nonzero(ok)
+    # best first in each row; ties go to the later name
+    later = np.empty(len(other), np.int64)
+    later[np.argsort(other)[::-1]] = np.arange(len(other))
+    best = np.lexsort((later[col], -sim[row, col], -cos[row, col], -score[row, col], row))
+    row, col = row[best], col[best]
+    if k is not None:
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[keep], col[keep]
+    return pd.DataFrame({"id": names[row], "other": other[col], "cos": cos[row, col], "title_sim": sim[row, col],
+                         "combined": score[row, col], "same": same})
+
+
+def _block_pairs(met, rotation: np.ndarray, k: int | None, titles: bool) -> pd.DataFrame:
+    """What a block of probes finds in a block of members: all that is asked for, or the k best of each probe."""
+    u, v = _vectors(met)
+    need, lift = np.asarray(met.needs), np.zeros(len(u))
+    if len(met.seen):
+        seen = set(met.seen)
+        lift = np.array([TITLE_WEIGHT if seen.intersection(h) else 0.0 for h in met.p_hot])
+    rows = np.flatnonzero(B.row_bound(u @ rotation, np.asarray(met.mean), np.asarray(met.radius)) + lift + B.EPS >= need)
+    scores = _scores(u[rows], [met.p_words[i] for i in rows], v, met.words, titles)
+    return _listed(np.asarray(met.p_ids)[rows], np.asarray(met.ids), scores[2] >= need[rows, None], scores, k, met.probe == met.member)
+
+
+def _word_pairs(word: str, rows: pd.DataFrame, k: int | None) -> pd.DataFrame:
+    """Pairs of the probes and members of one title word that share no rarer and no frequent word."""
+    p, m = rows[rows.probe], rows[~rows.probe]
+    before = lambda side: [list(r)[:list(r).index(word)] for r in side.rare]
+    scores = _scores(B.unit(p.vec), list(p.words), B.unit(m.vec), list(m.words), True)
+    first = (B.shared(before(p), before(m)) == 0) & (B.shared(list(p.hot), list(m.hot)) == 0)
+    ok = first & (scores[1] >= TITLE_MIN) & (scores[2] >= p.need.to_numpy()[:, None])
+    return _listed(p.id.to_numpy(dtype=object), m.id.to_numpy(dtype=object), ok, scores, k, False)
+
+
+class Search:
+    """One search: every pair of a probe and a member whose combined score is at least what the probe asks for.
+
+    Blocks of vectors are skipped by their bounds (:mod:`.vector_blocks`).  A
+    title can lift a pair above the floor whose vectors alone are below it; such
+    a pair shares a title word.  Words that more than RARE members have
+    loosen the bounds of blocks that share them; all others are an equi-join on
+    the rarest word two titles share.
+    """
+
+    def __init__(self, probes: DataFrame, members: DataFrame, titles: bool, block: int | None = None):
+        self.titles = titles and "title" in members.columns and "title" in probes.columns
+        m = _prepare(members, self.titles)
+        rows, width = m.agg(F.count("*"), F.max(F.size("vec"))).first()
+        self.empty = rows == 0
+        if self.empty:
+            return
+        self.block = block or max(64, BLOCK * 64 // max(64, width))
+        counts = m.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("rows")) if self.titles else None
+        rare = min(RARE, self.block)
+        self.members = _ranked(m, counts, rare)
+        self.probes = self.members if probes is members else _ranked(_prepare(probes, self.titles), counts, rare)
+        self.space = B.learn(m, rows, self.block)
+        self.lift = TITLE_WEIGHT if self.titles else 0.0
+        narrow = ["id", "vec", "words", "hot"]
+        self.packed = B.pack(self.members.select(*narrow), self.space, self.block)
+        self.asking = self.packed if probes is members else B.pack(self.probes.select(*narrow), self.space, self.block)
+
+    def _met(self, pairs: DataFrame, asking: DataFrame) -> DataFrame:
+        """Pairs of blocks with their rows."""
+        p = asking.select(F.col("block").alias("probe"), F.col("ids").alias("p_ids"), F.col("words").alias("p_words"), F.col("hot").alias("p_hot"),
+                          F.col("vecs").alias("p_vecs"), *[c for c in ("needs",) if c in asking.columns])
+        m = self.packed.select(F.col("block").alias("member"), "ids", "words", "vecs", "mean", "radius", "seen")
+        # a few rows of megabytes: dealt out by number, as their bytes say nothing of the work in a pair
+        return spread(pairs.select("probe", "member").join(p, "probe").join(m, "member"))
+
+    def _needs(self, k: int) -> DataFrame:
+        """The k-th score every probe has in the member block around it, as a column of its block."""
+        near = self.asking.select("cell", F.col("block").alias("probe"), F.col("mean").alias("pm")).join(
+            self.packed.select("cell", F.col("block").alias("member"), F.col("mean").alias("mm")), "cell")
+        dot = F.aggregate(F.zip_with("pm", "mm", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        home = near.groupBy("probe").agg(F.max_by("member", dot).alias("member"))
+        titles = self.titles
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for r in b.itertuples():
+                    u, v = _vectors(r)
+                    score = _scores(u, r.p_words, v, r.words, titles)[2]
+                    enough = score.shape[1] >= k
+                    out.append((r.probe, np.partition(score, -k, axis=1)[:, -k] - B.EPS if enough else np.full(len(u), -2.0)))
+                yield pd.DataFrame(out, columns=["block", "needs"])
+
+        found = self._met(home, self.asking).mapInPandas(run, "block string, needs array<double>")
+        return cut_lineage(self.asking.join(found, "block", "left").withColumn(
+            "needs", F.coalesce("needs", F.transform("ids", lambda i: F.lit(-2.0)))))
+
+    def _ask(self, k: int | None, floor: float | None) -> DataFrame:
+        if floor is None:
+            return self._needs(k)
+        return self.asking.withColumn("needs", F.transform("ids", lambda i: F.lit(float(floor))))
+
+    def visits(self, asking: DataFrame) -> DataFrame:
+        return B.visits(B.summary(asking, F.array_min("needs")), B.summary(self.packed), self.lift)
+
+    def found(self, k: int | None, floor: float | None, once: bool = False) -> DataFrame:
+        """(id, other, cos, title_sim, combined, same): for top-k searches a list that holds the k best of every
+        probe, else all pairs from the floor on; with ``once`` only one of (a, b) and (b, a) of a self-join."""
+        asking = self._ask(k, floor)
+        pairs = self.visits(asking)
+        pairs = pairs.filter("probe <= member") if once else pairs
+        rotation, titles = self.space.rotation, self.titles
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield from filter(len, (_block_pairs(r, rotation, k, titles) for r in b.itertuples()))
+
+        found = self._met(pairs, asking).mapInPandas(run, _PAIRS)
+        if once:
+            a, b = F.least("id", "other"), F.greatest("id", "other")
+            found = found.filter("not same or id < other").withColumns({"id": a, "other": b})
+        if not self.titles:
+            return found
+        need = None
+        if floor is None:
+            need = asking.select(F.explode(F.arrays_zip("ids", "needs")).alias("r")).select(
+                F.col("r.ids").alias("id"), F.col("r.needs").alias("need"))
+        return found.unionByName(self._by_rare_word(k, floor, need, once)).dropDuplicates(["id", "other"])
+
+    def _by_rare_word(self, k: int | None, floor: float | None, need: DataFrame | None, once: bool) -> DataFrame:
+        """Pairs whose titles share no frequent word and enough others, met at the rarest one they share.
+
+        A word has at most RARE members; its probes come in parts of a block.
+        """
+        cols = ["id", "vec", "words", "hot", "rare"]
+        p = self.probes.select(*cols, F.lit(floor).alias("need")) if need is None else self.probes.join(need, "id").select(*cols, "need")
+        p = p.select("*", F.explode("rare").alias("word"), F.lit(True).alias("probe"))
+        m = self.members.select(*cols, F.lit(None).cast("double").alias("need"), F.explode("rare").alias("word"), F.lit(False).alias("probe"))
+        if self.probes is self.members:
+            p, m = p.withColumn("part", F.lit(0).cast("long")), m.withColumn("part", F.lit(0).cast("long"))
+        else:
+            parts = p.groupBy("word").agg(F.ceil(F.count("*") / self.block).alias("parts"))
+            p = p.join(parts, "word").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+            m = m.join(parts, "word").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            out = _word_pairs(key[0], rows, k) if rows.probe.nunique() == 2 else []
+            return out if len(out) else pd.DataFrame()
+
+        found = p.unionByName(m).groupBy("word", "part").applyInPandas(run, _PAIRS)
+        return found.filter("id < other") if once else found
 
 
 def nearest(probes: DataFrame, members: DataFrame, k: int, floor: float | None = None,
-            cos_floor: float | None = None, titles: bool = True) -> DataFrame:
+            cos_floor: float | None = None, titles: bool = True, block: int | None = None) -> DataFrame:
     """Exact top-k of each probe by combined score, (id, other, cos, title_sim,
     combined, pos); of those k, the ones below ``cos_floor`` are left out."""
-    found = _scored(probes, members, k, floor, titles)
+    search = Search(probes, members, titles, block)
+    if search.empty:
+        return members.sparkSession.createDataFrame([], f"{_PAIRS}, pos int").drop("same")
     w = Window.partitionBy("id").orderBy(F.desc("combined"), F.desc("cos"), F.desc("title_sim"), F.desc("other"))
-    top = found.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+    top = search.found(k, floor).drop("same").withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
     return top if cos_floor is None else top.filter(F.col("cos") >= cos_floor)
 
 
-def _scored(probes: DataFrame, members: DataFrame, k: int | None, floor: float | None, titles: bool) -> DataFrame:
-    """What every block finds: the k best of each probe in it, or all pairs from the floor on.
-
-    Vectors are split into cells around pivots.  With a floor on the combined
-    score an angle follows, and a probe visits only the cells that can hold a
-    vector within it: a vector of cell q closer than the angle is no farther
-    from q than from the probe's own pivot, so q lies within the own distance
-    plus twice the angle.  A cell is cut into blocks of bounded size on both
-    sides, so a crowded cell is many groups, never one.
-    """
-    p, m = _prepare(probes), _prepare(members)
-    rows = m.count()
-    if rows == 0:
-        return p.sparkSession.createDataFrame([], _PAIRS)
-    if floor is not None:
-        bound = floor - (TITLE_WEIGHT if titles else 0.0)
-        pivots, reach = _pivots(m, rows), math.acos(max(-1.0, min(1.0, bound)))
-        mc, pc = _cells(m, pivots, None), _cells(p, pivots, reach)
-        size = mc.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("mb"))
-        psize = pc.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("pb"))
-    else:
-        n = -(-rows // BLOCK)
-        mc = m.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(n)))
-        pc = p.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-        size = mc.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("mb"))
-        psize = pc.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("pb"))
-    grid = size.join(psize, "cell")  # one row per cell
-    spread = lambda col: F.explode(F.sequence(F.lit(0).cast("long"), F.col(col) - 1))
-    left = mc.join(grid, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("mb")).alias("i"), spread("pb").alias("j"),
-                                        "id", "vec", "words", F.lit(False).alias("probe"))
-    right = pc.join(grid, "cell").select("cell", spread("mb").alias("i"), F.pmod(F.xxhash64("id", F.lit(7)), F.col("pb")).alias("j"),
-                                         "id", "vec", "words", F.lit(True).alias("probe"))
-    return left.unionByName(right).groupBy("cell", "i", "j").applyInPandas(_block_top(k, floor), _PAIRS)
+def visited_share(probes: DataFrame, members: DataFrame, k: int | None = None, floor: float | None = None, titles: bool = True,
+                  block: int | None = None) -> float:
+    """The part of all (probe, member) pairs that lie in blocks a search looks into."""
+    search = Search(probes, members, titles, block)
+    seen = search.visits(search._ask(k, floor)).agg(F.sum(F.col("probe_rows").cast("double") * F.col("member_rows"))).first()[0]
+    return (seen or 0.0) / (probes.count() * members.count())
 
 
 def neighbours(notes: DataFrame, k: int = TOP_K, merge: float = ZONE_MERGE, flag: float = ZONE_FLAG) -> DataFrame:
@@ -181,11 +265,11 @@ def neighbours(notes: DataFrame, k: int = TOP_K, merge: float = ZONE_MERGE, flag
     members; the group may be any share of the table.
     """
     titles = "title" in notes.columns
-    words = F.array_sort(T.token_set(F.col("title"))) if titles else F.array().cast("array<string>")
+    words = F.array_sort(T.token_set(F.coalesce("title", F.lit("")))) if titles else F.array().cast("array<string>")
     keyed = notes.withColumn("g", F.sha2(F.concat_ws("|", F.col("vec").cast("string"), F.array_join(words, " ")), 256))
     keyed = keyed.withColumn("id", F.col("id").cast("string"))
     w = Window.partitionBy("g").orderBy(F.desc("id"))
-    few = keyed.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    few = cut_lineage(keyed.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k))
     probes = few.filter("rn = 1").withColumn("id", F.col("g"))
     found = nearest(probes, few, k, flag, titles=titles)
     return (keyed.select(F.col("id").alias("note"), "g").join(found.withColumnRenamed("id", "g"), "g")
@@ -193,15 +277,16 @@ def neighbours(notes: DataFrame, k: int = TOP_K, merge: float = ZONE_MERGE, flag
                                             zone(F.col("combined"), merge, flag).alias("zone")))
 
 
-def pairs(notes: DataFrame, floor: float = ZONE_FLAG) -> DataFrame:
+def pairs(notes: DataFrame, floor: float = ZONE_FLAG, block: int | None = None) -> DataFrame:
     """All unordered pairs at or above a combined score, best first in value.
 
-    Exact over the whole batch; the block join emits only qualifying pairs.
+    Exact over the whole batch; only qualifying pairs are emitted.
     """
     ids = notes.withColumn("id", F.col("id").cast("string"))
-    found = _scored(ids, ids, None, floor, "title" in notes.columns)
-    return found.filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "cos", "title_sim",
-                                             "combined", zone(F.col("combined")).alias("zone"))
+    search = Search(ids, ids, "title" in notes.columns, block)
+    found = notes.sparkSession.createDataFrame([], _PAIRS) if search.empty else search.found(None, floor, once=True)
+    return found.select(F.col("id").alias("a"), F.col("other").alias("b"), "cos", "title_sim",
+                        "combined", zone(F.col("combined")).alias("zone"))
 
 
 def best_edges(lists: DataFrame) -> DataFrame:
@@ -254,7 +339,8 @@ def duplicate_report(notes: DataFrame, meta: DataFrame, k: int = TOP_K, merge: f
     bad = notes.filter(F.col("vec").isNull() | (F.size("vec") == 0)).limit(1)
     if not bad.isEmpty():
         raise ValueError("a note has no vector; the report would be incomplete")
-    kept = mutual(best_edges(neighbours(notes, k, merge, flag)))
+    # both are read several times, and are small beside the search that made them
+    kept = cut_lineage(mutual(cut_lineage(best_edges(neighbours(notes, k, merge, flag)))))
     member, zones = clusters(kept)
     out = canonical(member, meta).join(zones, "component")
     return out.orderBy(F.when(F.col("zone") == "merge", 0).otherwise(1), F.desc("size"), "component")
