@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..session import spread
+from ..session import cut_lineage, spread
 from .substring import words_containing
 
 
@@ -21,23 +23,20 @@ def topic_terms(topics: DataFrame) -> DataFrame:
     return topics.select("topic", F.array_distinct(T.tokens(F.col("text"), rules.SEARCH_STOP)).alias("terms"))
 
 
-def lexical_scores(docs: DataFrame, topics: DataFrame) -> DataFrame:
-    """(topic, path, score) of every note a topic matches.
-
-    A note matches the whole topic when it has all its words or two adjacent
-    ones side by side; it always matches a single word.  A word counts at most
-    eight times, plus four when it is in the path.
-
-    A note's words are counted inside its row, so a posting is one row per
-    distinct word, and neighbouring words are postings of their own ("a b"):
-    one join with the topic words and one aggregation answer all topics.  The
-    postings of a note stay in one partition up to that aggregation, which
-    therefore shuffles one row per (topic, note).
-    """
+def _topic_words(topics: DataFrame) -> DataFrame:
+    """(topic, n_terms, word): words of each topic and its neighbouring pairs ("a b")."""
     t = topic_terms(topics).withColumn("n_terms", F.size("terms"))
-    t = t.select("topic", "n_terms", F.explode(F.concat("terms", F.transform(
+    return t.select("topic", "n_terms", F.explode(F.concat("terms", F.transform(
         F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))),
         lambda a, i: F.concat_ws(" ", a, F.get("terms", i + 1))))).alias("word"))
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """(path, word, points): a word counts at most eight times, plus four when it is in the path.
+
+    A note's words are counted inside its row; neighbouring words are postings
+    of their own without points.
+    """
     d = T.staged(docs.select("path", "text"),
                  hay=T.tokens(F.concat_ws("\n", "path", "text"), rules.SEARCH_STOP),
                  rel=F.array_distinct(T.tokens(F.col("path"), rules.SEARCH_STOP)))
@@ -45,16 +44,113 @@ def lexical_scores(docs: DataFrame, topics: DataFrame) -> DataFrame:
                                         lambda a, i: F.concat_ws(" ", a, F.get("hay", i + 1))))
     posts = d.select("path", "rel", F.inline(F.concat(T.counts_of(F.col("hay")), F.transform(
         side, lambda w: F.struct(w.alias("word"), F.lit(0).alias("n"))))))
-    posts = posts.select("path", "word", (F.least("n", F.lit(8)) + F.when(
+    return posts.select("path", "word", (F.least("n", F.lit(8)) + F.when(
         F.array_contains("rel", F.col("word")), 4).otherwise(0)).alias("points"))
+
+
+def lexical_scores(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, path, score) of every note a topic matches.
+
+    A note matches the whole topic when it has all its words or two adjacent
+    ones side by side; it always matches a single word.  This lists one row for
+    each (topic, note); for the best notes of each topic take :func:`best_notes`.
+    """
     # a pair posting has no points and is told apart by that
-    agg = posts.join(t, "word").groupBy("topic", "path").agg(
+    agg = _postings(docs).join(_topic_words(topics), "word").groupBy("topic", "path").agg(
         F.sum("points").alias("total"), F.max("points").alias("single"), F.count_if(F.col("points") > 0).alias("found"),
         F.max("n_terms").alias("n_terms"), F.max(F.col("points") == 0).alias("pair"))
     whole = (F.col("found") == F.col("n_terms")) | F.col("pair")
     return agg.select("topic", "path", F.greatest(F.when(whole, F.col("total")).otherwise(0), "single").alias("score"))
 
 
+# -- block-max index -------------------------------------------------------------------
+
+#: Notes of a block of the index.
+BLOCK = 1024
+#: Blocks of the highest bounds that are scored first, to learn what the others have to reach.
+FIRST = 4
+
+
+def _block_of(path: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(blocks)).cast("int")
+
+
+def block_index(docs: DataFrame, postings: DataFrame, block: int = BLOCK, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The postings of every word in each block of notes, and the names of the notes of each block.
+
+    (word, block, top, notes, points) with the most points of the word in the
+    block, and (block, all_notes, names); ``postings(path, word, points)``.  A
+    note is a 64-bit number.  A list holds at most a block of notes, however
+    common its word is.  Written once, as a search reads them several times.
+    """
+    blocks = max(1, -(-docs.count() // block))
+    lists = postings.groupBy("word", _block_of("path", blocks).alias("block")).agg(
+        F.max("points").alias("top"), (F.collect_set if repeated else F.collect_list)(
+            F.struct(F.xxhash64("path").alias("note"), "points")).alias("posts"))
+    index = lists.select("word", "block", "top", F.col("posts.note").alias("notes"), F.col("posts.points").alias("points"))
+    names = docs.select("path").distinct().groupBy(_block_of("path", blocks).alias("block")).agg(
+        F.collect_list(F.struct(F.xxhash64("path").alias("note"), "path")).alias("all"))
+    return cut_lineage(index), cut_lineage(names.select("block", F.col("all.note").alias("all_notes"), F.col("all.path").alias("names")))
+
+
+def _block_best(rows: pd.DataFrame, keep: int, whole: bool) -> pd.DataFrame:
+    """The best notes of one block for one topic and all that tie with the last of them."""
+    note, notes = pd.factorize(np.concatenate(rows.notes.tolist()))
+    points = np.concatenate(rows.points.tolist()).astype(np.int64)
+    total = np.bincount(note, points).astype(np.int64)
+    if whole:
+        found, pair = np.bincount(note, points > 0), np.bincount(note, points == 0) > 0
+        single = np.zeros(len(notes), np.int64)
+        np.maximum.at(single, note, points)
+        total = np.maximum(np.where((found == rows.n_terms.iloc[0]) | pair, total, 0), single)
+    best = np.flatnonzero(total >= np.partition(total, -keep)[-keep]) if len(total) > keep else np.arange(len(total))
+    return pd.DataFrame([{"topic": rows.topic.iloc[0], "block": rows.block.iloc[0], "notes": notes[best], "scores": total[best]}])
+
+
+def best_of_blocks(index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True) -> DataFrame:
+    """(topic, path, score, rank): the ``keep`` best notes of every topic; ``words(topic, n_terms, word)``.
+
+    No note of a block can score more than the sum of the highest points its
+    topic's words have there.  A few blocks of the highest bounds are scored
+    first; a block whose bound is below the score then found at place ``keep``
+    is not opened.  Notes never meet topics one by one: what is shuffled is
+    lists of a block, names are looked up in the row of their block, and out of
+    a block come at most ``keep`` notes.
+    """
+    lists, names = index
+    kind = words.schema["topic"].dataType.simpleString()
+    met = lists.join(words, "word").select("topic", "block", "top", "n_terms", "notes", "points")
+    bounds = met.groupBy("topic", "block").agg(F.sum("top").alias("bound"))
+    w = Window.partitionBy("topic").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block")
+    conf = met.sparkSession.conf
+    tasks = max(met.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        opened = met.join(blocks, ["topic", "block"], "left_semi").repartition(tasks, "topic", "block")
+        best = opened.groupBy("topic", "block").applyInPandas(
+            lambda rows: _block_best(rows, keep, whole), f"topic {kind}, block int, notes array<long>, scores array<long>")
+        row = F.zip_with("notes", "scores", lambda n, s: F.struct(
+            (-s).alias("neg"), F.get("names", (F.array_position("all_notes", n) - 1).cast("int")).alias("path")))
+        return best.join(names, "block").select("topic", F.inline(F.slice(F.array_sort(row), 1, keep))).select(
+            "topic", "path", (-F.col("neg")).alias("score"))
+
+    order = Window.partitionBy("topic").orderBy(F.desc("score"), "path")
+    seeds = cut_lineage(scored(first).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep))
+    least = seeds.filter(F.col("rank") == keep).select("topic", F.col("score").alias("least"))
+    rest = bounds.join(least, "topic", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0))).select("topic", "block").join(
+        first, ["topic", "block"], "left_anti")
+    both = seeds.drop("rank").unionByName(scored(rest))
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+
+
+def best_notes(docs: DataFrame, topics: DataFrame, keep: int = 60, block: int = BLOCK) -> DataFrame:
+    """(topic, path, score, rank): the best ``keep`` notes of each topic by :func:`lexical_scores`, ties by path."""
+    words = cut_lineage(_topic_words(topics))
+    postings = _postings(docs).join(words.select("word").distinct(), "word", "left_semi")
+    return best_of_blocks(block_index(docs, postings, block), words, keep)
+
+
 def candidates(scores: DataFrame, keep: int = 60) -> DataFrame:
     """The best ``keep`` notes of each topic; Spark cuts before the shuffle."""
     w = Window.partitionBy("topic").orderBy(F.desc("score"), "path")
@@ -141,22 +237,21 @@ def themes(found: DataFrame, keep: int = 12) -> DataFrame:
 
 # -- votes ---------------------------------------------------------------------------
 
-def vote_ranking(docs: DataFrame, questions: DataFrame, keep: int = 7, min_len: int = 3) -> DataFrame:
+def vote_ranking(docs: DataFrame, questions: DataFrame, keep: int = 7, min_len: int = 3, block: int = BLOCK) -> DataFrame:
     """(topic, path, votes, pos): question words that occur anywhere in a note.
 
     A word counts as a substring.  The corpus vocabulary is matched once against
     all question words through shared grams; notes then only meet the words of
-    the vocabulary that hold one.
+    the vocabulary that hold one.  The words found are lists of the block index.
     """
-    q = questions.select("topic", F.explode(F.array_distinct(
-        T.query_words(F.col("text"), rules.SEARCH_STOP, min_len))).alias("part"))
-    runs = docs.select("path", F.explode(F.array_distinct(T.find_all(F.lower("text"), r"[a-zа-яё0-9-]+"))).alias("word"))
-    vocab = runs.select("word").distinct()
-    hits = words_containing(vocab, q.select("part").distinct())
-    found = runs.join(hits, "word").select("path", "part").distinct()
-    votes = found.join(q, "part").groupBy("topic", "path").agg(F.count("*").alias("votes"))
-    w = Window.partitionBy("topic").orderBy(F.desc("votes"), "path")
-    return votes.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= keep)
+    q = cut_lineage(questions.select("topic", F.explode(F.array_distinct(
+        T.query_words(F.col("text"), rules.SEARCH_STOP, min_len))).alias("word")))
+    runs = docs.select("path", F.explode(F.array_distinct(T.find_all(F.lower("text"), r"[a-zа-яё0-9-]+"))).alias("run"))
+    vocab = runs.select(F.col("run").alias("word")).distinct()
+    hits = words_containing(vocab, q.select(F.col("word").alias("part")).distinct()).withColumnRenamed("word", "run")
+    posts = runs.join(hits, "run").select("path", F.col("part").alias("word"), F.lit(1).alias("points"))
+    best = best_of_blocks(block_index(docs, posts, block, repeated=True), q.withColumn("n_terms", F.lit(0)), keep, whole=False)
+    return best.select("topic", "path", F.col("score").alias("votes"), F.col("rank").alias("pos"))
 
 
 # -- evaluation -----------------------------------------------------------------------

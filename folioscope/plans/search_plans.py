@@ -42,7 +42,7 @@ SCORES = f"""{DOCS}, tt0 AS (SELECT item_id AS topic, {odistinct(toks('text'))}
 
 
 def _cands(spark, sf):
-    return S.candidates(S.lexical_scores(docs(spark, sf), topics(spark, sf)))
+    return S.best_notes(docs(spark, sf), topics(spark, sf))
 
 
 @plan("topic_search", f"WITH {SCORES} SELECT topic, rank, path, CAST(score AS BIGINT) AS score FROM cands")
