@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import text as T
 from ..functions import urls as U
-from ..session import numbered
+from ..session import cut_lineage, numbered
+from .search import BlockSearch, block_index
+from .substring import containing, words_containing
 
 
 def fixed_parts(df: DataFrame, keys: list[str], order: list, size: int = 25) -> DataFrame:
@@ -102,26 +104,65 @@ def reattribute(note_refs: DataFrame, notes: DataFrame, sources: DataFrame, min_
     return d.select("note", "ref", "score", F.when(some, ok).otherwise(F.col("ref") == F.col("top")).alias("kept"))
 
 
-def atom_sources(atoms: DataFrame, records: DataFrame) -> DataFrame:
-    """(atom, ref, score): an atom's own valid references, else all records of
-    its part tied at the best overlap.
+def _needles(atoms: DataFrame) -> DataFrame:
+    """(topic, needle, weight): what of an atom may occur in a record - its long words, and of each source the
+    address without scheme, the first parts of its path, and its host."""
+    words = F.array_distinct(T.long_words(F.concat_ws("\n", "title", "what", F.array_join("sources", "\n"))))
+    bare = F.transform("sources", lambda s: T.sub(T.sub(F.lower(s), r"^https?://", ""), r"^www\.", ""))
+    weighed = lambda col, n: F.transform(col, lambda x: F.struct(x.alias("needle"), F.lit(n).alias("weight")))
+    rows = F.concat(weighed(words, 1), weighed(bare, 8), weighed(F.transform("sources", lambda s: F.lower(U.path_bits(s))), 6),
+                    weighed(F.transform("sources", U.host), 3))
+    d = atoms.select(F.col("atom").alias("topic"), F.inline(rows)).filter("needle <> ''")
+    return d.groupBy("topic", "needle").agg(F.sum("weight").alias("weight"))
+
+
+def _record_search(atoms: DataFrame, records: DataFrame, keep: int, ties: bool, block: int) -> BlockSearch:
+    """Atoms as topics, records as notes, in one index: a needle's list holds every record whose text contains it.
 
-    ``atoms(atom, part, title, what, sources, refs)``, ``records(part, ref, text)``
-    - a part holds a bounded number of records.
+    A needle of letters and digits alone occurs in a record where a run of them
+    contains it, so the vocabulary is matched once; other needles follow their
+    rarest word (:func:`.substring.containing`).  Where both tables have a
+    column part, an atom meets the records of its part.
     """
-    pairs = atoms.join(records.select("part", "ref", F.lower("text").alias("low")), "part")
-    own = pairs.filter(F.array_contains("refs", F.col("ref"))).select("atom", "ref").distinct()
-    words = F.array_distinct(T.long_words(F.concat_ws("\n", "title", "what", F.array_join("sources", "\n"))))
-    low = F.col("low")
-    per_url = F.aggregate("sources", F.lit(0), lambda acc, s: acc + F.when(
-        low.contains(T.sub(T.sub(F.lower(s), r"^https?://", ""), r"^www\.", "")), 8).otherwise(0)
-        + F.when((U.path_bits(s) != "") & low.contains(F.lower(U.path_bits(s))), 6).otherwise(0)
-        + F.when((U.host(s) != "") & low.contains(U.host(s)), 3).otherwise(0))
-    rest = pairs.join(own.select("atom").distinct(), "atom", "left_anti")
-    d = T.staged(rest, words=words)
-    d = T.staged(d, score=per_url + _contained(F.col("words"), low)).filter("score > 0").select("atom", "ref", "score")
-    best = d.groupBy("atom").agg(F.max("score").alias("score"))
-    return d.join(best, ["atom", "score"]).select("atom", "ref", "score").unionByName(own.withColumn("score", F.lit(None).cast("int")))
+    parted = "part" in atoms.columns and "part" in records.columns
+    needles = cut_lineage(_needles(atoms))
+    run = r"[a-zа-яё0-9]+"
+    plain = F.col("needle").rlike(f"^{run}$")
+    d = records.select(F.col("ref").alias("path"), F.lower("text").alias("low"))
+    runs = d.select("path", F.explode(F.array_distinct(T.find_all(F.col("low"), run))).alias("run"))
+    hits = words_containing(runs.select(F.col("run").alias("word")).distinct(), needles.filter(plain).select(F.col("needle").alias("part")).distinct())
+    posts = runs.join(hits.withColumnRenamed("word", "run"), "run").select("path", F.col("part").alias("word"))
+    others = containing(d, needles.filter(~plain).select("needle").distinct(), "path", "low")
+    posts = posts.unionByName(others.select("path", F.col("needle").alias("word"))).withColumn("points", F.lit(1))
+    words = needles.select("topic", F.lit(0).alias("n_terms"), F.col("needle").alias("word"), "weight")
+    if parted:
+        key = lambda part: F.concat_ws("\x1f", part.cast("string"), "word")
+        posts = posts.join(records.select(F.col("ref").alias("path"), "part").distinct(), "path").select("path", key(F.col("part")).alias("word"), "points")
+        words = words.join(atoms.select(F.col("atom").alias("topic"), "part").distinct(), "topic").select(
+            "topic", "n_terms", key(F.col("part")).alias("word"), "weight")
+    return BlockSearch(block_index(d, posts, block, repeated=True), words, keep, whole=False, ties=ties)
+
+
+def record_candidates(atoms: DataFrame, records: DataFrame, keep: int = 6, block: int = 1024) -> DataFrame:
+    """(atom, ref, score, rank): the ``keep`` records with the highest overlap with an atom, out of all records."""
+    d = _record_search(atoms, records, keep, False, block).best()
+    return d.select(F.col("topic").alias("atom"), F.col("path").alias("ref"), "score", "rank")
+
+
+def atom_sources(atoms: DataFrame, records: DataFrame, block: int = 1024) -> DataFrame:
+    """(atom, ref, score): an atom's own valid references, else all records tied at the best overlap.
+
+    ``atoms(atom, title, what, sources, refs[, part])``, ``records(ref, text[, part])``.
+    Every record can match; blocks of records whose highest possible score is
+    below what an atom has found already are not scored.
+    """
+    own = atoms.select("atom", F.explode("refs").alias("ref")).join(records.select("ref").distinct(), "ref").select("atom", "ref").distinct()
+    if "part" in atoms.columns and "part" in records.columns:
+        own = own.join(atoms.select("atom", "part"), "atom").join(records.select("ref", "part"), ["ref", "part"], "left_semi").select("atom", "ref")
+    rest = atoms.join(own.select("atom").distinct(), "atom", "left_anti")
+    best = _record_search(rest, records, 1, True, block).best()
+    return best.select(F.col("topic").alias("atom"), F.col("path").alias("ref"), "score").unionByName(
+        own.withColumn("score", F.lit(None).cast("long")))
 
 
 # -- fits and suggestions ---------------------------------------------------------------------

@@ -96,7 +96,7 @@ def block_index(docs: DataFrame, postings: DataFrame, block: int = BLOCK, repeat
 def _block_best(rows: pd.DataFrame, keep: int, whole: bool) -> pd.DataFrame:
     """The best notes of one block for one topic and all that tie with the last of them."""
     note, notes = pd.factorize(np.concatenate(rows.notes.tolist()))
-    points = np.concatenate(rows.points.tolist()).astype(np.int64)
+    points = np.concatenate([p * w for p, w in zip(rows.points, rows.weight)]).astype(np.int64)
     total = np.bincount(note, points).astype(np.int64)
     if whole:
         found, pair = np.bincount(note, points > 0), np.bincount(note, points == 0) > 0
@@ -107,41 +107,60 @@ def _block_best(rows: pd.DataFrame, keep: int, whole: bool) -> pd.DataFrame:
     return pd.DataFrame([{"topic": rows.topic.iloc[0], "block": rows.block.iloc[0], "notes": notes[best], "scores": total[best]}])
 
 
-def best_of_blocks(index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True) -> DataFrame:
-    """(topic, path, score, rank): the ``keep`` best notes of every topic; ``words(topic, n_terms, word)``.
+class BlockSearch:
+    """The best notes of every topic over a :func:`block_index`; ``words(topic, n_terms, word[, weight])``.
 
     No note of a block can score more than the sum of the highest points its
     topic's words have there.  A few blocks of the highest bounds are scored
     first; a block whose bound is below the score then found at place ``keep``
     is not opened.  Notes never meet topics one by one: what is shuffled is
     lists of a block, names are looked up in the row of their block, and out of
-    a block come at most ``keep`` notes.
+    a block come at most ``keep`` notes - or, with ``ties``, those and all that
+    equal the last of them.  ``whole``: a topic scores by all its words or by
+    two neighbouring ones, else by a single one; without it by whatever is found.
     """
-    lists, names = index
-    kind = words.schema["topic"].dataType.simpleString()
-    met = lists.join(words, "word").select("topic", "block", "top", "n_terms", "notes", "points")
-    bounds = met.groupBy("topic", "block").agg(F.sum("top").alias("bound"))
-    w = Window.partitionBy("topic").orderBy(F.desc("bound"), "block")
-    first = bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block")
-    conf = met.sparkSession.conf
-    tasks = max(met.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))
-
-    def scored(blocks: DataFrame) -> DataFrame:
-        opened = met.join(blocks, ["topic", "block"], "left_semi").repartition(tasks, "topic", "block")
+
+    def __init__(self, index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True, ties: bool = False):
+        lists, self.names = index
+        self.keep, self.whole, self.ties = keep, whole, ties
+        self.kinds = words.schema["topic"].dataType.simpleString()
+        words = words if "weight" in words.columns else words.withColumn("weight", F.lit(1))
+        self.met = lists.join(words, "word").select("topic", "block", "top", "n_terms", "weight", "notes", "points")
+        self.bounds = self.met.groupBy("topic", "block").agg(F.sum(F.col("top") * F.col("weight")).alias("bound"))
+        w = Window.partitionBy("topic").orderBy(F.desc("bound"), "block")
+        self.first = self.bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block")
+        self.seeds = cut_lineage(self._ranked(self._scored(self.first)).drop("rank"))
+
+    def _scored(self, blocks: DataFrame) -> DataFrame:
+        spark, keep, whole = blocks.sparkSession, self.keep, self.whole
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        opened = self.met.join(blocks, ["topic", "block"], "left_semi").repartition(tasks, "topic", "block")
         best = opened.groupBy("topic", "block").applyInPandas(
-            lambda rows: _block_best(rows, keep, whole), f"topic {kind}, block int, notes array<long>, scores array<long>")
-        row = F.zip_with("notes", "scores", lambda n, s: F.struct(
-            (-s).alias("neg"), F.get("names", (F.array_position("all_notes", n) - 1).cast("int")).alias("path")))
-        return best.join(names, "block").select("topic", F.inline(F.slice(F.array_sort(row), 1, keep))).select(
+            lambda rows: _block_best(rows, keep, whole), f"topic {self.kinds}, block int, notes array<long>, scores array<long>")
+        row = F.array_sort(F.zip_with("notes", "scores", lambda n, s: F.struct(
+            (-s).alias("neg"), F.get("names", (F.array_position("all_notes", n) - 1).cast("int")).alias("path"))))
+        return best.join(self.names, "block").select("topic", F.inline(row if self.ties else F.slice(row, 1, keep))).select(
             "topic", "path", (-F.col("neg")).alias("score"))
 
-    order = Window.partitionBy("topic").orderBy(F.desc("score"), "path")
-    seeds = cut_lineage(scored(first).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep))
-    least = seeds.filter(F.col("rank") == keep).select("topic", F.col("score").alias("least"))
-    rest = bounds.join(least, "topic", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0))).select("topic", "block").join(
-        first, ["topic", "block"], "left_anti")
-    both = seeds.drop("rank").unionByName(scored(rest))
-    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+    def _ranked(self, scored: DataFrame) -> DataFrame:
+        by = F.rank().over(Window.partitionBy("topic").orderBy(F.desc("score"))) if self.ties else F.row_number().over(
+            Window.partitionBy("topic").orderBy(F.desc("score"), "path"))
+        return scored.withColumn("rank", by).filter(F.col("rank") <= self.keep)
+
+    def rest(self) -> DataFrame:
+        """(topic, block): the blocks that may still hold one of the best."""
+        least = self.seeds.groupBy("topic").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= self.keep)
+        return self.bounds.join(least, "topic", "left").filter(F.col("bound") >= F.coalesce("least", F.lit(0))).select(
+            "topic", "block").join(self.first, ["topic", "block"], "left_anti")
+
+    def best(self) -> DataFrame:
+        """(topic, path, score, rank)."""
+        return self._ranked(self.seeds.unionByName(self._scored(self.rest())))
+
+
+def best_of_blocks(index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True, ties: bool = False) -> DataFrame:
+    """(topic, path, score, rank): the ``keep`` best notes of every topic, see :class:`BlockSearch`."""
+    return BlockSearch(index, words, keep, whole, ties).best()
 
 
 def best_notes(docs: DataFrame, topics: DataFrame, keep: int = 60, block: int = BLOCK) -> DataFrame:

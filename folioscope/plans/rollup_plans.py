@@ -30,35 +30,43 @@ def atom_fingerprints(spark, sf):
     return table(spark, sf, "documents").select("doc_id", R.atom_fingerprint(F.col("lang"), F.col("source"), srcs).alias("fingerprint"))
 
 
-_REF = "(b.item_id * 3, b.item_id * 5 + 1, b.item_id * 7 + 2, b.item_id + 200)"
 WORDS = "list_filter(string_split_regex(lower({}), '[^a-zа-яё0-9]+'), lambda w: length(w) >= 4)"
 _TITLE = "array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')"
 
 
-@plan("source_reattribution", f"""WITH n AS (SELECT item_id AS note, {odistinct(WORDS.format(_TITLE))} AS tw, list_slice({odistinct(WORDS.format('text'))}, 1, 160) AS bw FROM benchmark),
-  d AS (SELECT note, doc_id AS ref, 3 * len(list_filter(tw, lambda w: contains(low, w))) + len(list_filter(bw, lambda w: contains(low, w))) AS score FROM n JOIN (SELECT doc_id, lower(text) AS low FROM documents) x
-    ON doc_id IN (note * 3, note * 5 + 1, note * 7 + 2, note + 200)),
+ATOM = f"""rec AS (SELECT doc_id AS ref, lower(text) AS low FROM documents),
+  atom AS (SELECT item_id AS atom, {odistinct(WORDS.format(_TITLE + " || chr(10) || text || chr(10)"))} AS w FROM benchmark),
+  hit AS (SELECT atom, ref, len(list_filter(w, lambda x: contains(low, x))) AS score FROM atom, rec)"""
+
+
+def _atoms(spark, sf):
+    i = F.col("item_id")
+    own = F.when(i % 4 == 0, F.array(i * 20 + 1, F.lit(-5).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return table(spark, sf, "benchmark").select(i.alias("atom"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
+                                                F.col("text").alias("what"), F.array().cast("array<string>").alias("sources"), own.alias("refs"))
+
+
+def _records(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("ref"), "text")
+
+
+@plan("source_reattribution", f"""WITH {ATOM}, n AS (SELECT item_id AS note, {odistinct(WORDS.format(_TITLE))} AS tw, list_slice({odistinct(WORDS.format('text'))}, 1, 160) AS bw FROM benchmark),
+  cited AS (SELECT atom AS note, ref FROM hit WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY atom ORDER BY score DESC, ref) <= 6),
+  d AS (SELECT note, ref, 3 * len(list_filter(tw, lambda w: contains(low, w))) + len(list_filter(bw, lambda w: contains(low, w))) AS score FROM n JOIN cited USING (note) JOIN rec USING (ref)),
   b AS (SELECT *, max(score) OVER (PARTITION BY note) AS best, first_value(ref) OVER (PARTITION BY note ORDER BY score DESC, ref) AS top FROM d)
   SELECT note, ref, score, CASE WHEN best >= 8 THEN score >= 8 AND score >= greatest(8, floor(best * 0.35)) ELSE ref = top END AS kept FROM b""")
 def source_reattribution(spark, sf):
-    b = table(spark, sf, "benchmark")
-    i = F.col("item_id")
-    refs = b.select(i.alias("note"), F.explode(F.array_distinct(F.array(i * 3, i * 5 + 1, i * 7 + 2, i + 200))).alias("ref"))
-    n = b.select(i.alias("note"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.col("text").alias("body"), "text")
-    return R.reattribute(refs, n, table(spark, sf, "documents").select(F.col("doc_id").alias("ref"), "text"))
+    """Notes cite the documents their text has most in common with, out of all documents."""
+    refs = R.record_candidates(_atoms(spark, sf), _records(spark, sf)).select(F.col("atom").alias("note"), "ref")
+    n = _atoms(spark, sf).select(F.col("atom").alias("note"), "title", F.col("what").alias("body"), F.col("what").alias("text"))
+    return R.reattribute(refs, n, _records(spark, sf))
 
 
-@plan("atom_sources", f"""WITH r AS (SELECT doc_id // 20 AS part, doc_id AS ref, lower(text) AS low FROM documents),
-  a AS (SELECT item_id AS atom, item_id % 50 AS part, {odistinct(WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') || chr(10) || text || chr(10)"))} AS w FROM benchmark WHERE item_id % 4 > 0),
-  s AS (SELECT atom, ref, len(list_filter(w, lambda x: contains(low, x))) AS score FROM a JOIN r USING (part)), b AS (SELECT *, max(score) OVER (PARTITION BY atom) AS best FROM s WHERE score > 0)
-  SELECT atom, ref, score FROM b WHERE score = best UNION ALL SELECT item_id, (item_id % 50) * 20 + 1, NULL FROM benchmark WHERE item_id % 4 = 0 AND (item_id % 50) * 20 + 1 IN (SELECT doc_id FROM documents)""")
+@plan("atom_sources", f"""WITH {ATOM}, own AS (SELECT item_id AS atom, item_id * 20 + 1 AS ref FROM benchmark WHERE item_id % 4 = 0 AND item_id * 20 + 1 IN (SELECT doc_id FROM documents))
+  SELECT atom, ref, score FROM (SELECT *, max(score) OVER (PARTITION BY atom) AS best FROM hit WHERE score > 0 AND atom NOT IN (SELECT atom FROM own)) WHERE score = best
+  UNION ALL SELECT atom, ref, NULL FROM own""")
 def atom_sources(spark, sf):
-    i = F.col("item_id")
-    own = F.when(i % 4 == 0, F.array((i % 50) * 20 + 1, F.lit(-5).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    atoms = table(spark, sf, "benchmark").select(i.alias("atom"), (i % 50).alias("part"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"),
-                                                 F.col("text").alias("what"), F.array().cast("array<string>").alias("sources"), own.alias("refs"))
-    recs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).alias("part"), F.col("doc_id").alias("ref"), "text")
-    return R.atom_sources(atoms, recs)
+    return R.atom_sources(_atoms(spark, sf), _records(spark, sf))
 
 
 # -- curated lists -------------------------------------------------------------------
