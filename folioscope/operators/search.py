@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,40 +69,16 @@ BLOCK = 1024
 FIRST = 4
 
 
-def _block_of(path: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(blocks)).cast("int")
+def block_index(docs: DataFrame, postings: DataFrame, block: int = BLOCK, repeated: bool = False) -> DataFrame:
+    """(word, block, top, posts): the postings (path, points) of every word in each block of notes, and the most points there.
 
-
-def block_index(docs: DataFrame, postings: DataFrame, block: int = BLOCK, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The postings of every word in each block of notes, and the names of the notes of each block.
-
-    (word, block, top, notes, points) with the most points of the word in the
-    block, and (block, all_notes, names); ``postings(path, word, points)``.  A
-    note is a 64-bit number.  A list holds at most a block of notes, however
-    common its word is.  Written once, as a search reads them several times.
+    ``postings(path, word, points)``, which may be ``repeated``.  A list holds at most a block of notes,
+    however common its word is.  Written once, as a search reads it several times.
     """
-    blocks = max(1, -(-docs.count() // block))
-    lists = postings.groupBy("word", _block_of("path", blocks).alias("block")).agg(
-        F.max("points").alias("top"), (F.collect_set if repeated else F.collect_list)(
-            F.struct(F.xxhash64("path").alias("note"), "points")).alias("posts"))
-    index = lists.select("word", "block", "top", F.col("posts.note").alias("notes"), F.col("posts.points").alias("points"))
-    names = docs.select("path").distinct().groupBy(_block_of("path", blocks).alias("block")).agg(
-        F.collect_list(F.struct(F.xxhash64("path").alias("note"), "path")).alias("all"))
-    return cut_lineage(index), cut_lineage(names.select("block", F.col("all.note").alias("all_notes"), F.col("all.path").alias("names")))
-
-
-def _block_best(rows: pd.DataFrame, keep: int, whole: bool) -> pd.DataFrame:
-    """The best notes of one block for one topic and all that tie with the last of them."""
-    note, notes = pd.factorize(np.concatenate(rows.notes.tolist()))
-    points = np.concatenate([p * w for p, w in zip(rows.points, rows.weight)]).astype(np.int64)
-    total = np.bincount(note, points).astype(np.int64)
-    if whole:
-        found, pair = np.bincount(note, points > 0), np.bincount(note, points == 0) > 0
-        single = np.zeros(len(notes), np.int64)
-        np.maximum.at(single, note, points)
-        total = np.maximum(np.where((found == rows.n_terms.iloc[0]) | pair, total, 0), single)
-    best = np.flatnonzero(total >= np.partition(total, -keep)[-keep]) if len(total) > keep else np.arange(len(total))
-    return pd.DataFrame([{"topic": rows.topic.iloc[0], "block": rows.block.iloc[0], "notes": notes[best], "scores": total[best]}])
+    at = F.pmod(F.xxhash64("path"), F.lit(max(1, -(-docs.count() // block)))).cast("int")
+    lists = postings.groupBy("word", at.alias("block")).agg(
+        F.max("points").alias("top"), (F.collect_set if repeated else F.collect_list)(F.struct("path", "points")).alias("posts"))
+    return cut_lineage(lists)
 
 
 class BlockSearch:
@@ -113,39 +87,37 @@ class BlockSearch:
     No note of a block can score more than the sum of the highest points its
     topic's words have there.  A few blocks of the highest bounds are scored
     first; a block whose bound is below the score then found at place ``keep``
-    is not opened.  Notes never meet topics one by one: what is shuffled is
-    lists of a block, names are looked up in the row of their block, and out of
-    a block come at most ``keep`` notes - or, with ``ties``, those and all that
-    equal the last of them.  ``whole``: a topic scores by all its words or by
+    is not opened.  Notes never meet topics one by one in a shuffle: what moves
+    is lists of a block, a topic scores a block where its lists lie, and out of
+    it come at most ``keep`` notes - or, with ``ties``, those and all that equal
+    the last of them.  ``whole``: a topic scores by all its words or by
     two neighbouring ones, else by a single one; without it by whatever is found.
     """
 
-    def __init__(self, index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True, ties: bool = False):
-        lists, self.names = index
+    def __init__(self, index: DataFrame, words: DataFrame, keep: int, whole: bool = True, ties: bool = False):
         self.keep, self.whole, self.ties = keep, whole, ties
-        self.kinds = words.schema["topic"].dataType.simpleString()
         words = words if "weight" in words.columns else words.withColumn("weight", F.lit(1))
-        self.met = lists.join(words, "word").select("topic", "block", "top", "n_terms", "weight", "notes", "points")
+        self.met = index.join(words, "word").select("topic", "block", "top", "n_terms", "weight", "posts")
         self.bounds = self.met.groupBy("topic", "block").agg(F.sum(F.col("top") * F.col("weight")).alias("bound"))
         w = Window.partitionBy("topic").orderBy(F.desc("bound"), "block")
         self.first = self.bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block")
-        self.seeds = cut_lineage(self._ranked(self._scored(self.first)).drop("rank"))
+        self.seeds = cut_lineage(self._ranked(self._scored(self.first), "topic").drop("rank"))
 
     def _scored(self, blocks: DataFrame) -> DataFrame:
-        spark, keep, whole = blocks.sparkSession, self.keep, self.whole
+        spark = blocks.sparkSession
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         opened = self.met.join(blocks, ["topic", "block"], "left_semi").repartition(tasks, "topic", "block")
-        best = opened.groupBy("topic", "block").applyInPandas(
-            lambda rows: _block_best(rows, keep, whole), f"topic {self.kinds}, block int, notes array<long>, scores array<long>")
-        row = F.array_sort(F.zip_with("notes", "scores", lambda n, s: F.struct(
-            (-s).alias("neg"), F.get("names", (F.array_position("all_notes", n) - 1).cast("int")).alias("path"))))
-        return best.join(self.names, "block").select("topic", F.inline(row if self.ties else F.slice(row, 1, keep))).select(
-            "topic", "path", (-F.col("neg")).alias("score"))
-
-    def _ranked(self, scored: DataFrame) -> DataFrame:
-        by = F.rank().over(Window.partitionBy("topic").orderBy(F.desc("score"))) if self.ties else F.row_number().over(
-            Window.partitionBy("topic").orderBy(F.desc("score"), "path"))
-        return scored.withColumn("rank", by).filter(F.col("rank") <= self.keep)
+        # grouping and ranking go on inside the partitions of (topic, block)
+        notes = opened.select("topic", "block", "n_terms", "weight", F.inline("posts")).groupBy("topic", "block", "path").agg(
+            F.sum(F.col("points") * F.col("weight")).alias("total"), F.max("points").alias("single"),
+            F.count_if(F.col("points") > 0).alias("found"), F.max("n_terms").alias("n_terms"), F.max(F.col("points") == 0).alias("pair"))
+        whole = (F.col("found") == F.col("n_terms")) | F.col("pair")
+        score = F.greatest(F.when(whole, F.col("total")).otherwise(0), "single") if self.whole else F.col("total")
+        return self._ranked(notes.withColumn("score", score.cast("long")), "topic", "block").select("topic", "path", "score")
+
+    def _ranked(self, scored: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc("score"), *([] if self.ties else ["path"]))
+        return scored.withColumn("rank", (F.rank() if self.ties else F.row_number()).over(w)).filter(F.col("rank") <= self.keep)
 
     def rest(self) -> DataFrame:
         """(topic, block): the blocks that may still hold one of the best."""
@@ -155,10 +127,10 @@ class BlockSearch:
 
     def best(self) -> DataFrame:
         """(topic, path, score, rank)."""
-        return self._ranked(self.seeds.unionByName(self._scored(self.rest())))
+        return self._ranked(self.seeds.unionByName(self._scored(self.rest())), "topic")
 
 
-def best_of_blocks(index: tuple[DataFrame, DataFrame], words: DataFrame, keep: int, whole: bool = True, ties: bool = False) -> DataFrame:
+def best_of_blocks(index: DataFrame, words: DataFrame, keep: int, whole: bool = True, ties: bool = False) -> DataFrame:
     """(topic, path, score, rank): the ``keep`` best notes of every topic, see :class:`BlockSearch`."""
     return BlockSearch(index, words, keep, whole, ties).best()
 
