@@ -67,11 +67,28 @@ def floor_stream(spark, sf):
 @plan("red_check_stream", """WITH c AS (SELECT CAST(user_id AS STRING) AS "check", ts, event_type <> 'view' AS red FROM events), g AS (SELECT "check", max(ts) AS green FROM c WHERE NOT red GROUP BY ALL)
    SELECT c."check", epoch_us(min(ts)) AS first_red_us FROM c LEFT JOIN g ON g."check" = c."check" WHERE red AND (green IS NULL OR ts > green) GROUP BY c."check" """)
 def red_check_stream(spark, sf):
+    d = S.latest_per_key(spark, _red_checks(spark, sf), ["check"]).drop("kind").distinct()
+    return d.filter("first_red_at is not null").select("check", F.unix_micros("first_red_at").alias("first_red_us"))
+
+
+def _red_checks(spark, sf):
     e = _source(spark, sf, "events").select(F.col("user_id").cast("string").alias("check"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "view").alias("red"))
     room = _room(spark, "red")
-    S.run_available(S.red_since(e), S.batch_writer(f"{room}/out"), f"{room}/cp", "update")
-    d = S.latest_per_key(spark, f"{room}/out", ["check"])
-    return d.filter("first_red_at is not null").select("check", F.unix_micros("first_red_at").alias("first_red_us"))
+    S.run_available(S.red_since(e, LATE_DAYS, RED_DAYS), S.batch_writer(f"{room}/out"), f"{room}/cp", "update")
+    return f"{room}/out"
+
+
+#: Event time trails the newest report by so many days; a check may be red for so many.
+LATE_DAYS, RED_DAYS = 7, 1
+
+
+@plan("overdue_check_stream", f"""WITH c AS (SELECT CAST(user_id AS STRING) AS "check", ts, event_type <> 'view' AS red FROM events), g AS (SELECT "check", max(ts) AS green FROM c WHERE NOT red GROUP BY ALL),
+   f AS (SELECT c."check", min(ts) AS first FROM c LEFT JOIN g ON g."check" = c."check" WHERE red AND (green IS NULL OR ts > green) GROUP BY c."check")
+   SELECT "check", epoch_us(first) AS first_red_us FROM f WHERE epoch_ms(first) + {RED_DAYS} * 86400000 < (SELECT epoch_ms(max(ts)) - {LATE_DAYS} * 86400000 FROM c)""")
+def overdue_check_stream(spark, sf):
+    """What the timers raise: checks red for too long by event time, silent ones included."""
+    d = spark.read.parquet(_red_checks(spark, sf)).filter("kind = 'overdue'")
+    return d.select("check", F.unix_micros("first_red_at").alias("first_red_us")).distinct()
 
 
 @plan("life_cycle_stream", f"SELECT user_id AS item, arg_max({STEP}, ts) AS status, count(*) AS events FROM events GROUP BY user_id")

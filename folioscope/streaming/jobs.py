@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import path_exists
 from ..sources.files import FILE_SCHEMA
@@ -105,38 +105,97 @@ def floors(stream: DataFrame) -> DataFrame:
     return stream.groupBy("gate").agg(F.max("floor").alias("floor"))
 
 
-def red_since(stream: DataFrame, late_days: float = 7) -> DataFrame:
-    """(check, last_green, first_red_at) kept as state per check, in update mode.
+#: Lists and timers in keyed state live in Spark's RocksDB store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    ``stream(check string, ts timestamp, red boolean)``.  Neither the order
-    inside a trigger nor that of triggers matters: a check's state is its newest
-    green and the reds after it, so a green that arrives late uncovers the red
-    that follows it.  Reds older than ``late_days`` before the newest event fold
-    into their first, which bounds the state of a check that stays red; a green
-    later than that is taken as at the end of the folded stretch.
+
+class RedChecks(StatefulProcessor):
+    """State of one check: its newest green, its first red since, and a list of the reds after that green.
+
+    Reds are appended; the list is only read when a green arrives, or once a
+    lateness period to fold what is too old to be uncovered.  A timer stands at
+    the first red plus ``days``.
     """
-    late = int(late_days * 86_400_000_000)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        green, reds = (state.get[0], np.frombuffer(bytes(state.get[1]), np.int64)) if state.exists else (None, np.empty(0, np.int64))
-        for b in batches:
+    def __init__(self, late_days: float, days: float):
+        self.late, self.due_ms = int(late_days * 86_400_000_000), int(days * 86_400_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "green long, first long, folded long")
+        self.reds = handle.getListState("reds", "ts long")
+
+    def _row(self, check: str, kind: str, green: int | None, first: int | None) -> pd.DataFrame:
+        at = lambda us: pd.NaT if us is None else pd.Timestamp(us, unit="us")
+        return pd.DataFrame({"check": [check], "kind": [kind], "last_green": [at(green)], "first_red_at": [at(first)]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        green, first, folded = self.known.get() if self.known.exists() else (None, None, None)
+        new, greens = [], []
+        for b in rows:
             ts, red = b.ts.to_numpy().astype("datetime64[us]").astype(np.int64), b.red.to_numpy(dtype=bool)
-            if (~red).any():
-                green = int(max(ts[~red].max(), ts.min() if green is None else green))
-            reds = np.union1d(reds, ts[red])
-        reds = reds if green is None else reds[reds > green]
-        if len(reds):
-            reds = np.union1d(reds[:1], reds[reds >= reds[-1] - late])
-        state.update((green, reds.tobytes()))
-        yield pd.DataFrame({"check": [key[0]], "last_green": [pd.NaT if green is None else pd.Timestamp(green, unit="us")],
-                            "first_red_at": [pd.Timestamp(reds[0], unit="us") if len(reds) else pd.NaT]})
-    out = "check string, last_green timestamp, first_red_at timestamp"
-    return stream.groupBy("check").applyInPandasWithState(step, out, "green long, reds binary", "update", GroupStateTimeout.NoTimeout)
+            new += ts[red].tolist()
+            greens += ts[~red].tolist()
+        before = first
+        newest = max(greens, default=None)
+        advanced = newest is not None and (green is None or newest > green)
+        green = newest if advanced else green
+        new = [t for t in new if green is None or t > green]
+        folded = min(new, default=None) if folded is None else folded
+        late = max(new, default=None)
+        if advanced or late is not None and late - folded > self.late:
+            reds = np.unique(np.array([r[0] for r in self.reds.get()] + new, np.int64))
+            reds = reds if green is None else reds[reds > green]
+            if len(reds):
+                reds = np.union1d(reds[:1], reds[reds >= reds[-1] - self.late])
+            self.reds.put([(int(t),) for t in reds]) if len(reds) else self.reds.clear()
+            first, folded = (int(reds[0]), int(reds[-1])) if len(reds) else (None, None)
+        elif new:
+            self.reds.appendList([(t,) for t in new])
+            first = min(new) if first is None else min(first, *new)
+        self.known.update((green, first, folded))
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000 + self.due_ms)
+            if first is not None:
+                self.handle.registerTimer(first // 1000 + self.due_ms)
+        yield self._row(key[0], "state", green, first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        green, first, _ = self.known.get() if self.known.exists() else (None, None, None)
+        if first is not None and first // 1000 + self.due_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            yield self._row(key[0], "overdue", green, first)
+
+    def close(self) -> None:
+        pass
+
+
+def red_since(stream: DataFrame, late_days: float = 7, days: float = 1) -> DataFrame:
+    """(check, kind, last_green, first_red_at) in update mode.
+
+    ``stream(check string, ts timestamp, red boolean)``.  Rows of kind "state"
+    follow each trigger in which a check reports; neither the order inside a
+    trigger nor that of triggers matters: a check's state is its newest green and
+    the reds after it, so a green that arrives late uncovers the red that follows
+    it.  Reds older than ``late_days`` before the newest one fold into their
+    first, which bounds the list of a check that stays red; a green later than
+    that is taken as at the end of the folded stretch.
+
+    A row of kind "overdue" comes from a timer once event time has passed the
+    first red by ``days`` and no green has come: a check that falls silent while
+    red is raised by the reports of others.  A stream without a watermark gets
+    one of ``late_days``.
+    """
+    stream.sparkSession.conf.set(*STATE_STORE)
+    timed = stream if stream._jdf.logicalPlan().toString().startswith("EventTimeWatermark") else stream.withWatermark("ts", f"{int(late_days * 86_400)} seconds")
+    return timed.groupBy("check").transformWithStateInPandas(
+        RedChecks(late_days, days), "check string, kind string, last_green timestamp, first_red_at timestamp", "Update", "EventTime")
 
 
 def overdue(states: DataFrame, now: str, days: float = 1) -> DataFrame:
-    """Checks that have been red for more than ``days``, silent ones included:
-    a check keeps its last state until it reports again."""
+    """Checks that have been red for more than ``days`` at a given time, from their last states;
+    the stream raises them by itself (:func:`red_since`)."""
     since = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("first_red_at")
     return states.filter(since > int(days * 86_400_000_000)).select("check", "first_red_at")
 

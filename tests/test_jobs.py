@@ -277,7 +277,18 @@ def red_stream(spark, tmp_path, batches):
         df.coalesce(1).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(df.schema).parquet(folder)
         jobs.run_available(jobs.red_since(stream), jobs.batch_writer(f"{room}/out"), f"{room}/cp", "update")
-    return jobs.latest_per_key(spark, f"{room}/out", ["check"])
+    return jobs.latest_per_key(spark, f"{room}/out", ["check"]).drop("kind").distinct()
+
+
+def test_silence_raises_the_failure(spark, tmp_path):
+    """A check that falls silent while red is raised once others report later; a green in time is not."""
+    day = 1440
+    batches = [[("silent", 0, True), ("cured", 0, True), ("other", 0, False)], [("cured", 100, False), ("other", 5 * day, False)],
+               [("other", 9 * day, False)], [("other", 20 * day, True)], [("other", 21 * day, False), ("late", 20 * day, True)]]
+    red_stream(spark, tmp_path, [[(c, 10 * day + m, red) for c, m, red in b] for b in batches])
+    out = spark.read.parquet(f"{tmp_path}/room/out")
+    assert [tuple(r) for r in out.filter("kind = 'overdue'").select("check", F.unix_seconds("first_red_at")).collect()] == [("silent", 10 * day * 60)]
+    assert out.filter("kind = 'state' and check = 'silent'").count() == 1
 
 
 def test_red_since_keeps_every_red_after_the_green(spark, tmp_path):
