@@ -68,9 +68,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rates = stored(mix(docs.filter("doc_id is not null")).groupBy(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.round(F.avg("copies")).alias("copies")), "copies")
     copies = F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("copies", F.lit(0)))
+    # the rows travel as one value, so no column of theirs can meet a name used here
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source")
     on = (F.col("doc_id") == F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return docs.join(rates, on, "left").withColumn(
-        "_times", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+    taken = held.join(rates, on, "left").select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("_times"))
+    return taken.select("_row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

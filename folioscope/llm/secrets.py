@@ -230,7 +230,9 @@ def redact(docs: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, is the new length.  All columns stay.
     """
     _, found = findings(docs)
-    seen = keyed(docs).join(found.withColumnRenamed("spans", "_spans"), ["_k1", "_k2"], "left")
+    # the rows travel as one value, so no column of theirs can meet a name used here
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    seen = keyed(held).join(found.withColumnRenamed("spans", "_spans"), ["_k1", "_k2"], "left")
     names = F.array(*[F.lit(f"[{r.kind}]") for r in RULES])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -243,8 +245,6 @@ def redact(docs: DataFrame) -> DataFrame:
     masked = F.aggregate("_spans", start, step, lambda acc: F.concat(
         acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.char_length("_text"))))
     text = F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))
-    out = seen.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    new = {"text": text, "n_chars": F.when(F.col("_spans").isNotNull(), F.char_length(text)).otherwise(F.col("_row.n_chars")).cast(
+        docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return seen.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])

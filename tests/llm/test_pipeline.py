@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 import __spark_entry__ as entry
 from folioscope.llm.queries import QUERIES
@@ -49,3 +51,17 @@ def test_one_row_of_each_group_stays(spark, tmp_path):
     assert single.columns == docs.columns
     want = [(3, a), (7, b), (-2, c), (None, d), (None, None), (None, None), (8, "")]
     assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in single.collect()))) == sorted(map(repr, want))
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns named like helpers of the stages come through as they were, and never show a secret."""
+    names = ("_spans", "_text", "_k1", "_k2", "_row", "copies", "_id", "_source", "_times", "x")
+    rows = [(i, f"token = secret{i}word and more words {i}", "en", "ab"[i % 2], 5) for i in range(12)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    wide = docs.select("*", *[F.lit(f"kept {n}").alias(n) for n in names])
+    for stage in (pipeline.secrets, pipeline.mixture):
+        plain, got = stage(spark, docs, ""), stage(spark, wide, "")
+        assert got.columns == wide.columns
+        assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, plain.collect()))
+        assert all(r[n] == f"kept {n}" for r in got.collect() for n in names)
+    assert not any("secret3word" in str(r) for r in pipeline.secrets(spark, wide, "").collect())
