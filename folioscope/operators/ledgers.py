@@ -87,15 +87,20 @@ def progress(jobs: DataFrame, now: str) -> DataFrame:
 
 
 def chunk_ledger(chunks: DataFrame) -> DataFrame:
-    """Status per run and chunk state; everything after the first quota stop of
-    a run was not attempted.  ``chunks(run_id, ord, status, files)``.
+    """Status per run and chunk state.  ``chunks(run_id, ord, parent, status, files, prior)``.
+
+    After the first quota stop of a run nothing was attempted: the other chunks
+    of the item that was stopped are "not_attempted", later items keep the
+    ``prior`` status an earlier run left them, if there is one.
 
     The stop is one minimum per run joined back, not a running window, so a run
     of any length stays spread out.
     """
-    stop = chunks.filter("status = 'insufficient_quota'").groupBy("run_id").agg(F.min("ord").alias("stop"))
+    stop = chunks.filter("status = 'insufficient_quota'").groupBy("run_id").agg(F.min(F.struct("ord", "parent")).alias("stop"))
     d = chunks.join(stop, "run_id", "left")
-    real = F.when(F.col("ord") > F.col("stop"), "not_attempted").otherwise(F.col("status"))
+    same = F.col("parent").eqNullSafe(F.col("stop.parent"))
+    left = F.when(same | F.col("prior").isNull(), "not_attempted").otherwise(F.col("prior"))
+    real = F.when(F.col("ord") > F.col("stop.ord"), left).otherwise(F.col("status"))
     return d.groupBy("run_id", real.alias("status")).agg(F.count("*").alias("chunks"), F.sum("files").alias("files"))
 
 

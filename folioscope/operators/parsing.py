@@ -429,6 +429,15 @@ def lint_service_path(path: Column) -> Column:
             | base.startswith("Без названия"))
 
 
+def embedded_path(path: Column, derived: str = rules.GRAPH_FOLDER) -> Column:
+    """Paths the vector index takes: nothing under the derived graph folder or the folders of tools, and no segment
+    that starts with an underscore, as a copy in a service folder is no finding."""
+    tools = F.lit(False)
+    for folder in (derived, ".git", ".obsidian"):
+        tools = tools | path.contains(f"/{folder}/")
+    return ~tools & ~path.rlike(r"(^|/)_")
+
+
 def changed_since(df: DataFrame, since: str | None, column: str = "mtime") -> DataFrame:
     """Keep rows at or after a timestamp; a value that is no time keeps all."""
     if since is None:

@@ -271,12 +271,17 @@ def batch_progress(spark, sf):
     return G.progress(j, "2024-02-01 00:00:00")
 
 
-@plan("chunk_ledger", """WITH c AS (SELECT user_id AS run_id, event_id AS ord, CASE WHEN event_id % 97 = 0 THEN 'insufficient_quota' WHEN event_id % 6 = 0 THEN 'invalid' ELSE 'accepted' END AS status, event_id % 4 AS files FROM events),
-   q AS (SELECT run_id, min(ord) AS stop FROM c WHERE status = 'insufficient_quota' GROUP BY run_id)
-   SELECT run_id, CASE WHEN ord > stop THEN 'not_attempted' ELSE status END AS status, count(*) AS chunks, CAST(sum(files) AS BIGINT) AS files FROM c LEFT JOIN q USING (run_id) GROUP BY ALL""")
+@plan("chunk_ledger", """WITH c AS (SELECT user_id AS run_id, event_id AS ord, event_id // 200 AS parent, CASE WHEN event_id % 97 = 0 THEN 'insufficient_quota' WHEN event_id % 6 = 0 THEN 'invalid' ELSE 'accepted' END AS status,
+     event_id % 4 AS files, CASE event_type WHEN 'error' THEN 'invalid' WHEN 'signup' THEN 'timeout' END AS prior FROM events),
+   q AS (SELECT run_id, min(ord) AS stop, arg_min(parent, ord) AS stopped FROM c WHERE status = 'insufficient_quota' GROUP BY run_id)
+   SELECT run_id, CASE WHEN ord > stop THEN CASE WHEN parent = stopped THEN 'not_attempted' ELSE coalesce(prior, 'not_attempted') END ELSE status END AS status,
+     count(*) AS chunks, CAST(sum(files) AS BIGINT) AS files FROM c LEFT JOIN q USING (run_id) GROUP BY ALL""")
 def chunk_ledger(spark, sf):
     i = F.col("event_id")
-    c = table(spark, sf, "events").select(F.col("user_id").alias("run_id"), i.alias("ord"), F.when(i % 97 == 0, "insufficient_quota").when(i % 6 == 0, "invalid").otherwise("accepted").alias("status"), (i % 4).alias("files"))
+    c = table(spark, sf, "events").select(
+        F.col("user_id").alias("run_id"), i.alias("ord"), F.floor(i / 200).alias("parent"),
+        F.when(i % 97 == 0, "insufficient_quota").when(i % 6 == 0, "invalid").otherwise("accepted").alias("status"), (i % 4).alias("files"),
+        F.when(F.col("event_type") == "error", "invalid").when(F.col("event_type") == "signup", "timeout").alias("prior"))
     return G.chunk_ledger(c)
 
 

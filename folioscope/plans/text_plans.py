@@ -426,10 +426,11 @@ def project_names(spark, sf):
 
 
 # -- predicates --------------------------------------------------------------------
-@plan("service_paths", with_notes("""SELECT section, false AS gate_service, section LIKE '\\_%' ESCAPE '\\' AS lint_service, count(*) AS n FROM notes GROUP BY ALL"""))
+@plan("service_paths", with_notes("""SELECT section, false AS gate_service, section LIKE '\\_%' ESCAPE '\\' AS lint_service, section NOT LIKE '\\_%' ESCAPE '\\' AS embedded, count(*) AS n FROM notes GROUP BY ALL"""))
 def service_paths(spark, sf):
     return (notes(spark, sf).groupBy("section", P.service_path(F.col("path")).alias("gate_service"),
-                                     P.lint_service_path(F.col("path")).alias("lint_service")).agg(F.count("*").alias("n")))
+                                     P.lint_service_path(F.col("path")).alias("lint_service"),
+                                     P.embedded_path(F.col("path")).alias("embedded")).agg(F.count("*").alias("n")))
 
 
 @plan("changed_since", "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY event_type")

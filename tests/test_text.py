@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import rules
 from folioscope.functions import frontmatter as fm
 from folioscope.functions import text as T
 from folioscope.functions import urls as U
 from folioscope.operators import gates as G
+from folioscope.operators import ledgers
 from folioscope.operators import parsing as P
 from folioscope.operators import readability as R
 
@@ -144,3 +146,18 @@ def test_anchors_are_in_every_match(spark):
     for n, p in rules.HARD_BANS:
         bad = d.filter(F.lower("t").rlike("(?U)" + p) & ~T.has_any(F.lower("t"), rules.BAN_ANCHORS[n]))
         assert bad.isEmpty(), n
+
+
+def test_paths_the_vector_index_takes(spark):
+    paths = {"a/b.md": True, "a/_b.md": False, "_a/b.md": False, "a/.git/b.md": False, "x/.obsidian/b.md": False, "a b_c/d_e.md": True,
+             f"v/{rules.GRAPH_FOLDER}/b.md": False, f"{rules.GRAPH_FOLDER}.md": True, ".git.md": True}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.ok for r in df.select("path", P.embedded_path(F.col("path")).alias("ok")).collect()} == paths
+
+
+def test_chunks_after_a_stop_keep_their_earlier_status(spark):
+    rows = [(1, 0, "a", "accepted", 2, None), (1, 1, "b", "insufficient_quota", 3, None), (1, 2, "b", "accepted", 4, "invalid"),
+            (1, 3, "c", "accepted", 5, "invalid"), (1, 4, "d", "accepted", 6, None), (2, 0, "a", "accepted", 1, "invalid")]
+    got = ledgers.chunk_ledger(spark.createDataFrame(rows, "run_id int, ord int, parent string, status string, files int, prior string"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, "accepted", 1, 2), (1, "insufficient_quota", 1, 3), (1, "invalid", 1, 5), (1, "not_attempted", 2, 10), (2, "accepted", 1, 1)]
