@@ -339,9 +339,33 @@ FINAL_RULES = [
 ]
 
 
-def final_audit(notes: DataFrame, link_scope: str = "all", critical: Column | None = None) -> DataFrame:
+#: Folders of tools, which the audit does not enter.
+TOOL_FOLDERS = [".git", ".obsidian"]
+
+
+def nested_runtime(files: DataFrame, derived: str = rules.GRAPH_FOLDER) -> DataFrame:
+    """Folders of the derived graph below the top level, once each; ``files(path)`` lists files of any kind.
+
+    The outermost such folder of a path counts; what lies in one at the top or
+    in a folder of a tool does not.
+    """
+    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    d = files.select(folders.alias("f")).withColumn("i", F.array_position(F.transform("f", lambda s: s.startswith(derived)), True))
+    up = F.slice("f", 1, F.col("i").cast("int"))
+    d = d.filter((F.col("i") > 1) & ~F.arrays_overlap(up, F.array(*[F.lit(t) for t in TOOL_FOLDERS])))
+    return d.select(F.array_join(up, "/").alias("path")).distinct().select(
+        "path", F.lit("nested-runtime").alias("rule"), F.lit("").alias("detail"))
+
+
+def final_audit(notes: DataFrame, link_scope: str = "all", critical: Column | None = None, files: DataFrame | None = None) -> DataFrame:
     """Raw names, draft marks, tracking and sandbox references, private path in
-    a file name, and broken links in the chosen scope (none, critical, all)."""
+    a file name, broken links in the chosen scope (none, critical, all) and, given
+    all ``files(path)``, folders of the derived graph among the notes."""
+    out = _note_audit(notes, link_scope, critical)
+    return out if files is None else out.unionByName(nested_runtime(files))
+
+
+def _note_audit(notes: DataFrame, link_scope: str, critical: Column | None) -> DataFrame:
     hay = F.concat_ws("\n", "base", "text")
     d = T.staged(notes, hay=hay)
     tests = [_fail("private-path-filename", F.col("base").rlike(r"Users [^/ ]+|/Users/[^/]+|личный vault 0\d"), F.col("base"))]

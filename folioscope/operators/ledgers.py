@@ -25,6 +25,28 @@ def run_summary(obs: DataFrame, by: str = "run_id") -> DataFrame:
     return d.withColumn("ok", (F.col("failed") == 0) & (F.col("deep_missing") == 0) & ~nothing)
 
 
+def run_verdicts(obs: DataFrame, synthesis: DataFrame, enrich_required: bool = True, by: str = "run_id") -> DataFrame:
+    """(run_id, failure): why a run does not count, a row per reason.
+
+    ``obs`` as in :func:`run_summary`, ``synthesis(run_id, skipped, degraded,
+    atomized, written, enriched)`` with at most one row per run.  A run that
+    processed nothing fails if its inbox was not empty and nothing was cached,
+    and is judged no further; nor is one without a unit that needed a deep pass.
+    Otherwise the synthesis must have run, not have fallen back to a template,
+    and have made atoms and, where required, enriched clusters.
+    """
+    d = run_summary(obs, by).join(obs.groupBy(by).agg(F.count_if(F.col("tier") >= 1).alias("deep")), by)
+    d = d.join(synthesis.withColumn("present", F.lit(True)), by, "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) <= 0
+    ran = F.col("processed") > 0
+    judged = ran & (F.col("deep") > 0)
+    missing = F.col("present").isNull() | (F.coalesce("skipped", F.lit(False)) & none("atomized") & none("written"))
+    tests = [(F.col("deep_missing") > 0, "deep-missing"), (~ran & (F.col("files") > 0) & (F.col("cached") <= 0), "nothing-processed"),
+             (judged & missing, "synthesis-missing"), (judged & F.coalesce("degraded", F.lit(False)), "synthesis-degraded"),
+             (judged & none("atomized"), "no-atoms"), (judged & F.lit(enrich_required) & none("enriched"), "nothing-enriched")]
+    return d.select(by, F.explode(F.array_compact(F.array(*[F.when(t, n) for t, n in tests]))).alias("failure"))
+
+
 def cost_rollup(usage: DataFrame, rates: Sequence[tuple[str, float, float, float, float]], default: str, since: str,
                 ceiling_usd: float) -> DataFrame:
     """(provider, tokens, usd, over): four counters times the model's rate per

@@ -178,9 +178,13 @@ def canon_audit(spark, sf):
 
 @plan("final_audit", with_notes(f""", {LINKS}, wkeys AS (SELECT DISTINCT key FROM (SELECT unnest([regexp_replace(path, '\\.md$', ''), regexp_replace(base, '\\.md$', ''), substr(base, 14, length(base) - 16), section]) AS key FROM notes))
   SELECT path, x AS rule, CASE x WHEN 'raw-media-name' THEN 'IMG_1234.PNG' WHEN 'draft-marker' THEN 'intake-draft' ELSE 'raw ocr' END AS detail FROM notes, (SELECT unnest(['raw-media-name', 'draft-marker', 'raw-ocr']) AS x) WHERE k % 7 = 5
-  UNION ALL SELECT path, 'broken-wiki-link', target FROM links WHERE target <> '...' AND target NOT IN (SELECT key FROM wkeys) AND regexp_replace(target, '^\\d{{4}}-\\d{{2}}-\\d{{2}} - ', '') NOT IN (SELECT key FROM wkeys)"""))
+  UNION ALL SELECT path, 'broken-wiki-link', target FROM links WHERE target <> '...' AND target NOT IN (SELECT key FROM wkeys) AND regexp_replace(target, '^\\d{{4}}-\\d{{2}}-\\d{{2}} - ', '') NOT IN (SELECT key FROM wkeys)
+  UNION ALL SELECT DISTINCT section || '/graph-out-old', 'nested-runtime', '' FROM notes WHERE k % 50 = 0"""))
 def final_audit(spark, sf):
-    return G.final_audit(notes(spark, sf))
+    n = notes(spark, sf)
+    k = F.regexp_extract("path", r"note (\d+)\.md$", 1).cast("int")
+    files = n.select(F.when(k % 50 == 0, F.concat("section", F.lit("/graph-out-old/deep/graph-out/"), "base")).otherwise(F.col("path")).alias("path"))
+    return G.final_audit(n, files=files.unionByName(n.select(F.concat(F.lit("graph-out/"), "path").alias("path"))))
 
 
 NOW = "2024-09-01 00:00:00"

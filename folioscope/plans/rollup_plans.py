@@ -225,6 +225,25 @@ def run_summary(spark, sf):
     return G.run_summary(_obs(spark, sf))
 
 
+SYNTHESIS = """SELECT user_id AS run_id, count(*) % 5 = 0 AS skipped, count(*) FILTER (event_type = 'error') % 4 = 3 AS degraded,
+   greatest(count(*) FILTER (event_type = 'click') - 2, 0) AS atomized, count(*) FILTER (event_type = 'purchase') % 2 AS written, count(*) FILTER (event_type = 'signup') % 3 AS enriched
+   FROM events WHERE user_id % 6 > 0 GROUP BY user_id"""
+
+
+@plan("run_verdicts", f"""WITH r AS ({RUNS}), s AS ({SYNTHESIS}), p AS (SELECT user_id AS run_id, count(*) FILTER (event_id % 4 >= 1) AS deep FROM events GROUP BY user_id),
+   j AS (SELECT r.*, deep, s.run_id IS NULL AS gone, coalesce(skipped, false) AS skipped, coalesce(degraded, false) AS degraded, coalesce(atomized, 0) AS atomized,
+     coalesce(written, 0) AS written, coalesce(enriched, 0) AS enriched FROM r JOIN p USING (run_id) LEFT JOIN s USING (run_id)), d AS (SELECT * FROM j WHERE processed > 0 AND deep > 0)
+   SELECT run_id, 'deep-missing' AS failure FROM j WHERE deep_missing > 0 UNION ALL SELECT run_id, 'nothing-processed' FROM j WHERE processed = 0 AND files > 0 AND cached = 0
+   UNION ALL SELECT run_id, 'synthesis-missing' FROM d WHERE gone OR skipped AND atomized = 0 AND written = 0 UNION ALL SELECT run_id, 'synthesis-degraded' FROM d WHERE degraded
+   UNION ALL SELECT run_id, 'no-atoms' FROM d WHERE atomized = 0 UNION ALL SELECT run_id, 'nothing-enriched' FROM d WHERE enriched = 0""")
+def run_verdicts(spark, sf):
+    of = lambda kind: F.count_if(F.col("event_type") == kind)
+    s = table(spark, sf, "events").filter("user_id % 6 > 0").groupBy(F.col("user_id").alias("run_id")).agg(
+        (F.count("*") % 5 == 0).alias("skipped"), (of("error") % 4 == 3).alias("degraded"), F.greatest(of("click") - 2, F.lit(0)).alias("atomized"),
+        (of("purchase") % 2).alias("written"), (of("signup") % 3).alias("enriched"))
+    return G.run_verdicts(_obs(spark, sf), s)
+
+
 RATES = [("click", 15.0, 75.0, 18.75, 1.5), ("view", 3.0, 15.0, 3.75, 0.3), ("purchase", 0.8, 4.0, 1.0, 0.08)]
 
 

@@ -161,3 +161,23 @@ def test_chunks_after_a_stop_keep_their_earlier_status(spark):
     got = ledgers.chunk_ledger(spark.createDataFrame(rows, "run_id int, ord int, parent string, status string, files int, prior string"))
     assert sorted(tuple(r) for r in got.collect()) == [
         (1, "accepted", 1, 2), (1, "insufficient_quota", 1, 3), (1, "invalid", 1, 5), (1, "not_attempted", 2, 10), (2, "accepted", 1, 1)]
+
+
+def test_why_a_run_does_not_count(spark):
+    obs = [("good", 1, True, "processed"), ("none", 1, True, "processed"), ("local", 1, True, "processed"), ("zero", 2, True, "processed"),
+           ("flat", 0, False, "processed"), ("stuck", 1, True, "failed"), ("cached", 1, True, "cached"), ("shallow", 1, False, "processed"),
+           ("skipped", 1, True, "processed")]
+    synthesis = [("good", False, False, 3, 3, 1), ("local", False, True, 3, 3, 1), ("zero", False, False, 0, 0, 0), ("shallow", False, False, 1, 1, 1),
+                 ("skipped", True, False, 0, 2, 1)]
+    got = ledgers.run_verdicts(spark.createDataFrame(obs, "run_id string, tier int, deep boolean, status string"), spark.createDataFrame(
+        synthesis, "run_id string, skipped boolean, degraded boolean, atomized int, written int, enriched int"))
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("local", "synthesis-degraded"), ("none", "no-atoms"), ("none", "nothing-enriched"), ("none", "synthesis-missing"),
+        ("shallow", "deep-missing"), ("skipped", "no-atoms"), ("stuck", "nothing-processed"), ("zero", "no-atoms"), ("zero", "nothing-enriched")]
+
+
+def test_derived_folders_among_notes(spark):
+    files = ["graph-out/x.json", "graph-out/a/graph-out/y", "a/graph-out/x.json", "a/graph-out/b/graph-out/c.md", "a/b/graph-out-old/c.md", "a/.git/graph-out/c",
+             "a/graph-out.md", "a/b.md"]
+    got = G.nested_runtime(spark.createDataFrame([(f,) for f in files], "path string"))
+    assert sorted(r.path for r in got.collect()) == ["a/b/graph-out-old", "a/graph-out"]
