@@ -50,10 +50,12 @@ def run_verdicts(obs: DataFrame, synthesis: DataFrame, enrich_required: bool = T
 def cost_rollup(usage: DataFrame, rates: Sequence[tuple[str, float, float, float, float]], default: str, since: str,
                 ceiling_usd: float) -> DataFrame:
     """(provider, tokens, usd, over): four counters times the model's rate per
-    million; an unknown model costs the default rate.
+    million; an unknown model costs the default rate, an answer that no model
+    gave ("<synthetic>") nothing.
 
     ``usage(provider, model, ts, input, output, cache_write, cache_read)``.
     """
+    usage = usage.filter(~F.col("model").eqNullSafe(F.lit("<synthetic>")))
     table = {name: r for name, *r in rates}
     low = F.lower("model")
 
@@ -69,6 +71,21 @@ def cost_rollup(usage: DataFrame, rates: Sequence[tuple[str, float, float, float
     return d.withColumn("over", F.col("usd") > ceiling_usd)
 
 
+def flat_cost_rollup(samples: DataFrame, usd_per_million: float, since: str, ceiling_usd: float) -> DataFrame:
+    """(provider, tokens, usd, over) of providers that bill all tokens alike and report a running total.
+
+    ``samples(provider, session, started, ts, total)``: a session begun since the
+    given time counts with the last total it reported; a session that reported
+    none counts nothing, but its provider is listed.  The last total is one
+    aggregate per session, so a session of any length stays spread out.
+    """
+    begun = samples.filter(F.col("started") >= F.lit(since).cast("timestamp"))
+    last = begun.groupBy("provider", "session").agg(F.max_by("total", F.when(F.col("total").isNotNull(), F.struct("ts", "total"))).alias("total"))
+    d = last.groupBy("provider").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"))
+    d = d.withColumn("usd", F.col("tokens") * usd_per_million / 1e6)
+    return d.withColumn("over", F.col("usd") > ceiling_usd)
+
+
 def session_tokens(samples: DataFrame) -> DataFrame:
     """First, last and delta of token samples per run; ``samples(run_id, ts, tokens)``."""
     return samples.filter("tokens is not null").groupBy("run_id").agg(

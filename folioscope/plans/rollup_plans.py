@@ -258,6 +258,19 @@ def cost_rollup(spark, sf):
     return G.cost_rollup(u, RATES, "click", "2024-01-10 00:00:00", 0.2).withColumn("usd", F.round("usd", 4))
 
 
+@plan("flat_cost_rollup", """WITH e AS (SELECT 'p' || user_id % 4 AS provider, user_id, ts, CASE WHEN event_id % 5 > 0 THEN event_id * 100 + CAST(floor(value) AS BIGINT) END AS total FROM events),
+   b AS (SELECT user_id FROM e GROUP BY user_id HAVING min(ts) >= TIMESTAMP '2024-01-01 06:00:00'),
+   s AS (SELECT provider, user_id, arg_max(total, ts) FILTER (total IS NOT NULL) AS total FROM e SEMI JOIN b USING (user_id) GROUP BY ALL)
+   SELECT provider, CAST(coalesce(sum(total), 0) AS BIGINT) AS tokens, round(coalesce(sum(total), 0) * 2.5 / 1e6, 4) AS usd, coalesce(sum(total), 0) * 2.5 / 1e6 > 10 AS over FROM s GROUP BY provider""")
+def flat_cost_rollup(spark, sf):
+    e = table(spark, sf, "events")
+    begun = e.groupBy("user_id").agg(F.min("ts").alias("started"))
+    samples = e.join(begun, "user_id").select(
+        F.concat(F.lit("p"), (F.col("user_id") % 4).cast("string")).alias("provider"), F.col("user_id").alias("session"), "started", "ts",
+        F.when(F.col("event_id") % 5 > 0, F.col("event_id") * 100 + F.floor("value")).alias("total"))
+    return G.flat_cost_rollup(samples, 2.5, "2024-01-01 06:00:00", 10).withColumn("usd", F.round("usd", 4))
+
+
 @plan("session_tokens", "SELECT user_id AS run_id, arg_min(t, ts) AS first, arg_max(t, ts) AS last, arg_max(t, ts) - arg_min(t, ts) AS delta FROM (SELECT *, CASE WHEN event_id % 5 > 0 THEN CAST(floor(value * 100) AS BIGINT) END AS t FROM events) WHERE t IS NOT NULL GROUP BY user_id")
 def session_tokens(spark, sf):
     e = table(spark, sf, "events")

@@ -181,3 +181,11 @@ def test_derived_folders_among_notes(spark):
              "a/graph-out.md", "a/b.md"]
     got = G.nested_runtime(spark.createDataFrame([(f,) for f in files], "path string"))
     assert sorted(r.path for r in got.collect()) == ["a/b/graph-out-old", "a/graph-out"]
+
+
+def test_flat_costs_take_the_last_total_of_a_session(spark):
+    rows = [("a", "s1", "2024-02-01", 1, 100), ("a", "s1", "2024-02-01", 3, 500), ("a", "s1", "2024-02-01", 4, None), ("a", "s2", "2024-02-02", 1, 40),
+            ("a", "old", "2024-01-01", 9, 9000), ("b", "s1", "2024-02-01", 1, None), ("b", "s1", "2024-02-01", 2, None)]
+    df = spark.createDataFrame(rows, "provider string, session string, started string, ts long, total long").withColumn("started", F.to_timestamp("started"))
+    got = ledgers.flat_cost_rollup(df, 2e6, "2024-01-15", 1000)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 540, 1080.0, True), ("b", 0, 0.0, False)]
