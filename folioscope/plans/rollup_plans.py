@@ -19,7 +19,7 @@ TOPIC = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p.replace('(?iu)', '(?i
 
 @plan("topic_parts", f"""SELECT topic, part, max(parts) AS parts, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars, substr(sha1(topic || ' ' || part || ' ' || string_agg(ref, ' ' ORDER BY ref)), 1, 10) AS fingerprint FROM (
   SELECT topic, ref, chars, (row_number() OVER (PARTITION BY topic ORDER BY ref) - 1) // 25 + 1 AS part, CAST(ceil(count(*) OVER (PARTITION BY topic) / 25) AS BIGINT) AS parts
-  FROM (SELECT {TOPIC} AS topic, 'doc-' || doc_id AS ref, length({compact_sql('text', 100000)}) AS chars FROM documents)) GROUP BY topic, part HAVING sum(chars) >= 80""")
+  FROM (SELECT {TOPIC} AS topic, 'doc-' || doc_id AS ref, length({compact_sql('text')}) AS chars FROM documents)) GROUP BY topic, part HAVING sum(chars) >= 80""")
 def topic_parts(spark, sf):
     return R.topic_parts(table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("ref"), "text"))
 

@@ -27,8 +27,9 @@ def sq(expr: str) -> str:
     return rf"regexp_replace(regexp_replace({expr}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def compact_sql(expr: str, n: int) -> str:
-    return rf"substr({sq(rf'''regexp_replace({expr}, '(?m)^#{{1,6}}\s+', '', 'g')''')}, 1, {n})"
+def compact_sql(expr: str, n: int | None = None) -> str:
+    whole = sq(rf"""regexp_replace({expr}, '(?m)^#{{1,6}}\s+', '', 'g')""")
+    return whole if n is None else f"substr({whole}, 1, {n})"
 
 
 @plan("document_census", "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes, "
@@ -478,7 +479,7 @@ def usable_documents(spark, sf):
                                                 T.looks_like_code(F.col("text")).alias("code_like"))
 
 
-@plan("page_acceptance", rf"""SELECT page_id, CASE WHEN regexp_matches(substr(html, 1, 5000), 'Just a moment|Checking your browser|cf-chl|Enable JavaScript and cookies') THEN 'challenge'
+@plan("page_acceptance", rf"""SELECT page_id, CASE WHEN regexp_matches(html, 'Just a moment|Checking your browser|cf-chl|Enable JavaScript and cookies') THEN 'challenge'
     WHEN t <> '' AND regexp_matches(lower(url), '\.(example\.org|net)(/|$)') AND coalesce(vow / nullif(letters, 0), 0) < 0.38 THEN 'wrong-script'
     WHEN contains(t, 'Ð') OR contains(t, chr(65533)) OR contains(t, 'Ñ' || chr(131)) THEN 'mojibake'
     WHEN len(ls) >= 8 AND 1 - len(list_distinct(ls)) / len(ls) > 0.4 THEN 'boilerplate' WHEN length(t) < 400 THEN 'too-short' ELSE 'ok' END AS verdict
