@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..streaming import job_life as L
 from ..streaming import jobs as S
 from .registry import plan, table
 from .rollup_plans import RUNS, STEP
@@ -114,3 +115,50 @@ def message_stream(spark, sf):
     room = _room(spark, "messages")
     S.run_available(m, S.batch_writer(f"{room}/out"), f"{room}/cp", "update")
     return S.latest_per_key(spark, f"{room}/out", ["role"])
+
+
+#: A log of jobs over the events: three jobs for each fingerprint, twelve kinds of rows in the log.
+_ACTIONS = ("submit", "submit", "submit", "start", "start", "start", "fail", "complete", "cancel", "retry", "recover", "block")
+
+
+def _next_status() -> str:
+    return "CASE e.action || ':' || r.s[e.j] " + " ".join(
+        f"WHEN '{a}:{x}' THEN '{y}'" for a, m in L.STEPS.items() for x, y in m.items()) + " END"
+
+
+_LIFE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS seq, (event_id // 12) % 3 + 1 AS j, {list(_ACTIONS)}[event_id % 12 + 1] AS action,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  r AS (SELECT k, 0::BIGINT AS n, ['', '', ''] AS s, [0, 0, 0] AS a, [0, 0, 0]::BIGINT[] AS c, NULL::BIGINT AS seq, NULL::BIGINT AS j, NULL::VARCHAR AS action, NULL::VARCHAR AS outcome, NULL::VARCHAR AS before, NULL::BIGINT AS of
+      FROM (SELECT DISTINCT k FROM e)
+    UNION ALL SELECT k, n, list_transform([1, 2, 3], lambda i: CASE WHEN i = j AND outcome = 'applied' THEN CASE action WHEN 'submit' THEN 'queued' ELSE nxt END ELSE s[i] END),
+      list_transform([1, 2, 3], lambda i: CASE WHEN i = j AND outcome = 'applied' AND action = 'start' THEN a[i] + 1 ELSE a[i] END),
+      list_transform([1, 2, 3], lambda i: CASE WHEN i = j AND outcome = 'applied' AND action = 'submit' THEN n ELSE c[i] END), seq, j, action, outcome, before, CASE outcome WHEN 'duplicate' THEN of END
+    FROM (SELECT *, CASE WHEN action = 'submit' THEN CASE WHEN of IS NOT NULL THEN 'duplicate' WHEN before = '' THEN 'applied' ELSE 'illegal' END
+        WHEN nxt IS NOT NULL THEN 'applied' WHEN before <> '' AND action IN {L.HARMLESS} THEN 'ignored' ELSE 'illegal' END AS outcome FROM (
+      SELECT e.*, r.s, r.a, r.c, r.s[e.j] AS before, {_next_status()} AS nxt,
+        list_min(list_transform(list_filter([1, 2, 3], lambda i: r.s[i] IN {L.LIVE}), lambda i: {{'c': r.c[i], 'i': i}})).i AS of
+      FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)))"""
+
+
+def _life(spark, sf):
+    at = F.element_at(F.array(*map(F.lit, _ACTIONS)), (F.col("event_id") % 12 + 1).cast("int"))
+    user = F.col("user_id").cast("string")
+    log = _source(spark, sf, "events").select(user.alias("fingerprint"), F.concat_ws("-", user, F.floor(F.col("event_id") / 12) % 3).alias("job"),
+                                              F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), at.alias("action"))
+    room = _room(spark, "life")
+    S.run_available(L.job_life(log), S.batch_writer(f"{room}/out"), f"{room}/cp", "update")
+    return f"{room}/out"
+
+
+@plan("job_life_stream", _LIFE_SQL + """ SELECT k || '-' || (i - 1) AS job, s[i] AS status, a[i] AS attempts FROM (SELECT k, arg_max(s, n) AS s, arg_max(a, n) AS a, unnest([1, 2, 3]) AS i FROM r GROUP BY k) WHERE s[i] <> ''""")
+def job_life_stream(spark, sf):
+    d = spark.read.parquet(_life(spark, sf)).filter("kind = 'state'").groupBy("job").agg(F.max_by(F.struct("status", "attempts"), "epoch").alias("v"))
+    return d.select("job", "v.status", "v.attempts").filter("status <> ''")
+
+
+@plan("job_faults_stream", _LIFE_SQL + """ SELECT k || '-' || (j - 1) AS job, seq, action, outcome AS kind, before, k || '-' || (of - 1) AS of FROM r WHERE outcome <> 'applied'""")
+def job_faults_stream(spark, sf):
+    """Side output of the life cycle: duplicate submissions, illegal and ignored steps."""
+    d = spark.read.parquet(_life(spark, sf)).filter("kind <> 'state'")
+    d = d.groupBy("job", "seq").agg(F.max_by(F.struct("action", "kind", F.col("status").alias("before"), "of"), "epoch").alias("v"))
+    return d.select("job", "seq", "v.*").filter("kind <> 'applied'")
