@@ -197,6 +197,27 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                                    ).withColumn("component", F.coalesce("component", "id"))
 
 
+def extend_components(labels: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, component) after more nodes and links, from a stored label table.
+
+    Old links are not read again: the ends of new ones become the components
+    they lie in, and the rounds run over those components alone.  A component
+    is named after its smallest node, so the smallest name stays right.  Ends
+    that are in neither table, null ends and links inside one component change
+    nothing; links are only ever added.
+    """
+    fresh = nodes.select("id").distinct().join(labels, "id", "left_anti").withColumn("component", F.col("id"))
+    every = cut_lineage(labels.select("id", "component").unionByName(fresh))
+    u, v = (every.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in ("u", "v"))
+    between = cut_lineage(pairs.select("u", "v").distinct().join(u, "u").join(v, "v").filter("cu <> cv").select(
+        F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct())
+    if between.isEmpty():
+        return every
+    heads = between.select(F.col("u").alias("id")).union(between.select(F.col("v").alias("id"))).distinct()
+    top = components(heads, between).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    return every.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+
+
 def component_stats(comp: DataFrame) -> DataFrame:
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"))
     return sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"))
@@ -240,20 +261,32 @@ def hubs(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
 
 
 def clean_ledger(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sizes and components before and after cleaning, one row per state."""
+    """Sizes and components before and after cleaning, one row per state.
+
+    Both states are one graph whose ids begin with the digit of their state, so
+    the rounds of :func:`components` run once for the two.
+    """
     kept, kept_edges, gone = drop_templates(nodes, edges)
     after, after_pairs, id_map = merge_duplicates(kept, kept_edges)
-
-    def state(name: str, n: DataFrame, pairs: DataFrame) -> DataFrame:
-        comp = component_stats(components(n, pairs))
-        counts = n.agg(F.count("*").alias("nodes")).crossJoin(pairs.agg(F.count("*").alias("edges")))
-        return counts.crossJoin(comp).select(  # one row each
-            F.lit(name).alias("state"), "nodes", "edges", "components", "largest",
-            F.floor(F.col("largest") * 100 / F.greatest("nodes", F.lit(1))).cast("bigint").alias("largest_pct"))
-    before = state("before", nodes, undirected(edges))
-    then = state("after", after, after_pairs)
-    extra = gone.agg(F.count("*").alias("dropped")).crossJoin(id_map.agg(F.count("*").alias("merged")))
-    return before.unionByName(then).crossJoin(extra)
+    states = [("0", nodes, undirected(edges)), ("1", after, after_pairs)]
+    tagged = lambda d, tag, *cols: d.select(*[F.concat(F.lit(tag), c).alias(c) for c in cols])
+    n = cut_lineage(tagged(states[0][1], "0", "id").union(tagged(states[1][1], "1", "id")))
+    p = cut_lineage(tagged(states[0][2], "0", "u", "v").union(tagged(states[1][2], "1", "u", "v")))
+    sizes = components(n, p).groupBy("component").agg(F.count("*").alias("n")).groupBy(F.substring("component", 1, 1).alias("tag")).agg(
+        F.sum("n").alias("nodes"), F.count("*").alias("components"), F.max("n").alias("largest"))
+    links = p.groupBy(F.substring("u", 1, 1).alias("tag")).agg(F.count("*").alias("edges"))
+    rows = nodes.sparkSession.range(2).select(F.col("id").cast("string").alias("tag"), F.when(F.col("id") == 0, "before").otherwise("after").alias("state"))
+    out = rows.join(sizes, "tag", "left").join(links, "tag", "left").fillna(0).select(
+        "state", "nodes", "edges", "components", "largest",
+        F.floor(F.col("largest") * 100 / F.greatest("nodes", F.lit(1))).cast("bigint").alias("largest_pct"))
+    extra = gone.agg(F.count("*").alias("dropped")).crossJoin(id_map.agg(F.count("*").alias("merged")))  # one row each
+    return out.crossJoin(extra)
+
+
+def dropped_labels(nodes: DataFrame, edges: DataFrame, top: int = 8) -> DataFrame:
+    """(label, n): the labels most template nodes carry, as the ledger lists them."""
+    _, _, gone = drop_templates(nodes, edges)
+    return gone.groupBy(norm_label(F.coalesce("label", "id")).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(top)
 
 
 # -- unions and replacement -----------------------------------------------------------------
@@ -310,3 +343,128 @@ def concept_edges(extracted: DataFrame, max_edges: int = 12) -> DataFrame:
             .select(_concept_id(F.col("source_file"), F.col("source")).alias("source"),
                     _concept_id(F.col("source_file"), F.col("target")).alias("target"),
                     "relation", F.lit("INFERRED").alias("type"), "source_file").filter("source <> target"))
+
+
+# -- communities by modularity -----------------------------------------------------------------
+
+def weighted(pairs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(u, v, w): how many links join two groups, u <= v; a row with u = v counts those inside.
+
+    ``pairs(u, v[, w])``; without ``groups(id, community)`` every node is its own group.
+    """
+    e = pairs if "w" in pairs.columns else pairs.withColumn("w", F.lit(1).cast("long"))
+    if groups is not None:
+        e = _through(_through(e, groups, "u"), groups, "v")
+    return e.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w"))
+
+
+def _through(e: DataFrame, groups: DataFrame, end: str) -> DataFrame:
+    """Edge table with one end replaced by its group."""
+    g = groups.select(F.col("id").alias(end), F.col("community").alias("_c"))
+    return e.join(g, end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
+
+
+def strengths(links: DataFrame) -> DataFrame:
+    """(id, d, inside): weighted degree (an inner link counts twice) and inner weight of each group."""
+    ends = links.select(F.inline(F.array(F.struct(F.col("u").alias("id"), "w", F.lit(False).alias("own")),
+                                         F.struct(F.col("v").alias("id"), "w", (F.col("u") == F.col("v")).alias("own")))))
+    return ends.groupBy("id").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("own"), F.col("w")).otherwise(0)).alias("inside"))
+
+
+def modularity(links: DataFrame) -> DataFrame:
+    """(links, gain, modularity) of a table from :func:`weighted`, one row.
+
+    ``gain`` is 4 m² times the modularity, the sum of 4 m inside - d² over all
+    groups, in exact whole numbers; a graph without links has a modularity of 0.
+    """
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("links"))
+    d = strengths(links).agg(F.sum("inside").alias("inside"), F.sum(_whole("d") * _whole("d")).alias("squares"))
+    return d.crossJoin(total).select(  # one row each
+        "links", F.coalesce(F.expr("cast(4 * cast(links as decimal(19,0)) * inside - squares as decimal(38,0))"), _whole(F.lit(0))).alias("gain"),
+        F.when(F.col("links") > 0, F.col("inside") / F.col("links") - F.col("squares").cast("double") / (4.0 * F.col("links") * F.col("links")))
+        .otherwise(0.0).alias("modularity"))
+
+
+def _whole(v: Column | str) -> Column:
+    return (F.col(v) if isinstance(v, str) else v).cast("decimal(19,0)")
+
+
+def _merges(links: DataFrame, total: int, level: int) -> DataFrame:
+    """(id, community) of the groups that one level merges into another.
+
+    Joining two groups raises modularity if 2 m w > d d'.  Every group points
+    to the neighbour of the largest such gain; ties go by a hash of the two, so
+    that equal gains do not line up in chains.  Pairs that point at each other
+    merge, the stronger one leads, so a level with any gain makes a merge.
+    Whoever points to a leader follows it; the others are leaders or followers
+    by a hash of the level.  A leader takes several followers: sorted by how
+    much they may add, one may follow as long as 2 m w > d (d' + what came
+    before it), which no later follower can undo.  What came before is summed
+    per class of such quotients, so a leader with any number of followers is a
+    few hundred rows in the window.
+    """
+    st = strengths(links).select("id", "d")
+    side = lambda x: st.select(F.col("id").alias(x), F.col("d").alias(f"d{x}"))
+    both = links.filter("u <> v").join(side("u"), "u").join(side("v"), "v")
+    room = F.expr(f"cast({2 * total} as decimal(19,0)) * cast(w as decimal(19,0)) - cast(du as decimal(19,0)) * cast(dv as decimal(19,0))")
+    both = both.withColumn("gain", room).filter("gain > 0").withColumn("tie", F.xxhash64("u", "v", F.lit(level)))
+    arcs = both.select(F.inline(F.array(
+        F.struct(F.col("u").alias("id"), F.col("v").alias("to"), F.col("du").alias("d"), F.col("dv").alias("dto"), "w", "gain", "tie"),
+        F.struct(F.col("v").alias("id"), F.col("u").alias("to"), F.col("dv").alias("d"), F.col("du").alias("dto"), "w", "gain", "tie"))))
+    best = arcs.groupBy("id").agg(F.max_by(F.struct("to", "d", "dto", "w"), F.struct("gain", "tie", "to")).alias("b")).select("id", "b.*")
+    best = cut_lineage(best)
+    mate = best.select(F.col("id").alias("to"), F.col("to").alias("back"))
+    d = best.join(mate, "to", "left").withColumn("mutual", F.coalesce(F.col("back") == F.col("id"), F.lit(False)))
+    leads = F.struct("d", "id") > F.struct(F.col("dto").alias("d"), F.col("to").alias("id"))
+    coin = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(2)) == 0
+    role = F.when(F.col("mutual"), F.when(leads, "leader").otherwise("follower"))
+    d = cut_lineage(d.select("id", "to", "d", "dto", "w", "mutual", role.alias("fixed"), coin.alias("coin")))
+    of = d.select(F.col("id").alias("to"), F.col("fixed").alias("to_fixed"), F.col("to").alias("to_to"), F.col("coin").alias("to_coin"))
+    lead = d.filter("fixed = 'leader'").select(F.col("id").alias("to_to"), F.lit(True).alias("to_follows"))
+    seen = d.filter("fixed is null or fixed = 'follower'").join(of, "to").join(lead, "to_to", "left")
+    go = (F.col("fixed") == "follower") | (F.col("to_fixed") == "leader") | (
+        F.col("to_fixed").isNull() & F.col("to_follows").isNull() & ~F.col("coin") & F.col("to_coin"))
+    f = seen.filter(F.coalesce(go, F.lit(False))).select("id", "to", "d", "dto", F.col("mutual").alias("first"), (
+        2.0 * total * F.col("w") / F.col("d")).alias("most"), "w")
+    rank = F.when(F.col("first"), F.lit(-1_000_000)).otherwise(
+        -F.floor(F.log2("most") * 4).cast("long") * 16 + F.pmod(F.xxhash64("id", F.lit(level)), F.lit(16)))
+    f = cut_lineage(f.withColumn("rank", rank))
+    upto = Window.partitionBy("to").orderBy("rank")
+    before = f.groupBy("to", "rank").agg(F.sum("d").alias("here")).select("to", "rank", F.sum("here").over(upto).alias("upto"))
+    fits = F.expr(f"cast({2 * total} as decimal(19,0)) * cast(w as decimal(19,0)) > cast(d as decimal(19,0)) * cast(dto + upto - d as decimal(19,0))")
+    return f.join(before, ["to", "rank"]).filter(F.col("first") | fits).select("id", F.col("to").alias("community"))
+
+
+def modular_communities(nodes: DataFrame, pairs: DataFrame, tell: list | None = None) -> DataFrame:
+    """(id, community): groups of high modularity, named after their smallest member.
+
+    Level by level, groups merge where that raises modularity (:func:`_merges`)
+    and the weighted graph is contracted to the groups, so each level works on
+    fewer rows.  Every level raises modularity, in whole numbers, or the loop
+    ends: with no gain left there is nothing to merge.  ``tell`` collects
+    (groups, gain) of each level for a caller that wants to see them.
+
+    Nodes without links stay alone; repeated pairs add weight, loops count as
+    inner links; ends that are no node and null ends are left out.
+    """
+    known = nodes.select(F.col("id").alias("u")).distinct()
+    e = pairs.filter("u is not null and v is not null").join(known, "u", "left_semi").join(known.withColumnRenamed("u", "v"), "v", "left_semi")
+    links = cut_lineage(weighted(e))
+    label = cut_lineage(links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct().withColumn("community", F.col("id")))
+    total, now = modularity(links).select("links", "gain").first()
+    level = 0
+    while total:
+        moved = cut_lineage(_merges(links, total, level))
+        if moved.isEmpty():
+            break
+        links = cut_lineage(weighted(links, moved))
+        label = cut_lineage(_through(label.withColumnRenamed("community", "c"), moved, "c").withColumnRenamed("c", "community"))
+        last, (_, now) = now, modularity(links).select("links", "gain").first()
+        if now <= last:
+            raise AssertionError(f"level {level} lowered modularity: {last} to {now}")
+        if tell is not None:
+            tell.append((label.select("community").distinct().count(), now))
+        level += 1
+    names = label.groupBy("community").agg(F.min("id").alias("name"))
+    found = label.join(names, "community").select("id", F.col("name").alias("community"))
+    return nodes.join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

@@ -8,7 +8,7 @@ from .. import rules
 from ..operators import graph as G
 from ..operators import links as L
 from ..operators import parsing as P
-from ..session import numbered
+from ..session import cut_lineage, numbered
 from .fixtures import graph, notes, pages_rich, with_graph, with_notes, with_rich
 from .registry import plan
 from .text_plans import LINKS
@@ -189,6 +189,44 @@ def graph_clean_ledger(spark, sf):
     return G.clean_ledger(*G.normalise(*graph(spark, sf)))
 
 
+@plan("graph_dropped_labels", with_graph(f", {NRM}, {CLEAN} SELECT {LAB} AS label, count(*) AS n FROM gn WHERE id NOT IN (SELECT id FROM kn) GROUP BY 1 ORDER BY n DESC, label LIMIT 8"))
+def graph_dropped_labels(spark, sf):
+    return G.dropped_labels(*G.normalise(*graph(spark, sf)))
+
+
+@plan("graph_components_extended", recursive(with_graph(f", {NRM}, {CLEAN}, {comp_sql('mn', 'mp', '')} SELECT id, component FROM comp")))
+def graph_components_extended(spark, sf):
+    """The components of half of the links as a stored table, then the other half applied to it."""
+    kept, edges, _ = G.drop_templates(*G.normalise(*graph(spark, sf)))
+    nodes, pairs, _ = G.merge_duplicates(kept, edges)
+    nodes, pairs = cut_lineage(nodes), cut_lineage(pairs)
+    early = F.crc32("v") % 2 == 0
+    first = nodes.filter(F.crc32("id") % 3 > 0)
+    inside = pairs.filter(early).join(first.select(F.col("id").alias("u")), "u", "left_semi").join(first.select(F.col("id").alias("v")), "v", "left_semi")
+    return G.extend_components(cut_lineage(G.components(first, inside)), nodes, pairs.join(inside, ["u", "v"], "left_anti"))
+
+
+@plan("graph_modularity", with_graph(f""", {NRM}, {CLEAN}, grp AS (SELECT id, substr(coalesce(label, id), 1, 1) AS c FROM mn),
+  ends AS (SELECT a.c AS cu, b.c AS cv FROM mp JOIN grp a ON a.id = u JOIN grp b ON b.id = v), s AS (SELECT c, sum(inner_) AS inside, count(*) AS d FROM (
+    SELECT cu AS c, CASE WHEN cu = cv THEN 1 ELSE 0 END AS inner_ FROM ends UNION ALL SELECT cv, 0 FROM ends) GROUP BY c), m AS (SELECT count(*) AS links FROM ends)
+  SELECT CAST(links AS BIGINT) AS links, CAST(sum(4 * links * inside - d * d) AS BIGINT) AS gain, round(sum(inside / links - d * d / (4.0 * links * links)), 9) AS modularity FROM s, m GROUP BY links"""))
+def graph_modularity(spark, sf):
+    """Modularity of the grouping by the first letter of the label."""
+    kept, edges, _ = G.drop_templates(*G.normalise(*graph(spark, sf)))
+    nodes, pairs, _ = G.merge_duplicates(kept, edges)
+    d = G.modularity(G.weighted(pairs, nodes.select("id", F.substring(F.coalesce("label", "id"), 1, 1).alias("community"))))
+    return d.select("links", F.col("gain").cast("bigint").alias("gain"), F.round("modularity", 9).alias("modularity"))
+
+
+@plan("graph_modular_communities")
+def graph_modular_communities(spark, sf):
+    """Communities by modularity, each named after its best-connected member."""
+    kept, edges, _ = G.drop_templates(*G.normalise(*graph(spark, sf)))
+    nodes, pairs, _ = G.merge_duplicates(kept, edges)
+    nodes, pairs = cut_lineage(nodes), cut_lineage(pairs)
+    return G.community_labels(G.modular_communities(nodes, pairs), nodes, pairs.select(F.col("u").alias("source"), F.col("v").alias("target")))
+
+
 @plan("graph_communities")
 def graph_communities(spark, sf):
     kept, edges, _ = G.drop_templates(*G.normalise(*graph(spark, sf)))
