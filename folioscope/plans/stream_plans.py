@@ -14,8 +14,13 @@ from .rollup_plans import RUNS, STEP
 
 
 def _source(spark, sf, name):
+    """A given table as a stream, be it one file or a folder of parts.
+
+    A file source lists folders or globs; the last letter as a class makes the
+    path a glob that matches the table alone.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _room(spark, name):
