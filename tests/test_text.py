@@ -189,3 +189,10 @@ def test_flat_costs_take_the_last_total_of_a_session(spark):
     df = spark.createDataFrame(rows, "provider string, session string, started string, ts long, total long").withColumn("started", F.to_timestamp("started"))
     got = ledgers.flat_cost_rollup(df, 2e6, "2024-01-15", 1000)
     assert sorted(tuple(r) for r in got.collect()) == [("a", 540, 1080.0, True), ("b", 0, 0.0, False)]
+
+
+@pytest.mark.parametrize("verified, ready", [("подтвержден", True), ('"подтверждён"', True), ("true", True), ("не-проверялось", False)])
+def test_strictly_ready_takes_both_spellings(spark, verified, ready):
+    note = (f'---\nstatus: "final"\nverified: {verified}\nverification_status: "verified"\nenrichment: "external-research"\n---\n# Т\n'
+            "Факты, добавленные до атомизации:\n- a\n- b\n## Источники\nПубличные источники:\n- https://a.example/1\n")
+    assert spark.createDataFrame([(note,)], "text string").select(P.strictly_ready(F.col("text"))).first()[0] is ready
