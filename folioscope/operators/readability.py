@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import numbers as N
 from ..functions import text as T
 from .parsing import hidden_path, rewrite_stock_phrases
 
@@ -29,14 +30,13 @@ def with_rhythm(df: DataFrame, text: str = "text") -> DataFrame:
     d = T.staged(d, sentences=F.size("_n"), words=total)
     mean = F.when(F.col("sentences") > 0, F.col("words") / F.col("sentences")).otherwise(0.0)
     d = T.staged(d, _mean=mean)
-    dev = F.aggregate("_n", F.lit(0.0), lambda a, n: a + (n - F.col("_mean")) * (n - F.col("_mean")))
-    d = T.staged(d, _sd=F.when(F.col("sentences") > 1, F.sqrt(dev / F.col("sentences"))).otherwise(0.0))
+    d = T.staged(d, _sd=F.when(F.col("sentences") > 1, N.stddev_pop(F.col("_n"))).otherwise(0.0))
 
     def share(test) -> Column:
-        return F.when(F.col("sentences") > 0, F.bround(F.size(F.filter("_n", test)) / F.col("sentences"), 3)).otherwise(0.0)
+        return F.when(F.col("sentences") > 0, N.half_even(F.size(F.filter("_n", test)) / F.col("sentences"), 3)).otherwise(0.0)
     return T.staged(
-        d, mean_len=F.bround("_mean", 1), stdev_len=F.bround("_sd", 1),
-        cv_len=F.bround(F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean")).otherwise(0.0), 3),
+        d, mean_len=N.half_even(F.col("_mean"), 1), stdev_len=N.half_even(F.col("_sd"), 1),
+        cv_len=N.half_even(F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean")).otherwise(0.0), 3),
         min_len=F.coalesce(F.array_min("_n"), F.lit(0)), max_len=F.coalesce(F.array_max("_n"), F.lit(0)),
         short_share=share(lambda n: n < 5), long_share=share(lambda n: n > 25),
         em_dash=T.count_of(t, "—"), ellipsis=T.count_of(t, r"…|\.\.\."), parentheses=T.count_of(t, r"\("),
@@ -94,12 +94,12 @@ def with_score(df: DataFrame, noun_verb: Column | None = None) -> DataFrame:
     dash = F.col("em_dash") / words * 100
     penalty = (F.when(F.col("hard") > 0, F.least(F.lit(45), 12 * F.col("hard"))).otherwise(0)
                + F.when(F.col("pasted") > 0, 60).otherwise(0)
-               + F.least(F.lit(30.0), F.bround(2 * (F.col("soft") / words * 100), 0))
-               + F.when(dash > 2.0, F.least(F.lit(8.0), F.bround(3 * (dash - 2.0), 0))).otherwise(0.0)
-               + F.when((F.col("sentences") >= 4) & (F.col("cv_len") < CV_TARGET), F.least(F.lit(20.0), F.bround(
+               + F.least(F.lit(30.0), N.half_even(2 * (F.col("soft") / words * 100), 0))
+               + F.when(dash > 2.0, F.least(F.lit(8.0), N.half_even(3 * (dash - 2.0), 0))).otherwise(0.0)
+               + F.when((F.col("sentences") >= 4) & (F.col("cv_len") < CV_TARGET), F.least(F.lit(20.0), N.half_even(
                    (CV_TARGET - F.col("cv_len")) / CV_TARGET * 30, 0))).otherwise(0.0))
     if noun_verb is not None:
-        penalty = penalty + F.when(noun_verb > NOUN_VERB_TARGET, F.least(F.lit(8.0), F.bround(
+        penalty = penalty + F.when(noun_verb > NOUN_VERB_TARGET, F.least(F.lit(8.0), N.half_even(
             (noun_verb - NOUN_VERB_TARGET) / 0.5 * 3, 0))).otherwise(0.0)
     d = T.staged(d, score=F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - penalty)).cast("int"))
     return d.withColumn("band", band(F.col("score")))

@@ -26,11 +26,16 @@ BLOCK = B.BLOCK
 RARE = 256
 
 
+def title_words(a: Column, b: Column) -> tuple[Column, Column]:
+    """How many words two titles share, and the size of the smaller word set."""
+    ta, tb = T.token_set(a), T.token_set(b)
+    return F.size(F.array_intersect(ta, tb)), F.least(F.size(ta), F.size(tb))
+
+
 def title_similarity(a: Column, b: Column) -> Column:
     """Shared words over the smaller word set."""
-    ta, tb = T.token_set(a), T.token_set(b)
-    small = F.least(F.size(ta), F.size(tb))
-    return F.when(small > 0, F.size(F.array_intersect(ta, tb)) / small).otherwise(0.0)
+    shared, small = title_words(a, b)
+    return F.when(small > 0, shared / small).otherwise(0.0)
 
 
 def combined(cos: Column, sim: Column) -> Column:

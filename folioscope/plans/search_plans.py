@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import search as S
 from ..operators import vectors as V
@@ -252,5 +253,9 @@ def index_append(spark, sf):
 def title_similarity(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.get(T.lines_of(F.col("text")), F.lit(0)).alias("title"))
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("title").alias("other"))
-    j = d.join(nxt, "doc_id").withColumn("s", V.title_similarity(F.col("title"), F.col("other")))
-    return j.select("doc_id", F.round("s", 6).alias("sim"), F.round(V.combined(F.lit(0.6), F.col("s")), 6).alias("combined"))
+    shared, small = V.title_words(F.col("title"), F.col("other"))
+    j = T.staged(d.join(nxt, "doc_id"), shared=shared, small=small)
+    j = T.staged(j, s=F.when(F.col("small") > 0, F.col("shared") / F.col("small")).otherwise(0.0))
+    # three tenths of a whole number before it is divided: a double of a ratio would move ties of the sixth digit
+    lift = F.when(F.col("s") >= V.TITLE_MIN, F.col("shared") * 3 / 10 / F.col("small")).otherwise(0.0)
+    return j.select("doc_id", N.half_up(F.col("s"), 6).alias("sim"), N.half_up(F.least(F.lit(1.0), 0.6 + lift), 6).alias("combined"))
