@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ MUTUAL_TOP, TOP_K = 4, 8
 BLOCK = B.BLOCK
 #: titles meet at a shared word of at most so many members; a word of more loosens the bounds of blocks
 RARE = 256
+#: a tile of probes, the unit of work: so many tiles where there are enough blocks, more if a tile had more rows than this
+TILES, TILE = 24, 65_536
 
 
 def title_words(a: Column, b: Column) -> tuple[Column, Column]:
@@ -80,11 +83,25 @@ def _ranked(df: DataFrame, counts: DataFrame | None, rare: int) -> DataFrame:
     return df.join(ranked, "words", "left").select(*df.columns, F.coalesce("hot", none).alias("hot"), F.coalesce("rare", none).alias("rare"))
 
 
+def _kinds(words: list) -> tuple[list, np.ndarray]:
+    """The different word sets of a list, and which of them each row has."""
+    at: dict[tuple, int] = {}
+    own = np.array([at.setdefault(tuple(w), len(at)) for w in words], dtype=np.int64)
+    return list(at), own
+
+
 def _scores(u: np.ndarray, pw: list, v: np.ndarray, mw: list, titles: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cosine, title similarity and combined score of all rows of two blocks."""
+    """Cosine, title similarity and combined score of all rows of two blocks; word sets are compared once."""
     cos = u @ v.T
-    sim = B.overlap(pw, mw) if titles else np.zeros_like(cos)
-    return cos, sim, np.minimum(1.0, cos + np.where(sim >= TITLE_MIN, TITLE_WEIGHT * sim, 0.0))
+    if not titles:
+        return cos, np.broadcast_to(0.0, cos.shape), np.minimum(1.0, cos)
+    (a, own_a), (b, own_b) = _kinds(pw), _kinds(mw)
+    sim = B.overlap(a, b)
+    lift = np.where(sim >= TITLE_MIN, TITLE_WEIGHT * sim, 0.0)
+    pick = np.ix_(own_a, own_b)
+    score = lift[pick]
+    score += cos
+    return cos, sim[pick], np.minimum(1.0, score, out=score)
 
 
 def _vectors(met) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +124,72 @@ def _listed(names: np.ndarray, other: np.ndarray, ok: np.ndarray, scores: tuple,
                          "combined": score[row, col], "same": same})
 
 
-def _block_pairs(met, rotation: np.ndarray, k: int | None, titles: bool) -> pd.DataFrame:
+def _block_pairs(p, m, rotation: np.ndarray, needs: np.ndarray, k: int | None, titles: bool) -> pd.DataFrame | None:
     """What a block of probes finds in a block of members: all that is asked for, or the k best of each probe."""
-    u, v = _vectors(met)
-    need, lift = np.asarray(met.needs), np.zeros(len(u))
-    if len(met.seen):
-        seen = set(met.seen)
-        lift = np.array([TITLE_WEIGHT if seen.intersection(h) else 0.0 for h in met.p_hot])
-    rows = np.flatnonzero(B.row_bound(u @ rotation, np.asarray(met.mean), np.asarray(met.radius)) + lift + B.EPS >= need)
-    scores = _scores(u[rows], [met.p_words[i] for i in rows], v, met.words, titles)
-    return _listed(np.asarray(met.p_ids)[rows], np.asarray(met.ids), scores[2] >= need[rows, None], scores, k, met.probe == met.member)
+    u, v = (np.frombuffer(x.vecs).reshape(len(x.ids), -1) for x in (p, m))
+    lift = np.zeros(len(u))
+    if len(m.seen):
+        seen = set(m.seen)
+        lift = np.array([TITLE_WEIGHT if seen.intersection(h) else 0.0 for h in p.hot])
+    rows = np.flatnonzero(B.row_bound(u @ rotation, np.asarray(m.mean), np.asarray(m.radius)) + lift + B.EPS >= needs)
+    if not len(rows):
+        return None
+    scores = _scores(u[rows], [p.words[i] for i in rows], v, m.words, titles)
+    return _listed(np.asarray(p.ids)[rows], np.asarray(m.ids), scores[2] >= needs[rows, None], scores, k, p.block == m.block)
+
+
+def _one_way(p: str, m: str) -> bool:
+    """Whether a block of probes or that of members looks at a pair of blocks; either does for half of the others."""
+    return p == m or (p < m) == ((zlib.crc32(p.encode()) ^ zlib.crc32(m.encode())) & 1 == 0)
+
+
+class _Tile:
+    """Blocks of probes one task holds, and what the members that stream by have given them so far.
+
+    Of a top-k at most a few times k rows of each probe are kept, and the k-th
+    score found raises what the probe asks for.
+    """
+
+    def __init__(self, rotation: np.ndarray, k: int | None, titles: bool, once: bool):
+        self.rotation, self.k, self.titles, self.once = rotation, k, titles, once
+        self.probes, self.needs, self.found, self.rows = [], [], [], []
+
+    def add(self, p) -> None:
+        self.probes.append(p)
+        self.needs.append(np.array(p.needs, dtype=np.float64))
+        self.found.append([])
+        self.rows.append(0)
+
+    def meet(self, m) -> Iterator[pd.DataFrame]:
+        for i, p in enumerate(self.probes):
+            if self.once and not _one_way(p.block, m.block):
+                continue
+            out = _block_pairs(p, m, self.rotation, self.needs[i], self.k, self.titles)
+            if out is None or not len(out):
+                continue
+            if self.k is None:
+                yield out
+                continue
+            self.found[i].append(out)
+            self.rows[i] += len(out)
+            if self.rows[i] > 4 * self.k * len(p.ids):
+                self._cut(i)
+
+    def _cut(self, i: int) -> None:
+        d = pd.concat(self.found[i], ignore_index=True)
+        d = d.sort_values(["id", "combined", "cos", "title_sim", "other"], ascending=[True, False, False, False, False])
+        rank = d.groupby("id").cumcount()
+        d, last = d[rank < self.k], d[rank == self.k - 1]
+        self.found[i], self.rows[i] = [d], len(d)
+        kth = dict(zip(last.id, last.combined))
+        asked = np.array([kth.get(x, -2.0) for x in self.probes[i].ids]) - B.EPS
+        self.needs[i] = np.maximum(self.needs[i], asked)
+
+    def best(self) -> Iterator[pd.DataFrame]:
+        for i, rows in enumerate(self.found):
+            if rows:
+                self._cut(i)
+                yield self.found[i][0]
 
 
 def _word_pairs(word: str, rows: pd.DataFrame, k: int | None) -> pd.DataFrame:
@@ -149,6 +222,7 @@ class Search:
         self.block = block or max(64, BLOCK * 64 // max(64, width))
         counts = m.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("rows")) if self.titles else None
         rare = min(RARE, self.block)
+        self.rare = self.titles and not counts.filter(F.col("rows") <= rare).isEmpty()
         self.members = _ranked(m, counts, rare)
         self.probes = self.members if probes is members else _ranked(_prepare(probes, self.titles), counts, rare)
         self.space = B.learn(m, rows, self.block)
@@ -199,19 +273,11 @@ class Search:
         """(id, other, cos, title_sim, combined, same): for top-k searches a list that holds the k best of every
         probe, else all pairs from the floor on; with ``once`` only one of (a, b) and (b, a) of a self-join."""
         asking = self._ask(k, floor)
-        pairs = self.visits(asking)
-        pairs = pairs.filter("probe <= member") if once else pairs
-        rotation, titles = self.space.rotation, self.titles
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield from filter(len, (_block_pairs(r, rotation, k, titles) for r in b.itertuples()))
-
-        found = self._met(pairs, asking).mapInPandas(run, _PAIRS)
+        found = self._streamed(asking, k, once)
         if once:
             a, b = F.least("id", "other"), F.greatest("id", "other")
             found = found.filter("not same or id < other").withColumns({"id": a, "other": b})
-        if not self.titles:
+        if not self.rare:
             return found
         need = None
         if floor is None:
@@ -219,6 +285,40 @@ class Search:
                 F.col("r.ids").alias("id"), F.col("r.needs").alias("need"))
         return found.unionByName(self._by_rare_word(k, floor, need, once)).dropDuplicates(["id", "other"])
 
+    def _streamed(self, asking: DataFrame, k: int | None, once: bool) -> DataFrame:
+        """Every block of probes against every block of members its bounds do not rule out.
+
+        Blocks of probes are dealt to tiles, a partition each; a task holds the
+        probes of its tile while all members stream by, one block at a time.  So
+        members are sent once for each tile, however many pairs of blocks meet,
+        and a top-k leaves k rows for each probe.
+        """
+        rows = asking.agg(F.sum("n")).first()[0] or 0
+        tiles = max(1, -(-rows // TILE), min(TILES, -(-rows // self.block)))
+        cols = ["block", "ids", "words", "hot", "vecs", "mean", "radius", "seen"]
+        p = asking.select(F.pmod(F.xxhash64("block"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("side"), *cols, "needs")
+        m = self.packed.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("side"), *cols,
+                               F.lit(None).cast("array<double>").alias("needs"))
+        met = p.unionByName(m).repartitionById(tiles, F.col("tile")).sortWithinPartitions("tile", "side", "block")
+        rotation, titles = self.space.rotation, self.titles
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, tile = None, None
+            for b in batches:
+                for r in b.itertuples():
+                    if r.tile != at:
+                        if tile is not None:
+                            yield from tile.best()
+                        at, tile = r.tile, _Tile(rotation, k, titles, once)
+                    if r.side == 0:
+                        tile.add(r)
+                    elif tile.probes:
+                        yield from tile.meet(r)
+            if tile is not None:
+                yield from tile.best()
+
+        return met.mapInPandas(run, _PAIRS)
+
     def _by_rare_word(self, k: int | None, floor: float | None, need: DataFrame | None, once: bool) -> DataFrame:
         """Pairs whose titles share no frequent word and enough others, met at the rarest one they share.
 

@@ -105,3 +105,18 @@ def test_awkward_vectors(spark):
     got = sorted((r.id, r.pos, r.other) for r in V.nearest(one, one, 9, titles=False).collect())
     assert [g[1] for g in got] == [1, 2, 3] * 3
     assert V.nearest(one.filter("id = 'a'"), none, 3).collect() == []
+
+
+def test_members_are_sent_once_per_tile(spark, notes, data, monkeypatch):
+    """Rows shuffled for the search are blocks times tiles, not pairs of blocks; several tiles find what one does."""
+    monkeypatch.setattr(V, "TILES", 3)
+    search = V.Search(notes, notes, False, 32)
+    asking = search._ask(5, None)
+    blocks = search.packed.count()
+    plan = search._streamed(asking, 5, False)
+    found = plan.count()
+    assert blocks > 20 and found <= 5 * notes.count()
+    _, _, score = brute(*data)
+    got = {(r.a, r.b) for r in V.pairs(notes, 0.72, block=32).collect()}
+    rows, cols = np.nonzero(np.triu(score >= 0.72, 1))
+    assert got == {(f"{i:05d}", f"{j:05d}") for i, j in zip(rows, cols)}
