@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import cut_lineage, spread
 
-GRAM = 3
+#: lengths of grams; a part is looked up by grams of the longest length it has
+GRAMS = (1, 2, 3, 6, 10)
 
 
 def grams(word: Column, n: int) -> Column:
@@ -28,14 +29,20 @@ def grams(word: Column, n: int) -> Column:
 def words_containing(vocab: DataFrame, parts: DataFrame) -> DataFrame:
     """(word, part) for every vocabulary word that contains the part.
 
-    Parts of three characters and more join on their first gram of three; the
-    shorter lengths are only spread out when such parts exist.
+    A part joins on one gram of the longest length of GRAMS it has, the one the
+    fewest parts have: names that begin or end alike do not meet each other.
+    Only the lengths that occur are spread out.
     """
-    sized = parts.select("part", F.least(F.length("part"), F.lit(GRAM)).alias("n")).distinct()
-    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # at most three values
+    size = F.when(F.length("part") >= GRAMS[0], F.lit(GRAMS[0]))
+    for n in GRAMS[1:]:
+        size = F.when(F.length("part") >= n, F.lit(n)).otherwise(size)
+    sized = cut_lineage(parts.select("part", size.alias("n")).distinct().filter("n is not null"))
+    sizes = sorted(r["n"] for r in sized.select("n").distinct().collect())  # at most as many values as GRAMS
     if not sizes:
         return vocab.limit(0).select("word", F.col("word").alias("part"))
-    first = sized.select("part", F.expr("substring(part, 1, n)").alias("gram"))
+    every = sized.select("part", F.explode(F.coalesce(*[F.when(F.col("n") == n, grams(F.col("part"), n)) for n in sizes])).alias("gram"))
+    shared = every.groupBy("gram").agg(F.count("*").alias("parts"))
+    first = every.join(shared, "gram").groupBy("part").agg(F.min_by("gram", F.struct("parts", "gram")).alias("gram"))
     grammed = spread(vocab.select("word")).select("word", F.explode(F.concat(*[grams(F.col("word"), n) for n in sizes])).alias("gram"))
     return (grammed.join(first, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
 
