@@ -55,13 +55,14 @@ def union_edges(edges: DataFrame) -> DataFrame:
 
 
 def normalise(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Namespace prefixes cut, file types closed, duplicates united."""
+    """Namespace prefixes cut, file types closed, duplicates united; a column ``seq`` of the nodes settles ties."""
+    seq = F.col("seq") if "seq" in nodes.columns else F.lit(0)
     n = nodes.select(bare_id(F.col("id")).alias("id"), "label", known_type(F.col("file_type")).alias("file_type"),
-                     "source_file", F.col("id").alias("_ord"))
+                     "source_file", F.col("id").alias("_ord"), seq.alias("seq"))
     e = edges.withColumn("source", bare_id(F.col("source"))).withColumn("target", bare_id(F.col("target")))
     if "nodes" in edges.columns:
         e = e.withColumn("nodes", F.transform("nodes", bare_id))
-    merged = union_nodes(n, ["_ord", "label", "source_file"]).select("id", "label", "file_type", "source_file")
+    merged = union_nodes(n, ["_ord", "label", "source_file", "seq"]).select("id", "label", "file_type", "source_file")
     return merged, union_edges(e)
 
 

@@ -97,3 +97,11 @@ def test_new_links_extend_stored_components(spark):
     assert {r["id"]: r["component"] for r in got.collect()} == whole
     same = graph.extend_components(got, nodes.limit(0), pairs.limit(0))
     assert {r["id"]: r["component"] for r in same.collect()} == whole
+
+
+def test_equal_nodes_take_the_type_of_the_first(spark):
+    rows = [("kb::a", "A", "code", "u", 9), ("kb::a", "A", "concept", "u", 4), ("kb::a", "A", "paper", "u", 7)]
+    edges = spark.createDataFrame([], "source string, target string, relation string, type string, label string, source_file string")
+    for order in (rows, rows[::-1]):
+        nodes = spark.createDataFrame(order, "id string, label string, file_type string, source_file string, seq long")
+        assert [tuple(r) for r in graph.normalise(nodes, edges)[0].collect()] == [("a", "A", "concept", "u")]
