@@ -12,7 +12,11 @@ settle most of the region: documents within the threshold are linked through
 the pivot.  What is left are pairs of documents that no chain of links connects
 yet.  By the triangle inequality such a pair can only be a link if the
 distances of the two to the pivot differ by no more than the threshold - the
-window around a border that has to look across it.  Large regions recur with a
+window around a border that has to look across it.  A pair is settled in the
+region of the first shingle it shares, where it shares no more than what follows
+there in either set; elsewhere the same bound may pass it over, which keeps
+texts of one template, each with changes of its own, from all meeting each
+other.  Large regions recur with a
 new pivot among the unconnected; small ones, and what ``rounds`` leave of large
 ones, are joined pair by pair within those windows.  No pair is ever dropped
 without a bound that proves it is no link.
@@ -34,6 +38,9 @@ from folioscope.operators.graph import components
 
 from .batches import discard, long_field, map_texts, slices, stored, texts_of
 
+#: Hashes of words a worker keeps between texts: some 20 MB.
+WORDS = 100_000
+
 _words: dict[bytes, int] = {}
 
 
@@ -43,7 +50,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     words = text.encode().translate(_LOWER).split()
     if not words:
         return np.empty(0, np.int64)
-    if len(_words) > 500_000:
+    if len(_words) > WORDS:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh3_64_intdigest(w)
@@ -263,12 +270,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: i
     nodes = classes.filter("id is not null").dropDuplicates(["id"])
     facts = nodes.select("id", "n", "bins")
     # root regions; in the order of ids the first member is the pivot, and no region is held in memory
-    posted = groups.agg(F.min("doc_id").alias("id"), F.first("prefix", ignorenulls=True).alias("prefix")).filter(
-        "id is not null").select(F.explode("prefix").alias("region"), "id")
+    posted = groups.agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix", ignorenulls=True).alias(
+        "prefix")).filter("id is not null").select(F.posexplode("prefix").alias("at", "region"), "id", "n").withColumn(
+        "after", F.col("n") - F.col("at")).drop("at")
     w = Window.partitionBy("region").orderBy("id")
     ranked = posted.withColumn("pivot", F.first("id").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
         "next", F.lead("id").over(w))
-    members = stored(ranked.filter("pivot <> id or next is not null").select("region", "id", "pivot"), "regions")
+    members = stored(ranked.filter("pivot <> id or next is not null").select("region", "id", "pivot", "n", "after"), "regions")
     sizes = stored(seen.select("doc_id", "n", "mark"), "sizes")
     discard(seen)
     link = F.expr(f"100 * both >= {percent} * either")
@@ -300,21 +308,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: i
         "coalesce(la, a) <> coalesce(lb, b)").select("a", "b"))
     for turn in range(rounds + 1):
         named = members.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        spread = named.groupBy("region").agg(F.count("*").alias("size"), F.min("label").alias("low"),
+        spread = named.groupBy("region").agg(F.min("n").alias("shortest"), F.min("label").alias("low"),
                                              F.max("label").alias("high"), F.max(F.when(
                                                  F.col("id") == F.col("pivot"), F.col("label"))).alias("main")).filter("low <> high")
         # distance to the region's pivot, or the bound that ruled the pair out: the window's place
         place = known.select(F.col("a").alias("pivot"), F.col("b").alias("id"),
                              F.expr("1 - both / either").alias("d"))
-        open_ = named.join(spread.select("region", "size", "main"), "region").join(place, ["pivot", "id"], "left").withColumn(
+        # those that can share enough with the smallest set there, should the region be where they first meet
+        able = F.expr(f"{100 + percent} * after >= {percent} * (n + shortest)")
+        open_ = named.join(spread.select("region", "shortest", "main"), "region").filter(able).join(place, ["pivot", "id"], "left").withColumn(
             "d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-        open_ = stored(open_.select("region", "id", "pivot", "label", "main", "size", "d"), "open")
+        open_ = stored(open_.select("region", "id", "pivot", "label", "main", "n", "after", "d"), "open")
+        if turn < rounds:
+            open_ = open_.join(open_.groupBy("region").agg(F.count("*").alias("size")), "region")
         whole = F.lit(True) if turn == rounds else F.col("size") <= small
         y = open_.filter(whole & (F.col("id") != F.col("pivot")))
         # one side of an open pair is outside the component of the pivot; those are few where the region is large
-        x = y.filter("label <> main").select("region", F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("d").alias("d2"))
+        x = y.filter("label <> main").select("region", *[F.col(c).alias(c + "2") for c in ("id", "label", "n", "after", "d")])
         window = F.coalesce(F.abs(F.col("d") - F.col("d2")) <= far + 1e-9, F.lit(True))
-        pairs = x.join(y, "region").filter((F.col("label") != F.col("label2")) & window).select(
+        enough = F.expr(f"{100 + percent} * least(after, after2) >= {percent} * (n + n2)")
+        pairs = x.join(y, "region").filter((F.col("label") != F.col("label2")) & enough & window).select(
             F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         # large regions: a new pivot among those that the old one does not reach
         big = open_.filter(~whole)
@@ -323,7 +336,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, small: i
         pairs = pairs.unionByName(fresh.join(led_by, "region").filter("label <> own").select(
             F.least("id", "fresh").alias("a"), F.greatest("id", "fresh").alias("b")))
         follow(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        members = fresh.select("region", "id", F.col("fresh").alias("pivot"))
+        members = fresh.select("region", "id", F.col("fresh").alias("pivot"), "n", "after")
         if members.isEmpty():
             break
         members = stored(members, "regions")

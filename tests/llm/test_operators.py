@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folioscope.llm import mixing, neighbours, secrets
+from folioscope.llm import jaccard_join, mixing, neighbours, secrets
 from folioscope.llm.bpe import WordBpe
 from folioscope.llm.jaccard_join import near_duplicates
 from folioscope.llm.packing import cuts, pack
@@ -371,6 +371,25 @@ def test_near_duplicates(docs, rows, small):
     assert sorted(loose, key=str) == sorted([(len(sets[1]), top[1]), (1, None)], key=str)
 
 
+def test_texts_of_one_template_do_not_all_meet(spark, monkeypatch):
+    """200 texts of one template, four words of each changed: no two are linked, and hardly any pair is tried."""
+    rng = random.Random(8)
+    base = [f"word{i}" for i in range(150)]
+
+    def changed(k, n):
+        return " ".join(f"own{k}at{i}" if i in picked else w for i, w in enumerate(base)) if (
+            picked := set(rng.sample(range(6, 144, 6), n))) else " ".join(base)
+
+    rows = [(k, changed(k, 4), "en", "a", 0) for k in range(200)] + [(k, changed(k, 1), "en", "a", 0) for k in range(200, 204)]
+    tried, bounded = [], jaccard_join.bounded
+    monkeypatch.setattr(jaccard_join, "bounded", lambda pairs, *rest: (tried.append(pairs.count()), bounded(pairs, *rest))[1])
+    sets, top = brute_components(rows)
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), share=1)
+    assert listed(got) == ordered([(r[0], len(sets[r[0]]), top[r[0]]) for r in rows])
+    assert len(set(top.values())) > 195
+    assert sum(tried) < 4000  # 20,706 pairs in all
+
+
 def test_near_duplicates_clashing_columns(docs, clashing):
     assert listed(near_duplicates(clashing)) == listed(near_duplicates(docs))
 
