@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, numbered, spread
 from .substring import words_containing
 
 
@@ -98,9 +98,10 @@ class BlockSearch:
         self.keep, self.whole, self.ties = keep, whole, ties
         words = words if "weight" in words.columns else words.withColumn("weight", F.lit(1))
         self.met = index.join(words, "word").select("topic", "block", "top", "n_terms", "weight", "posts")
-        self.bounds = self.met.groupBy("topic", "block").agg(F.sum(F.col("top") * F.col("weight")).alias("bound"))
+        # stored, so sizes are known: blocks to open are sent to the lists, and of those only the opened ones move
+        self.bounds = cut_lineage(self.met.groupBy("topic", "block").agg(F.sum(F.col("top") * F.col("weight")).alias("bound")))
         w = Window.partitionBy("topic").orderBy(F.desc("bound"), "block")
-        self.first = self.bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block")
+        self.first = cut_lineage(self.bounds.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST).select("topic", "block"))
         self.seeds = cut_lineage(self._ranked(self._scored(self.first), "topic").drop("rank"))
 
     def _scored(self, blocks: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ class BlockSearch:
 
     def best(self) -> DataFrame:
         """(topic, path, score, rank)."""
-        return self._ranked(self.seeds.unionByName(self._scored(self.rest())), "topic")
+        return self._ranked(self.seeds.unionByName(self._scored(cut_lineage(self.rest()))), "topic")
 
 
 def best_of_blocks(index: DataFrame, words: DataFrame, keep: int, whole: bool = True, ties: bool = False) -> DataFrame:
@@ -234,15 +235,19 @@ def vote_ranking(docs: DataFrame, questions: DataFrame, keep: int = 7, min_len:
     A word counts as a substring.  The corpus vocabulary is matched once against
     all question words through shared grams; notes then only meet the words of
     the vocabulary that hold one.  The words found are lists of the block index.
+    In all that, a note goes by its place in the order of paths, which breaks ties as its path does.
     """
+    names = cut_lineage(numbered(docs.select(F.col("path").alias("name")).distinct(), [], [F.col("name")], "place"))
+    docs = docs.join(names, F.col("path").eqNullSafe(F.col("name"))).select(F.col("place").alias("path"), "text")
     q = cut_lineage(questions.select("topic", F.explode(F.array_distinct(
         T.query_words(F.col("text"), rules.SEARCH_STOP, min_len))).alias("word")))
     runs = docs.select("path", F.explode(F.array_distinct(T.find_all(F.lower("text"), r"[a-zа-яё0-9-]+"))).alias("run"))
     vocab = runs.select(F.col("run").alias("word")).distinct()
-    hits = words_containing(vocab, q.select(F.col("word").alias("part")).distinct()).withColumnRenamed("word", "run")
+    hits = cut_lineage(words_containing(vocab, q.select(F.col("word").alias("part")).distinct()).withColumnRenamed("word", "run"))
     posts = runs.join(hits, "run").select("path", F.col("part").alias("word"), F.lit(1).alias("points"))
     best = best_of_blocks(block_index(docs, posts, block, repeated=True), q.withColumn("n_terms", F.lit(0)), keep, whole=False)
-    return best.select("topic", "path", F.col("score").alias("votes"), F.col("rank").alias("pos"))
+    return best.join(names, F.col("path") == F.col("place")).select(
+        "topic", F.col("name").alias("path"), F.col("score").alias("votes"), F.col("rank").alias("pos"))
 
 
 # -- evaluation -----------------------------------------------------------------------

@@ -42,7 +42,8 @@ def words_containing(vocab: DataFrame, parts: DataFrame) -> DataFrame:
         return vocab.limit(0).select("word", F.col("word").alias("part"))
     every = sized.select("part", F.explode(F.coalesce(*[F.when(F.col("n") == n, grams(F.col("part"), n)) for n in sizes])).alias("gram"))
     shared = every.groupBy("gram").agg(F.count("*").alias("parts"))
-    first = every.join(shared, "gram").groupBy("part").agg(F.min_by("gram", F.struct("parts", "gram")).alias("gram"))
+    # stored, so its size is known: few parts are sent to the words, and the grams of the words then stay where they are
+    first = cut_lineage(every.join(shared, "gram").groupBy("part").agg(F.min_by("gram", F.struct("parts", "gram")).alias("gram")))
     grammed = spread(vocab.select("word")).select("word", F.explode(F.concat(*[grams(F.col("word"), n) for n in sizes])).alias("gram"))
     return (grammed.join(first, "gram").filter(F.col("word").contains(F.col("part"))).select("word", "part").distinct())
 

@@ -60,3 +60,24 @@ def test_empty(spark, corpus):
     none = docs.filter("false")
     assert S.best_notes(none, topics).collect() == [] and S.best_notes(docs, topics.filter("false")).collect() == []
     assert S.vote_ranking(none, topics).collect() == []
+
+
+def test_lists_hold_numbers_for_names(spark, monkeypatch):
+    """Lists of notes move between tasks, so a note's name is not in them; names that repeat or are null stay one note."""
+    held, index = [], S.block_index
+    monkeypatch.setattr(S, "block_index", lambda *a, **k: held.append(index(*a, **k)) or held[-1])
+    docs = spark.createDataFrame([("b", "stone river"), ("b", "garden"), ("a", "stone"), (None, "riverside"), ("c", "stone river")],
+                                 "path string, text string")
+    topics = spark.createDataFrame([(1, "stone river garden")], "topic long, text string")
+    got = [tuple(r) for r in S.vote_ranking(docs, topics, 3).orderBy("pos").collect()]
+    assert got == [(1, "b", 3, 1), (1, "c", 2, 2), (1, None, 1, 3)]
+    assert dict(held[0].dtypes)["posts"] == "array<struct<path:bigint,points:int>>"
+
+
+def test_blocks_to_open_are_known_by_size(corpus):
+    """Only the lists of opened blocks move: the blocks come from a stored table."""
+    docs, topics = corpus
+    words = S._topic_words(topics)
+    search = S.BlockSearch(S.block_index(docs, S._postings(docs), 8), words, 3)
+    for df in (search.bounds, search.first):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
