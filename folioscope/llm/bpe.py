@@ -138,7 +138,7 @@ class ChunkCache(dict):
     anew.  It only saves work, results do not depend on it.
     """
 
-    def __init__(self, path: str, room: int = 800_000):
+    def __init__(self, path: str, room: int = 100_000):
         super().__init__()
         self.bpe, self.room = WordBpe(path), room
 
