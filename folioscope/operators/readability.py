@@ -6,6 +6,8 @@ groups documents.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import numbers as N
 from ..functions import text as T
 from .parsing import hidden_path, rewrite_stock_phrases
 
-SENTENCE_END = r"(?<=[.!?…])\s+|\n+"
+SENTENCE_END = r"(?=\s)(?:(?<=[.!?…])\s+|\n+)"
 WORD = r"[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
 # fixed values
 BAND_CLEAN, BAND_EDIT = 85, 60
@@ -39,8 +41,9 @@ def with_rhythm(df: DataFrame, text: str = "text") -> DataFrame:
         cv_len=N.half_even(F.when(F.col("_mean") > 0, F.col("_sd") / F.col("_mean")).otherwise(0.0), 3),
         min_len=F.coalesce(F.array_min("_n"), F.lit(0)), max_len=F.coalesce(F.array_max("_n"), F.lit(0)),
         short_share=share(lambda n: n < 5), long_share=share(lambda n: n > 25),
-        em_dash=T.count_of(t, "—"), ellipsis=T.count_of(t, r"…|\.\.\."), parentheses=T.count_of(t, r"\("),
-        questions=F.size(F.filter("_s", lambda x: x.rlike(r"\?\s*$")))).drop("_s", "_n", "_mean", "_sd")
+        em_dash=_literal_count(t, "—"), parentheses=_literal_count(t, "("),
+        ellipsis=F.when(T.has_any(t, ["…", "..."]), T.count_of(t, r"…|\.\.\.")).otherwise(0),
+        questions=F.size(F.filter("_s", lambda x: x.contains("?") & x.rlike(r"\?\s*$")))).drop("_s", "_n", "_mean", "_sd")
 
 
 def _literal_count(low: Column, needle: str) -> Column:
@@ -48,11 +51,18 @@ def _literal_count(low: Column, needle: str) -> Column:
     return F.when(low.contains(needle), n).otherwise(0)
 
 
+def _first_seen(pattern: str) -> str:
+    """A ban that asks for its first letter before it looks for an edge of a word."""
+    group = re.match(r"\\b\(\?:([^()]*)\)", pattern)
+    starts = [p[0] for p in group[1].split("|")] if group else re.findall(r"^\\b(\w)", pattern)
+    return (f"(?=[{''.join(starts)}])" if starts else "") + pattern
+
+
 def ban_hits(low: Column) -> Column:
     """array of (name, n) for every banned phrase in lower-case text."""
     def hits(t: Column) -> Column:
         return F.array(*[F.struct(F.lit(n).alias("name"), F.when(
-            T.has_any(t, rules.BAN_ANCHORS[n]), T.count_of(t, "(?U)" + p)).otherwise(0).alias("n")) for n, p in rules.HARD_BANS])
+            T.has_any(t, rules.BAN_ANCHORS[n]), T.count_of(t, "(?U)" + _first_seen(p))).otherwise(0).alias("n")) for n, p in rules.HARD_BANS])
     return F.filter(T.let(low, hits), lambda h: h["n"] > 0)
 
 
@@ -62,7 +72,8 @@ def marker_hits(low: Column) -> Column:
     rows = []
     for cat, items in rules.MARKERS.items():
         for m in items:
-            n = T.count_of(low, "(?U)" + m[3:].lower()) if m.startswith("re:") else _literal_count(low, m.lower())
+            n = F.when(T.has_any(low, rules.MARKER_ANCHORS[m]), T.count_of(low, "(?U)" + m[3:].lower())).otherwise(0) \
+                if m.startswith("re:") else _literal_count(low, m.lower())
             rows.append(F.struct(F.lit(cat).alias("category"), F.lit(m.removeprefix("re:")).alias("marker"), n.alias("n")))
     return F.filter(F.array(*rows), lambda h: h["n"] > 0)
 
@@ -158,6 +169,16 @@ FACTS = {
     "version": r"\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b",
     "isoDate": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",
 }
+#: the same matches with fewer tries: a path that is no suffix of its own run, edges looked for at digits only
+FACTS_SPELLED = {
+    "path": r"(?=[~./])(?:~|\.{0,2})/[^\s`)>\]\"']+"
+            r"|(?<![A-Za-z0-9_.\-/])[A-Za-z0-9_.\-/]+\.(?:mjs|py|json|md|sh|ts|js|txt|yml|yaml)\b",
+    "version": r"(?=[v0-9])" + FACTS["version"],
+    "isoDate": r"(?=[0-9])" + FACTS["isoDate"],
+}
+#: the paths of a text that holds no file ending
+ROOTED_PATH = FACTS_SPELLED["path"].split("|(?<!")[0]
+FILE_ENDINGS = [".mjs", ".py", ".js", ".md", ".sh", ".ts", ".txt", ".yml", ".yaml"]
 LATIN_WORD = r"[A-Za-z][A-Za-z0-9_-]{2,}"
 
 
@@ -167,6 +188,12 @@ def _occurrences(words: Column) -> Column:
         F.sequence(F.lit(1), c["n"]), lambda k: F.concat(c["word"], F.lit("\u0000"), k.cast("string")))))
 
 
+def facts(kind: str, text: Column) -> Column:
+    """Every fact of a kind in a text, as ``FACTS`` spells it."""
+    found = T.find_all(text, T.ascii_edges(FACTS_SPELLED.get(kind, FACTS[kind])))
+    return found if kind != "path" else F.when(T.has_any(text, FILE_ENDINGS), found).otherwise(T.find_all(text, ROOTED_PATH))
+
+
 def _lost(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("sample")))
 
@@ -174,11 +201,14 @@ def _lost(kind: str, values: Column) -> Column:
 def verbatim_blocks(text: Column) -> Column:
     """Blocks that must reappear byte for byte."""
     head = F.filter(F.array(F.regexp_extract(text, r"^(?s:---\r?\n.*?\r?\n---(?:\r?\n|\z))", 0)), lambda x: x != "")
-    fences = T.find_all(text, r"(?s)```.*?```")
-    inline = T.find_all(T.drop_fences(text), r"`[^`\n]+`")
-    sects = F.filter(F.array(*[T.headed_block(text, rules.body_heading(t)) for t in rules.UNTOUCHABLE]), lambda x: x != "")
-    tables = F.filter(T.find_all(text, r"(?m)^[ \t]*\|[^\n]*(?:\n[ \t]*\|[^\n]*)*"), lambda b: b.rlike("[0-9]"))
-    quotes = T.find_all(text, r"(?m)^[ \t]*>[^\n]*(?:\n[ \t]*>[^\n]*)*")
+    def where(mark: str, found: Column) -> Column:
+        return F.when(text.contains(mark), found).otherwise(F.array().cast("array<string>"))
+    fences = where("```", T.find_all(text, r"(?s)```.*?```"))
+    inline = where("`", T.find_all(T.drop_fences(text), r"`[^`\n]+`"))
+    sects = F.filter(F.array(*[F.when(text.contains(t), T.headed_block(text, rules.body_heading(t))).otherwise("") for t in rules.UNTOUCHABLE]),
+                     lambda x: x != "")
+    tables = where("|", F.filter(T.find_all(text, r"(?m)^[ \t]*\|[^\n]*(?:\n[ \t]*\|[^\n]*)*"), lambda b: b.rlike("[0-9]")))
+    quotes = where(">", T.find_all(text, r"(?m)^[ \t]*>[^\n]*(?:\n[ \t]*>[^\n]*)*"))
     return F.concat(head, fences, inline, sects, tables, quotes)
 
 
@@ -186,12 +216,12 @@ def lost_facts(before: Column, after: Column) -> Column:
     """array of (kind, sample): what the new version no longer has."""
     parts = [_lost("byte", F.transform(F.filter(verbatim_blocks(before), lambda b: ~after.contains(b)),
                                        lambda b: F.substring(b, 1, 60)))]
-    for kind, rx in FACTS.items():
-        p = T.ascii_edges(rx)
-        gone = F.array_except(_occurrences(T.find_all(before, p)), _occurrences(T.find_all(after, p)))
+    for kind in FACTS:
+        gone = F.array_except(_occurrences(facts(kind, before)), _occurrences(facts(kind, after)))
         parts.append(_lost(kind, F.array_distinct(F.transform(gone, lambda v: F.split(v, "\u0000")[0]))))
     parts.append(_lost("latin", F.array_except(T.find_all(before, LATIN_WORD), T.find_all(after, LATIN_WORD))))
-    heads = F.filter(F.array(*[F.when(before.rlike("(?m)" + rules.body_heading(t)) & ~after.rlike("(?m)" + rules.body_heading(t)),
+    heads = F.filter(F.array(*[F.when(before.contains(t) & before.rlike("(?m)" + rules.body_heading(t))
+                                      & ~(after.contains(t) & after.rlike("(?m)" + rules.body_heading(t))),
                                       F.lit(t)) for t in rules.BODY_HEADINGS]), lambda x: x.isNotNull())
     parts.append(_lost("heading", heads))
     return F.concat(*parts)
