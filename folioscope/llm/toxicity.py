@@ -9,8 +9,9 @@ scaled features follows, and all texts are scored where they lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ from .quality_classifier import remainder
 #: Lower case; whatever is neither a letter nor part of a non-ASCII character becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: Buckets whose counts a task hands over in one row.
+SENT = 1 << 15
+
 
 @dataclass
 class Settings:
@@ -95,26 +99,29 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, mod: int, s: Settings) ->
                     here[h] = True
                 seen[c][here] += 1
                 texts[c] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary()), pa.array([texts.tolist()])],
-                                         names=["seen", "texts"])
-
-    seen, n = np.zeros((2, width), np.int64), np.zeros(2, np.int64)
-    for r in sample.mapInArrow(count, "seen binary, texts array<long>").toLocalIterator():
-        seen += np.frombuffer(r["seen"], np.int32).reshape(2, width)
+        # a few buckets a row: the driver then holds no more of a task's counts at a time
+        for at in range(0, width, SENT):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([seen[:, at:at + SENT].tobytes()], pa.binary()),
+                                              pa.array([texts.tolist() if at == 0 else [0, 0]])], names=["first", "seen", "texts"])
+
+    seen, n = np.zeros((2, width), np.int32), np.zeros(2, np.int64)
+    for r in sample.mapInArrow(count, "first int, seen binary, texts array<long>").toLocalIterator():
+        part = np.frombuffer(r["seen"], np.int32).reshape(2, -1)
+        seen[:, r["first"]:r["first"] + part.shape[1]] += part
         n += np.array(r["texts"])
     slot = np.full(width, -1, np.int16)
     share = (sizes.get(1, 0) + 1.0) / (sum(sizes.values()) + 2.0)
     if not n.all():
         return Model(slot, np.zeros(1), float(np.log(share / (1 - share))), s)
-    both = seen.sum(0)
-    mean = both / n.sum()
-    clear = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n[0] + 1 / n[1]))
-    clear[both < s.least] = 0
+    often = np.flatnonzero(seen.sum(0) >= s.least)
+    good, bad = seen[0, often], seen[1, often]
+    mean = (good + bad) / n.sum()
+    clear = np.abs(bad / n[1] - good / n[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / n[0] + 1 / n[1]))
     kept = np.argsort(-clear, kind="stable")[:s.features]
     kept = kept[clear[kept] > 0]
-    slot[kept] = np.arange(len(kept))
-    p, q = (seen[1] + s.smoothing), (seen[0] + s.smoothing)
-    ratio = np.log((p / p.sum()) / (q / q.sum()))[kept]
+    slot[often[kept]] = np.arange(len(kept))
+    p, q = ((part[kept] + s.smoothing) / (seen[c].sum() + s.smoothing * width) for c, part in ((1, bad), (0, good)))
+    ratio = np.log(p / q)
 
     plain = Model(slot, np.zeros(len(kept)), 0.0, s)
 
@@ -125,37 +132,39 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int, mod: int, s: Settings) ->
                 pa.array([plain.hits(t).astype(np.int16).tobytes() for t in texts_of(b.column(1))], pa.binary())],
                 names=["toxic", "hits"])
 
-    rows = [(r["toxic"], bytes(r["hits"])) for r in sample.mapInArrow(hits, "toxic int, hits binary").toLocalIterator()]
+    seen = often = good = bad = mean = clear = None  # the fit needs none of them
+    rows = ((r["toxic"], bytes(r["hits"])) for r in sample.mapInArrow(hits, "toxic int, hits binary").toLocalIterator())
     weight, bias = logistic(rows, ratio, s)
     # the sample holds the classes in shares of its own
     bias += np.log(sizes[1] / sizes[0]) - np.log(n[1] / n[0])
     return Model(slot, weight * ratio, float(bias), s)
 
 
-def logistic(rows: list[tuple[int, bytes]], value: np.ndarray, s: Settings, block: int = 500) -> tuple[np.ndarray, float]:
+def logistic(rows: Iterable[tuple[int, bytes]], value: np.ndarray, s: Settings, block: int = 500) -> tuple[np.ndarray, float]:
     """Penalised logistic regression by full-batch Adam steps.
 
     ``rows`` holds (class, features present as 16-bit numbers) and ``value``
     what each feature counts.  Gradients add up over blocks of rows, so the
-    driver holds the feature numbers and one block's floats.  The last weight is
-    the bias, which carries no penalty.
+    driver holds the feature numbers, once, and one block's floats.  The last
+    weight is the bias, which carries no penalty.
     """
-    width = len(value)
+    width, total, rows = len(value), 0, iter(rows)
     blocks = []
-    for at in range(0, len(rows), block):
-        part = [np.frombuffer(h, np.int16) for _, h in rows[at:at + block]]
-        blocks.append((np.repeat(np.arange(len(part), dtype=np.int16), [len(h) for h in part]), np.concatenate(part),
-                       np.array([c for c, _ in rows[at:at + block]], np.float64)))
+    while some := list(islice(rows, block)):
+        part = [np.frombuffer(h, np.int16) for _, h in some]
+        blocks.append((np.array([len(h) for h in part]), np.concatenate(part), np.array([c for c, _ in some], np.float64)))
+        total += len(some)
     w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     for i in range(1, s.rounds + 1):
         g = np.zeros(width + 1)
-        for row, col, y in blocks:
+        for sizes, col, y in blocks:
+            row = np.repeat(np.arange(len(y), dtype=np.int16), sizes)
             v = value[col]
             z = np.bincount(row, v * w[col], len(y)) + w[-1]
             miss = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - y
             g[:-1] += np.bincount(col, v * miss[row], width)
             g[-1] += miss.sum()
-        g /= len(rows)
+        g /= total
         g[:-1] += s.penalty * w[:-1]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g

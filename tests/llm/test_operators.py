@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -21,7 +22,7 @@ from folioscope.llm.quality_rules import quality_rules
 from folioscope.llm.queries import tokenizer
 from folioscope.llm.repeated_passages import RunIndex, repeated_passages
 from folioscope.llm.token_counts import token_counts
-from folioscope.llm.toxicity import Settings, toxicity_scores
+from folioscope.llm.toxicity import Settings, fit, logistic, toxicity_scores
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -459,3 +460,23 @@ def test_run_index():
     got = index.earliest(np.array([1, 2, 3]))
     at = {(int(p), int(s)): int(o) for p, s, o in zip(index.part, index.place, got)}
     assert at[1, 0] == 1 and at[1, 1] == 1 and at[1, 2] == 2 and len(at) == 6 + 3
+
+
+def test_toxicity_fit_keeps_the_driver_small(spark):
+    """Counts come in parts and rows one by one: the driver's Python holds little more than one table of counts."""
+    words = [f"word{i} " for i in range(4000)]
+    docs = spark.createDataFrame([(i, "".join(words[(i * 37 + j * 11) % 4000] for j in range(60)) + ("vile brute " if i % 2 else "kind host "))
+                                  for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    tracemalloc.start()
+    model = fit(docs, labels, 0, 5, Settings(rounds=20))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 40, peak
+    assert model.score("a vile brute ") > 0.5 > model.score("a kind host ")
+
+
+def test_logistic_takes_rows_as_they_come():
+    rows = [(i % 2, np.array([i % 2, 2 + i % 3], np.int16).tobytes()) for i in range(50)]
+    (w, bias), (w2, bias2) = (logistic(x, np.ones(5), Settings(rounds=30), block=7) for x in (rows, iter(rows)))
+    assert w.tolist() == w2.tolist() and bias == bias2 and w[1] > 0 > w[0]
