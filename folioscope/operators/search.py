@@ -175,14 +175,19 @@ def findings(cands: DataFrame, docs: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def evidence(text: Column, terms: Column, limit: int = 2500, size: int = 1000, step: int = 800) -> Column:
-    """The two windows of a text with most topic words, in text order."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    """The two windows of a text with most topic words, in text order; ``terms`` are distinct words."""
+    # the n-th character is found by walking to it, so windows are cut out of blocks of ten
+    block = step * 10
+    blocks = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
 
     def scored(line: Column) -> Column:
-        def hits(s: Column) -> Column:
-            part = F.concat(F.lit(" "), F.substring(line, s + 2, F.lit(size)), F.lit(" "))
-            return T.let(part, lambda p: F.size(F.filter(terms, lambda t: p.contains(F.concat(F.lit(" "), t, F.lit(" "))))))
-        return F.transform(starts, lambda s: F.struct((-hits(s)).alias("neg"), s.alias("start")))
+        def inside(b: Column, part: Column) -> Column:
+            starts = F.sequence(b, F.least(b + block, F.length(text)) - 1, F.lit(step))
+            # one space stands for each separator, so the words of a window are cut by it and looked up at once
+            return F.transform(starts, lambda s: F.struct((-F.size(F.array_intersect(
+                F.split(F.substring(part, s - b + 1, F.lit(size)), " "), terms))).alias("neg"), s.alias("start")))
+        return F.flatten(F.transform(blocks, lambda b: T.let(
+            F.substring(line, b + 2, F.lit(block - step + size)), lambda part: inside(b, part))))
     best = F.slice(F.array_sort(T.let(T.word_line(text), scored)), 1, 2)
     shown = F.transform(F.array_sort(F.transform(best, lambda w: w["start"])), lambda s: T.let(
         F.substring(text, s + 1, F.lit(size)), lambda body: F.concat(

@@ -81,3 +81,20 @@ def test_blocks_to_open_are_known_by_size(corpus):
     search = S.BlockSearch(S.block_index(docs, S._postings(docs), 8), words, 3)
     for df in (search.bounds, search.first):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_and_snippets_of_long_texts(spark):
+    """Windows of a text of many blocks are those that a plain walk over it finds."""
+    rng = random.Random(5)
+    texts = ["", "x", "İstanbul — alpha", *[rng.choice([" ", "é — ", "İ, "]).join(rng.choice(["alpha", "Beta", "gamma7", "дом", "z"]) if rng.random() < 0.2 else f"w{rng.randint(0, 999)}"
+                                                                                    for _ in range(n)) for n in (50, 1700, 9000)]]
+    terms = ["alpha", "beta", "gamma7", "дом", "w7"]
+    d = spark.createDataFrame([(i, t, terms) for i, t in enumerate(texts)], "i int, t string, terms array<string>")
+    got = {r["i"]: r["e"] for r in d.select("i", S.evidence(F.col("t"), F.col("terms")).alias("e")).collect()}
+    for i, t in enumerate(texts):
+        line = "".join(c if c.isalnum() else " " for c in t.replace("İ", "I").lower())
+        best = sorted((-len(set(line[s:s + 1000].split(" ")) & set(terms)), s) for s in range(0, len(t), 800))[:2]
+        want = "\n\n".join(f"[{s + 1}–{min(s + 1000, len(t))}]\n{t[s:s + 1000]}" for s in sorted(s for _, s in best))[:2500]
+        assert got[i] == want, i
+    rules_of = d.select(S.evidence(F.col("t"), F.col("terms")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in rules_of and "translate" not in rules_of
